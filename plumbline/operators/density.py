@@ -36,11 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BLOCK = 1024
 _SLACK = 1 + 1e-9
 
-_NEAR = "array<struct<dist: double, id: string, weight: long>>"
-_LOCAL = (
-    f"dataset_id string, vec_id string, minpts int, reach double, near {_NEAR}, visits array<int>"
-)
-_VISITED = f"dataset_id string, vec_id string, minpts int, near {_NEAR}"
+_NEAR = "dataset_id string, vec_id string, minpts int, dist double, id string, weight long"
+_LOCAL = f"{_NEAR}, target int"
 _PART = "dataset_id string, vec_id string, block int, part string, visits array<int>"
 _LINK = "dataset_id string, part string, other string"
 _COUNT = "dataset_id string, n_clusters int"
@@ -62,41 +59,25 @@ def _box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return np.sqrt(total)
 
 
-def _nearest(queries, points, ids, weights, count, reach=None) -> tuple[list, np.ndarray]:
-    """The ``count`` nearest points of every query, and the distance at which
-    their weights add up to ``count`` (infinite if they do not)."""
+def _nearest(queries, points, weights, count) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of the ``count`` nearest points, sorted per query."""
     dist = _distances(queries, points)
     take = min(count, len(points))
     chosen = np.argpartition(dist, take - 1, axis=1)[:, :take]
     picked = np.take_along_axis(dist, chosen, axis=1)
     order = np.argsort(picked, axis=1, kind="stable")
-    chosen = np.take_along_axis(chosen, order, axis=1)
-    picked = np.take_along_axis(picked, order, axis=1)
-    enough = np.cumsum(weights[chosen], axis=1) >= count
-    bound = np.where(
-        enough.any(axis=1), picked[np.arange(len(picked)), enough.argmax(axis=1)], np.inf
-    )
-    near = []
-    for row in range(len(queries)):
-        limit = np.inf if reach is None else reach[row] * _SLACK
-        near.append(
-            [
-                {"dist": float(d), "id": ids[j], "weight": int(weights[j])}
-                for d, j in zip(picked[row], chosen[row], strict=True)
-                if d <= limit
-            ]
-        )
-    return near, bound
+    return np.take_along_axis(chosen, order, axis=1), np.take_along_axis(picked, order, axis=1)
 
 
-def _targets(points, reach, own, boxes, only_later=False) -> list:
-    """Blocks whose box lies within each point's reach, its own left out."""
+def _targets(points, reach, own, boxes, only_later=False) -> tuple[np.ndarray, np.ndarray]:
+    """(point position, block) for every other block whose box is within reach."""
     low = np.array([b["low"] for b in boxes], dtype=float)
     high = np.array([b["high"] for b in boxes], dtype=float)
     number = np.array([b["block"] for b in boxes])
     hit = _box_distances(points, low, high) <= (reach * _SLACK)[:, None]
     hit &= number[None, :] > own if only_later else number[None, :] != own
-    return [number[row].tolist() for row in hit]
+    row, column = np.nonzero(hit)
+    return row, number[column]
 
 
 def _features(frame: pd.DataFrame) -> np.ndarray:
@@ -104,35 +85,60 @@ def _features(frame: pd.DataFrame) -> np.ndarray:
 
 
 def _search_block(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+    """Neighbours inside one block, and the other blocks each point must visit.
+
+    A visit row carries the point's reach, the distance at which the weights
+    found so far add up to minPts, in place of a neighbour.
+    """
     points, weights = _features(block), block["weight"].to_numpy()
     ids, minpts = block["vec_id"].to_numpy(), int(block["minpts"].iloc[0])
-    near, bound = _nearest(points, points, ids, weights, minpts)
-    visits = _targets(points, bound, int(block["block"].iloc[0]), boxes["boxes"].iloc[0])
-    return pd.DataFrame(
+    chosen, dist = _nearest(points, points, weights, minpts)
+    enough = np.cumsum(weights[chosen], axis=1) >= minpts
+    rows = np.arange(len(points))
+    reach = np.where(enough.any(axis=1), dist[rows, enough.argmax(axis=1)], np.inf)
+    row, target = _targets(points, reach, int(block["block"].iloc[0]), boxes["boxes"].iloc[0])
+    near = pd.DataFrame(
         {
-            "dataset_id": block["dataset_id"],
-            "vec_id": ids,
-            "minpts": minpts,
-            "reach": bound,
-            "near": near,
-            "visits": visits,
+            "vec_id": np.repeat(ids, chosen.shape[1]),
+            "dist": dist.ravel(),
+            "id": ids[chosen.ravel()],
+            "weight": weights[chosen.ravel()],
         }
     )
+    visits = pd.DataFrame({"vec_id": ids[row], "dist": reach[row], "target": target})
+    found = pd.concat([near, visits.astype({"target": object})], ignore_index=True)
+    found["dataset_id"], found["minpts"] = block["dataset_id"].iloc[0], minpts
+    found["target"] = found["target"].astype("Int32")
+    found["weight"] = found["weight"].astype("Int64")
+    found["id"] = found["id"].astype(object).where(found["id"].notna(), None)
+    return found[["dataset_id", "vec_id", "minpts", "dist", "id", "weight", "target"]]
 
 
 def _search_visitors(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    columns = ["dataset_id", "vec_id", "minpts", "near"]
+    columns = ["dataset_id", "vec_id", "minpts", "dist", "id", "weight"]
     if visitors.empty or block.empty:
         return pd.DataFrame(columns=columns, dtype=object)
     points, ids = _features(block), block["vec_id"].to_numpy()
     weights, minpts = block["weight"].to_numpy(), int(block["minpts"].iloc[0])
-    near = []
+    parts = []
     for start in range(0, len(visitors), _BLOCK):
         some = visitors.iloc[start : start + _BLOCK]
-        reach = some["reach"].to_numpy()
-        near += _nearest(_features(some), points, ids, weights, minpts, reach)[0]
-    found = visitors[["dataset_id", "vec_id", "minpts"]].assign(near=near)
-    return found[[len(n) > 0 for n in near]][columns]
+        chosen, dist = _nearest(_features(some), points, weights, minpts)
+        row, column = np.nonzero(dist <= some["reach"].to_numpy()[:, None] * _SLACK)
+        point = chosen[row, column]
+        parts.append(
+            pd.DataFrame(
+                {
+                    "dataset_id": block["dataset_id"].iloc[0],
+                    "vec_id": some["vec_id"].to_numpy()[row],
+                    "minpts": minpts,
+                    "dist": dist[row, column],
+                    "id": ids[point],
+                    "weight": weights[point],
+                }
+            )
+        )
+    return pd.concat(parts, ignore_index=True)[columns]
 
 
 def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
@@ -150,13 +156,16 @@ def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
             part[frontier] = seed
             frontier = linked[frontier].any(axis=0) & (part < 0)
     reach = np.full(len(points), eps)
+    row, target = _targets(points, reach, own, boxes["boxes"].iloc[0], only_later=True)
+    visits = pd.Series(target).groupby(row).agg(list)
+    empty: list[int] = []
     return pd.DataFrame(
         {
             "dataset_id": block["dataset_id"],
             "vec_id": ids,
             "block": own,
             "part": ids[part],
-            "visits": _targets(points, reach, own, boxes["boxes"].iloc[0], only_later=True),
+            "visits": [visits.get(i, empty) for i in range(len(points))],
         }
     )
 
@@ -278,17 +287,25 @@ def nearest_neighbours(vectors: DataFrame) -> DataFrame:
     )
     positions = vectors.select("dataset_id", "vec_id", F.col("features").alias("features"))
     travelling = (
-        local.where(F.size("visits") > 0)
-        .select("dataset_id", "vec_id", "reach", F.explode("visits").alias("block"), "minpts")
+        local.where("target is not null")
+        .select(
+            "dataset_id",
+            "vec_id",
+            F.col("dist").alias("reach"),
+            F.col("target").alias("block"),
+        )
         .join(positions, ["dataset_id", "vec_id"])
     )
-    visited = (
-        travelling.groupBy(*key).cogroup(blocks).applyInPandas(_search_visitors, _VISITED)
-    )
-    lists = local.select("dataset_id", "vec_id", "minpts", "near").unionByName(visited)
-    merged = lists.groupBy("dataset_id", "vec_id").agg(
-        F.first("minpts").alias("minpts"),
-        F.sort_array(F.flatten(F.collect_list("near"))).alias("near"),
+    visited = travelling.groupBy(*key).cogroup(blocks).applyInPandas(_search_visitors, _NEAR)
+    merged = (
+        local.where("target is null")
+        .drop("target")
+        .unionByName(visited)
+        .groupBy("dataset_id", "vec_id")
+        .agg(
+            F.first("minpts").alias("minpts"),
+            F.sort_array(F.collect_list(F.struct("dist", "id", "weight"))).alias("near"),
+        )
     )
     start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("double").alias("at"))
     walk = F.aggregate(
