@@ -102,9 +102,9 @@ def traffic_light(value: Column, green: Column | float, amber: Column | float) -
 
 
 def days_behind(last_update: Column, audit_date: Column) -> Column:
-    """Whole elapsed days from the last update to the audit, never negative."""
+    """Whole elapsed days from the last update to the audit, at least 0; null if unknown."""
     elapsed = F.timestamp_diff("DAY", last_update.cast("timestamp"), audit_date.cast("timestamp"))
-    return F.greatest(elapsed, F.lit(0).cast("long"))
+    return F.when(elapsed >= 0, elapsed).when(elapsed < 0, F.lit(0).cast("long"))
 
 
 def freshness(lag_days: Column, frequency_days: Column | None = None) -> Column:

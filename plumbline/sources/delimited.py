@@ -193,7 +193,10 @@ def _read_group(spark, paths, encoding, delimiter, width) -> DataFrame:
         .option("columnNameOfCorruptRecord", "raw")
         .csv(paths)
     )
-    cells = F.array(*[F.when(~F.col(n).isin(NULL_TOKENS), F.col(n)) for n in names])
+    # The reader settles on one line end per file; where both kinds occur, the
+    # carriage return of the other kind stays on the last cell.
+    held = [F.col(n) for n in names[:-1]] + [F.regexp_replace(names[-1], r"\r$", "")]
+    cells = F.array(*[F.when(~x.isin(NULL_TOKENS), x) for x in held])
     whole = F.col("raw").isNull() | (_fields(F.col("raw"), delimiter) <= width)
     return lines.select(
         F.col("_metadata.file_path").alias("source"),
