@@ -1216,23 +1216,49 @@ SELECT dataset_id, sector, drl_band,
 FROM scores WHERE dataset_id = 'src7'""",
 )
 _kpis = [
-    ("Portfolio completeness (cell-weighted)", "portfolio_completeness_aggregate", 0.95, "3.2"),
-    ("Mean per-dataset completeness", "mean_per_dataset_completeness", 0.95, "3.2"),
-    ("Mean per-dataset consistency", "mean_per_dataset_consistency", 0.95, "3.4"),
-    ("Mean per-dataset uniqueness", "mean_per_dataset_uniqueness", 0.99, "3.13"),
-    ("Datasets at 95% completeness", "datasets_meeting_95pct_completeness", None, "3.2"),
-    ("Datasets at 95% consistency", "datasets_meeting_95pct_consistency", None, "3.4"),
-    ("Datasets under 1% duplicates", "datasets_lt_1pct_duplicates", None, "3.13"),
-    ("Mean anomaly rate", "mean_if_anomaly_rate", None, "3.1"),
-    ("Mean noise rate", "mean_db_noise_rate", None, "3.1"),
+    ("Datasets audited", "n_datasets", None, None, None),
+    ("Total rows", "portfolio_total_rows", None, None, None),
+    ("Total cells", "portfolio_total_cells", None, None, None),
+    ("Portfolio completeness", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
+    ("Mean completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
+    ("Datasets at 95% completeness",
+     "datasets_meeting_95pct_completeness / CAST(n_datasets AS DOUBLE)", 0.95, "min", "3.2"),
+    ("Mean consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
+    ("Datasets at 95% consistency",
+     "datasets_meeting_95pct_consistency / CAST(n_datasets AS DOUBLE)", 0.90, "min", "3.4"),
+    ("Mean uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
+    ("Datasets under 1% duplicates",
+     "datasets_lt_1pct_duplicates / CAST(n_datasets AS DOUBLE)", 0.95, "min", "3.13"),
+    ("Mean anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
+    *[
+        (f"Band {b} share",
+         f"(SELECT avg(CASE WHEN drl_band = 'Band {b}' THEN 1e0 ELSE 0e0 END) FROM scores)",
+         None, None, None)
+        for b in "ABC"
+    ],
 ]
-_kpi_rows = "\nUNION ALL ".join(
-    f"SELECT '{k}' AS kpi, CAST({f} AS DOUBLE) AS value, "
-    f"CAST({'NULL' if t is None else t} AS DOUBLE) AS threshold, '{s}' AS specification, "
-    + (f"{_verdict(f, f'{t}e0')} AS verdict" if t is not None else "'n/a' AS verdict")
-    + " FROM headline"
-    for k, f, t, s in _kpis
-)
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
+
+
+def _kpi_row(kpi, field, threshold, bound, spec) -> str:
+    if threshold is None:
+        judged = "'n/a'"
+    elif bound == "max":
+        judged = _verdict(f"-({field})", f"(-{threshold}e0)")
+    else:
+        judged = _verdict(f"({field})", f"{threshold}e0")
+    limit = "NULL" if threshold is None else threshold
+    return (
+        f"SELECT '{kpi}' AS kpi, {r(f'CAST({field} AS DOUBLE)', 'value')}, "
+        f"CAST({limit} AS DOUBLE) AS threshold, {_text(bound)} AS bound, "
+        f"{_text(spec)} AS specification, {judged} AS verdict FROM headline"
+    )
+
+
+_kpi_rows = "\nUNION ALL ".join(_kpi_row(*k) for k in _kpis)
 query("r16_kpi_table", *SCORES, HEADLINE, select=_kpi_rows)
 
 query(

@@ -196,16 +196,25 @@ def quality_clusters(
     candidates = [k for k in counts if k < n_points]
     if not candidates:
         return None
+    # Equal profiles weigh as one point, and a fixed order makes seeds repeatable.
     points = (
-        vectors.select("dataset_id", array_to_vector("features").alias("vector"))
-        .coalesce(max(1, n_points // _ROWS_PER_TASK))
+        vectors.groupBy("features")
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .repartitionByRange(max(1, n_points // _ROWS_PER_TASK), "features")
+        .sortWithinPartitions("features")
+        .select(array_to_vector("features").alias("vector"), "weight")
         .persist()
     )
 
     def fit(task: tuple[int, int]):
         k, restart = task
         return KMeans(
-            k=k, seed=seed + restart, featuresCol="vector", maxIter=300, tol=1e-6
+            k=k,
+            seed=seed + restart,
+            featuresCol="vector",
+            weightCol="weight",
+            maxIter=300,
+            tol=1e-6,
         ).fit(points)
 
     with ThreadPool(parallelism) as pool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.defaults import CONTAMINATIONS, DIMENSIONS, VERDICT_WINDOW
+from plumbline.defaults import BANDS, CONTAMINATIONS, DIMENSIONS, VERDICT_WINDOW
 from plumbline.functions.scoring import (
     traffic_light,
     truthy,
@@ -14,17 +14,23 @@ from plumbline.functions.scoring import (
 )
 from plumbline.plans.portfolio import headline_measures
 
-# The portfolio indicators (KPI, headline field, threshold, specification).
+# Portfolio indicators (KPI, measure, threshold, at least or at
+# most, specification). Measures ending in _share are counts over datasets.
 PORTFOLIO_KPIS = [
-    ("Portfolio completeness (cell-weighted)", "portfolio_completeness_aggregate", 0.95, "3.2"),
-    ("Mean per-dataset completeness", "mean_per_dataset_completeness", 0.95, "3.2"),
-    ("Mean per-dataset consistency", "mean_per_dataset_consistency", 0.95, "3.4"),
-    ("Mean per-dataset uniqueness", "mean_per_dataset_uniqueness", 0.99, "3.13"),
-    ("Datasets at 95% completeness", "datasets_meeting_95pct_completeness", None, "3.2"),
-    ("Datasets at 95% consistency", "datasets_meeting_95pct_consistency", None, "3.4"),
-    ("Datasets under 1% duplicates", "datasets_lt_1pct_duplicates", None, "3.13"),
-    ("Mean anomaly rate", "mean_if_anomaly_rate", None, "3.1"),
-    ("Mean noise rate", "mean_db_noise_rate", None, "3.1"),
+    ("Datasets audited", "n_datasets", None, None, None),
+    ("Total rows", "portfolio_total_rows", None, None, None),
+    ("Total cells", "portfolio_total_cells", None, None, None),
+    ("Portfolio completeness", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
+    ("Mean completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
+    ("Datasets at 95% completeness", "completeness_share", 0.95, "min", "3.2"),
+    ("Mean consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
+    ("Datasets at 95% consistency", "consistency_share", 0.90, "min", "3.4"),
+    ("Mean uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
+    ("Datasets under 1% duplicates", "uniqueness_share", 0.95, "min", "3.13"),
+    ("Mean anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
+    ("Band A share", "band_a_share", None, None, None),
+    ("Band B share", "band_b_share", None, None, None),
+    ("Band C share", "band_c_share", None, None, None),
 ]
 
 BOX_DIMENSIONS = ["completeness", "consistency", "uniqueness", "if_anomaly_rate"]
@@ -188,21 +194,43 @@ def histogram(table: DataFrame, column: str, bins: int) -> DataFrame:
 def kpi_table(
     scores: DataFrame, kpis: list[tuple] = PORTFOLIO_KPIS, window: float = VERDICT_WINDOW
 ) -> DataFrame:
-    """Portfolio indicators in long form; a verdict only where a threshold is set."""
+    """Portfolio indicators in long form; a verdict only where a threshold is set.
+
+    An indicator bounded from above is judged by its mirror image.
+    """
+    n = F.col("n_datasets")
+    measures = headline_measures(scores).withColumns(
+        {
+            "completeness_share": F.col("datasets_meeting_95pct_completeness") / n,
+            "consistency_share": F.col("datasets_meeting_95pct_consistency") / n,
+            "uniqueness_share": F.col("datasets_lt_1pct_duplicates") / n,
+            "_one": F.lit(1),
+        }
+    )
+    bands = scores.agg(
+        *[
+            F.avg((F.col("drl_band") == band).cast("double")).alias(
+                f"{band.lower().replace(' ', '_')}_share"
+            )
+            for band in BANDS
+        ]
+    ).withColumn("_one", F.lit(1))
     entries = [
         F.struct(
             F.lit(kpi).alias("kpi"),
             F.col(field).cast("double").alias("value"),
             F.lit(threshold).cast("double").alias("threshold"),
-            F.lit(spec).alias("specification"),
+            F.lit(bound).cast("string").alias("bound"),
+            F.lit(spec).cast("string").alias("specification"),
         )
-        for kpi, field, threshold, spec in kpis
+        for kpi, field, threshold, bound, spec in kpis
     ]
+    sign = F.when(F.col("bound") == "max", -1.0).otherwise(1.0)
     judged = F.when(F.col("threshold").isNull(), "n/a").otherwise(
-        verdict(F.col("value"), F.col("threshold"), window)
+        verdict(F.col("value") * sign, F.col("threshold") * sign, window)
     )
     return (
-        headline_measures(scores)
+        measures.join(bands, "_one")
         .select(F.inline(F.array(*entries)))
         .withColumn("verdict", judged)
     )

@@ -6,16 +6,34 @@ catalogue listing prunes them; only the digest reads the bytes.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.defaults import SECTOR_FOLDERS
 
 
-def _folder_exists(spark: SparkSession, folder: str) -> bool:
+_LISTING = (
+    "sector string, prefix string, file_path string, source string, file_name string, "
+    "size_bytes long, modified timestamp"
+)
+
+
+def _empty_files(spark: SparkSession, folder: str) -> list[tuple] | None:
+    """(path, name, modified) of the zero-byte CSV files of a folder, which
+    Spark's file sources leave out; None if the folder does not exist."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(path)
+    if not fs.exists(path):
+        return None
+    found = [f for f in fs.listStatus(path) if f.getLen() == 0 and f.isFile()]
+    named = [(f.getPath().toString(), f.getPath().getName(), f.getModificationTime()) for f in found]
+    return [
+        (path, name, datetime.fromtimestamp(millis / 1000))
+        for path, name, millis in named
+        if name.lower().endswith(".csv")
+    ]
 
 
 def scan_catalogue(
@@ -32,15 +50,12 @@ def scan_catalogue(
     is the path as Spark's file metadata spells it, the key of later joins.
     """
     root = root.rstrip("/")
-    found = [
-        (sector, folder, prefix)
-        for sector, folder, prefix in sectors
-        if _folder_exists(spark, f"{root}/{folder}")
-    ]
-    if not found:
-        raise ValueError(f"no sector folder under {root}")
-    parts = None
-    for sector, folder, prefix in found:
+    empty, parts = [], None
+    for sector, folder, prefix in sectors:
+        blank = _empty_files(spark, f"{root}/{folder}")
+        if blank is None:
+            continue
+        empty += [(sector, prefix, path, None, name, 0, time) for path, name, time in blank]
         files = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.[cC][sS][vV]")
@@ -56,6 +71,10 @@ def scan_catalogue(
             )
         )
         parts = files if parts is None else parts.unionByName(files)
+    if parts is None:
+        raise ValueError(f"no sector folder under {root}")
+    if empty:
+        parts = parts.unionByName(spark.createDataFrame(empty, _LISTING))
     place = F.row_number().over(Window.partitionBy("sector").orderBy("file_name"))
     return parts.withColumn("place", place).select(
         F.format_string("%s-%02d", "prefix", "place").alias("dataset_id"),

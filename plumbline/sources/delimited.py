@@ -119,15 +119,17 @@ def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
         delimiter = F.coalesce(*width, F.lit(","))
         seen = seen.withColumn("delimiter", delimiter)
         seen = seen.withColumn("column_names", _header_names(F.col("header"), F.col("delimiter")))
-        empty = F.trim("header") == ""
+        empty = F.coalesce(F.trim("header"), F.lit("")) == ""
         found = catalogue.join(seen, "source", "left").select(
             *catalogue.columns,
-            "sha256",
+            F.when(F.col("size_bytes") == 0, F.sha2(F.lit(""), 256))
+            .otherwise(F.col("sha256"))
+            .alias("sha256"),
             "encoding",
             F.when(~empty, F.col("delimiter")).alias("delimiter"),
             F.when(~empty, F.col("column_names")).alias("column_names"),
-            (~F.coalesce(empty, F.lit(True))).alias("load_ok"),
-            F.when(F.col("sha256").isNull(), "file too large to load whole")
+            (~empty).alias("load_ok"),
+            F.when(F.col("size_bytes") >= _WHOLE_FILE_LIMIT, "file too large to load whole")
             .when(empty, "no columns to parse from file")
             .alias("error"),
         )
