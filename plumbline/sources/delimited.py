@@ -44,8 +44,10 @@ def _legacy_charsets(spark: SparkSession):
 
 
 def _decoded(content: Column, encoding: Column) -> Column:
+    """Text of some bytes; a character cut off at the end turns into U+FFFD."""
+    unicode = F.make_valid_utf8(content.cast("string"))
     return F.when(encoding == "windows-1256", F.decode(content, "windows-1256")).otherwise(
-        F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+        F.regexp_replace(unicode, "^\ufeff", "")
     )
 
 

@@ -26,6 +26,9 @@ FILES = {
     "beta/4 repeated names.csv": b"n,n,,n\n1,2,3,4\n",
     "beta/5 types.csv": b"flag,year,lunar,code\nTrue,2020,1441,007\nFalse,2021,1442,5d\n",
     "beta/6 [odd] {name}*.csv": b"a,b\n1,2\n",
+    # The first 65,536 bytes end inside a character, or inside the header.
+    "beta/7 long.csv": ("ab,b\n" + "é" * 40_000 + ",1\n" + "x,2\n").encode(),
+    "beta/8 long header.csv": ('"' + "é\n" * 30_000 + '",b\n1,2\n').encode(),
 }
 
 
@@ -59,7 +62,7 @@ def test_ids_follow_names_within_a_sector(inventory):
     assert [inventory[n].dataset_id for n in sorted(inventory) if n[0] == "0"] == [
         f"ALP-0{i}" for i in range(1, 8)
     ]
-    assert "ignored.txt" not in inventory and len(inventory) == 13
+    assert "ignored.txt" not in inventory and len(inventory) == 15
 
 
 def test_failed_file_keeps_its_place(inventory):
@@ -91,6 +94,8 @@ def test_digest_and_size(inventory):
         ("3 arabic.csv", "windows-1256", ",", 2, 2),
         ("4 repeated names.csv", "utf-8", ",", 1, 4),
         ("6 [odd] {name}*.csv", "utf-8", ",", 1, 2),
+        ("7 long.csv", "utf-8", ",", 2, 2),
+        ("8 long header.csv", "utf-8", ",", 1, 2),
     ],
 )
 def test_shape(inventory, name, encoding, delimiter, rows, cols):
@@ -142,7 +147,7 @@ def test_classes(inventory):
 def test_whole_audit_and_result_files(spark, root, tmp_path):
     _, audit = audit_files(spark, root, SECTORS)
     scores = {r.file_name: r for r in audit.scores.collect()}
-    assert len(scores) == 12
+    assert len(scores) == 14
     empty = scores["06 header only.csv"]
     assert (empty.completeness, empty.consistency, empty.uniqueness) == (0.0, 0.0, 0.0)
     assert scores["04 pipes.csv"].consistency == 0.5
@@ -154,10 +159,10 @@ def test_whole_audit_and_result_files(spark, root, tmp_path):
     assert "if_dbscan_agreement" not in names and "gap_register" in names
     back = results.load_results(spark, folder)
     assert back["dataset_scores"].schema == schemas.DATASET_SCORES
-    assert back["dataset_scores"].count() == 12
-    assert back["if_contamination_sweep"].count() == 60
+    assert back["dataset_scores"].count() == 14
+    assert back["if_contamination_sweep"].count() == 70
     assert back["if_dbscan_agreement"].isEmpty()
-    assert back["headline"].first().n_datasets == 12
+    assert back["headline"].first().n_datasets == 14
     with pytest.raises(FileNotFoundError):
         results.load_results(spark, str(tmp_path / "nothing"))
 
