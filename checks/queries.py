@@ -343,7 +343,7 @@ def p03_column_classes(spark, folder):
 def p03a_date_share(spark, folder):
     rows = v.dirty_events(spark, folder)
     cells = profile.long_cells(rows, "event_type", v.EVENT_COLUMNS, "row_id")
-    return rounded(profile.date_share(cells))
+    return rounded(profile.date_share(cells).drop("n_sampled"))
 
 
 @query

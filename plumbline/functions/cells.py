@@ -181,18 +181,39 @@ def date_like(text: Column) -> Column:
     return F.coalesce(F.when(short, _bind(trimmed, parses)), F.lit(False))
 
 
-def row_digest(columns: list[tuple[str, T.DataType]]) -> Column:
-    """32-byte SHA-256 of a whole row; equal rows, and only those, agree.
+_SHORT_TEXT = 64
+_KEY_COLUMNS = 24
 
-    Nulls equal nulls, NaN counts as null, and -0.0 equals 0.0. Hashing on
-    the map side means the duplicate search shuffles 32 bytes per row however
-    wide the row is.
+
+def text_key(text: Column) -> Column:
+    """A short stand-in for a text: itself up to 64 characters, else its SHA-256.
+
+    The prefixed digest is longer than any text kept as it is, so two keys
+    agree only if their texts do.
+    """
+    return F.when(F.length(text) <= _SHORT_TEXT, text).otherwise(
+        F.concat(F.lit("sha256:"), F.sha2(text, 256))
+    )
+
+
+def row_keys(columns: list[tuple[str, T.DataType]]) -> list[Column]:
+    """Grouping columns under which exactly the equal rows meet.
+
+    Nulls equal nulls, NaN counts as null, and -0.0 equals 0.0. Long texts and
+    nested values shrink to digests, and a row of many columns to one, so the
+    duplicate search shuffles little however wide the rows are.
     """
-    cells = []
+    keys = []
     for name, kind in columns:
         cell = present(F.col(f"`{name}`"), kind)
-        if isinstance(kind, _FLOATS):
+        if isinstance(kind, _NESTED):
+            cell = text_key(F.to_json(cell))
+        elif isinstance(kind, T.StringType):
+            cell = text_key(cell)
+        elif isinstance(kind, _FLOATS):
             cell = cell + F.lit(0.0)
-        cells.append(cell)
-    named = [cell.alias(f"c{i}") for i, cell in enumerate(cells)]
-    return F.unhex(F.sha2(F.to_json(F.struct(*named)), 256))
+        keys.append(cell)
+    if len(keys) > _KEY_COLUMNS:
+        named = [key.alias(f"c{i}") for i, key in enumerate(keys)]
+        keys = [F.unhex(F.sha2(F.to_json(F.struct(*named)), 256))]
+    return [key.alias(f"_key_{i}") for i, key in enumerate(keys)]

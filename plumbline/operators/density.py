@@ -215,7 +215,7 @@ def weighted_vectors(matrix: DataFrame) -> DataFrame:
     rankings see at most the matrix sample of one dataset.
     """
     minpts = F.greatest(2 * F.col("n_features"), F.lit(4)).cast("int")
-    vectors = (
+    vectors = settle(
         matrix.withColumn("minpts", minpts)
         .where(F.col("n_records") >= F.col("minpts") + 1)
         .groupBy("dataset_id", "features")
@@ -223,7 +223,8 @@ def weighted_vectors(matrix: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("weight"),
             F.min("row_id").alias("vec_id"),
             F.first("minpts").alias("minpts"),
-        )
+        ),
+        "distinct-vectors",
     )
     variety = (
         vectors.select("dataset_id", F.posexplode("features").alias("axis", "x"))
@@ -376,15 +377,16 @@ class DensityNoise:
             ),
             "eps",
         )
-        self.judged = neighbours.join(self.eps, "dataset_id").withColumn(
-            "core", F.col("k_distance") <= F.col("eps")
-        )
+        self.flags = settle(self._judge(neighbours), "flags")
 
-    def vector_labels(self) -> DataFrame:
+    def _judge(self, neighbours: DataFrame) -> DataFrame:
         """(dataset_id, vec_id, core, noise) per distinct vector."""
-        core = self.judged.where("core").select("dataset_id", F.col("vec_id").alias("id"))
+        judged = neighbours.join(self.eps, "dataset_id").withColumn(
+            "core", F.col("k_distance") <= F.col("eps")
+        )
+        core = judged.where("core").select("dataset_id", F.col("vec_id").alias("id"))
         border = (
-            self.judged.where("not core")
+            judged.where("not core")
             .select("dataset_id", "vec_id", "eps", F.inline("near"))
             .where(F.col("dist") <= F.col("eps"))
             .join(core, ["dataset_id", "id"], "left_semi")
@@ -393,13 +395,13 @@ class DensityNoise:
             .withColumn("border", F.lit(True))
         )
         reached = F.coalesce("border", F.lit(False))
-        return self.judged.join(border, ["dataset_id", "vec_id"], "left").select(
+        return judged.join(border, ["dataset_id", "vec_id"], "left").select(
             "dataset_id", "vec_id", "core", (~F.col("core") & ~reached).alias("noise")
         )
 
     def labels(self) -> DataFrame:
         """(dataset_id, row_id, noise) per matrix row."""
-        flags = self.vectors.join(self.vector_labels(), ["dataset_id", "vec_id"]).select(
+        flags = self.vectors.join(self.flags, ["dataset_id", "vec_id"]).select(
             "dataset_id", "features", "noise"
         )
         return self.matrix.join(flags, ["dataset_id", "features"]).select(
@@ -415,7 +417,7 @@ class DensityNoise:
         """
         key = ["dataset_id", "block"]
         core = (
-            self.vectors.join(self.vector_labels().where("core"), ["dataset_id", "vec_id"])
+            self.vectors.join(self.flags.where("core"), ["dataset_id", "vec_id"])
             .join(self.eps.select("dataset_id", "eps"), "dataset_id")
             .select("dataset_id", "vec_id", "block", "eps", "features")
         )
@@ -453,7 +455,7 @@ class DensityNoise:
     def summary(self, keys: DataFrame, *, clusters: bool = True) -> DataFrame:
         """noise_rate, n_clusters, eps_used, minpts and n_records per dataset."""
         rates = (
-            self.vectors.join(self.vector_labels(), ["dataset_id", "vec_id"])
+            self.vectors.join(self.flags, ["dataset_id", "vec_id"])
             .groupBy("dataset_id")
             .agg(
                 F.sum("weight").alias("n_records"),

@@ -16,7 +16,7 @@ from plumbline.functions.cells import (
     is_numeric_type,
     is_sentinel,
     numeric_like,
-    row_digest,
+    row_keys,
 )
 from plumbline.functions.scoring import days_behind, freshness, ratio
 from plumbline.operators.profile import (
@@ -71,14 +71,13 @@ def uniqueness(
     """1 − repeated rows / rows, where a repeat equals an earlier row in every
     measured column and nulls equal nulls; 0.0 when empty.
 
-    Grouping is on the row digest: copies of one row merge on the map side,
-    and different rows of one large dataset spread over all tasks.
+    Grouping is on the whole row: copies of one row merge on the map side, and
+    different rows of one large dataset spread over all tasks.
     """
     keys = dataset_keys(df, by, keys)
-    fields = measured_columns(df, by, columns)
+    cells = row_keys(measured_columns(df, by, columns))
     counted = (
-        df.select(dataset_key(by), row_digest(fields).alias("digest"))
-        .groupBy("dataset_id", "digest")
+        df.groupBy(dataset_key(by), *cells)
         .agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("dataset_id")
         .agg(F.sum("copies").alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"))

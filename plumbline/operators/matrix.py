@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.defaults import MAX_ROWS, MIN_ROWS, SEED
 from plumbline.functions.cells import is_feature_type, present
 from plumbline.operators.profile import dataset_key, measured_columns
+from plumbline.session import settle
 
 _HASH_SPAN = float(2**60)
 
@@ -38,23 +39,33 @@ def feature_rows(
 def sample_rows(rows: DataFrame, max_rows: int = MAX_ROWS, seed: int = SEED) -> DataFrame:
     """At most ``max_rows`` rows per dataset: those with the smallest hashes.
 
-    A dataset over the limit is first thinned on the map side to the hashes
+    A dataset over the limit is first thinned inside the scan to the hashes
     below (2·max_rows + 1000)/n. On average that leaves more than twice the
     rows wanted, and by the Chernoff bound fewer than ``max_rows`` remain with
-    probability below e⁻¹⁰⁰ even for a limit of 1, so the exact ranking that
-    follows sees a bounded group however large the dataset is.
+    probability below e⁻¹⁰⁰ even for a limit of 1, so the exact cut-off hash
+    comes from a bounded group however large the dataset is. What is left is
+    written once: the steps that follow never go back to the input, and no
+    row is shuffled to be sampled.
     """
     sizes = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_all"))
-    keep = (F.col("n_all") <= max_rows) | (
-        hash_fraction(F.col("digest")) < F.lit(2.0 * max_rows + 1000) / F.col("n_all")
+    large = F.col("n_all") > max_rows
+    digest = F.when(large, row_hash(seed))
+    share = F.lit(2.0 * max_rows + 1000) / F.col("n_all")
+    thinned = settle(
+        rows.join(sizes, "dataset_id")
+        .withColumn("digest", digest)
+        .where(~large | (hash_fraction(F.col("digest")) < share)),
+        "sample",
+    )
+    cuts = (
+        thinned.where("digest is not null")
+        .groupBy("dataset_id")
+        .agg(F.array_sort(F.collect_list("digest")).alias("digests"))
+        .select("dataset_id", F.get("digests", F.lit(max_rows - 1)).alias("cut"))
     )
-    order = Window.partitionBy("dataset_id").orderBy("digest", "row_id")
     return (
-        rows.withColumn("digest", row_hash(seed))
-        .join(sizes, "dataset_id")
-        .where(keep)
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= max_rows)
+        thinned.join(cuts, "dataset_id", "left")
+        .where(F.col("digest").isNull() | (F.col("digest") <= F.col("cut")))
         .select("dataset_id", "row_id", "features")
     )
 

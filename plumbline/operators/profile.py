@@ -33,12 +33,15 @@ from plumbline.functions.cells import (
     is_missing,
     is_numeric_type,
     is_sentinel,
-    is_temporal_type,
+    text_key,
 )
 from plumbline.functions.scoring import ratio
+from plumbline.session import settle
 
 WHOLE = "all"
+on_column = ["dataset_id", "col_idx"]
 _BATCH = 150
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def dataset_key(by: str | None) -> Column:
@@ -95,6 +98,7 @@ def _stats_batch(df, by, batch, clean, text_length, sentinels) -> DataFrame:
         cell = F.col(f"`{name}`")
         text = as_text(cell, kind)
         typed = is_numeric_type(kind)
+        written = isinstance(kind, (T.StringType, *_NESTED))
         n_null = F.col(f"null_{idx}")
         aggregates.append(F.count_if(is_missing(cell, kind)).alias(f"null_{idx}"))
         held = F.col("n_rows") - n_null
@@ -106,7 +110,7 @@ def _stats_batch(df, by, batch, clean, text_length, sentinels) -> DataFrame:
             n_null.alias("n_nulls"),
         ]
         if clean:
-            if typed:
+            if not written:
                 row.append(held.alias("n_clean"))
             else:
                 aggregates.append(
@@ -114,7 +118,7 @@ def _stats_batch(df, by, batch, clean, text_length, sentinels) -> DataFrame:
                 )
                 row.append(F.col(f"clean_{idx}").alias("n_clean"))
         if text_length:
-            if typed:
+            if not written:
                 row.append(F.lit(None).cast("long").alias("text_length"))
             else:
                 length = F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long")
@@ -143,15 +147,25 @@ def dataset_shape(stats: DataFrame, keys: DataFrame, n_columns: int | None = Non
     )
 
 
-def long_cells(df: DataFrame, by: str | None, columns: list[str] | None, row_id=None) -> DataFrame:
-    """Unpivot measured columns to (dataset_id, [order_key], col_idx, text)."""
+def long_cells(
+    df: DataFrame,
+    by: str | None,
+    columns: list[str] | None,
+    row_id: str | None = None,
+    positions: dict[str, int] | None = None,
+) -> DataFrame:
+    """Unpivot measured columns to (dataset_id, [order_key], col_idx, text).
+
+    ``positions`` keeps the numbering of a wider column list.
+    """
     fields = measured_columns(df, by, columns)
+    numbers = [positions[name] if positions else i for i, (name, _) in enumerate(fields)]
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("col_idx"), as_text(F.col(f"`{name}`"), kind).alias("text")
             )
-            for i, (name, kind) in enumerate(fields)
+            for i, (name, kind) in zip(numbers, fields, strict=True)
         ]
     )
     order = [] if row_id is None else [F.col(f"`{row_id}`").alias("order_key")]
@@ -166,26 +180,55 @@ def date_share(cells: DataFrame, sample: int = DATE_SAMPLE) -> DataFrame:
     task and column travel.
     """
     first = Window.partitionBy("dataset_id", "col_idx").orderBy("order_key")
-    return (
-        cells.withColumn("position", F.row_number().over(first))
-        .where(F.col("position") <= sample)
-        .groupBy("dataset_id", "col_idx")
-        .agg(F.avg(date_like(F.col("text")).cast("double")).alias("date_share"))
+    return _date_shares(
+        cells.withColumn("position", F.row_number().over(first)).where(
+            F.col("position") <= sample
+        )
+    )
+
+
+def _date_shares(sampled: DataFrame) -> DataFrame:
+    return sampled.groupBy("dataset_id", "col_idx").agg(
+        F.avg(date_like(F.col("text")).cast("double")).alias("date_share"),
+        F.count(F.lit(1)).alias("n_sampled"),
     )
 
 
+def _frame_date_share(df, by, names, row_id, stats, sample) -> DataFrame:
+    """The same share for a typed frame, without ranking every single cell.
+
+    Rows are ranked once; nearly always the first few of a dataset hold enough
+    values of every column. Only columns too sparse for that are ranked cell
+    by cell over the whole dataset, and with none of those the second pass
+    has nothing to join and reads nothing.
+    """
+    reach = 4 * sample
+    order = Window.partitionBy("dataset_id").orderBy(F.col(f"`{row_id}`"))
+    head = (
+        df.withColumn("dataset_id", dataset_key(by))
+        .withColumn("_place", F.row_number().over(order))
+        .where(F.col("_place") <= reach)
+    )
+    dense = date_share(long_cells(head, "dataset_id", names, row_id), sample)
+    on = ["dataset_id", "col_idx"]
+    wanted = F.least(F.lit(sample), F.col("n_rows") - F.col("n_nulls"))
+    short = (
+        stats.join(dense, on, "left")
+        .where(F.coalesce("n_sampled", F.lit(0)) < wanted)
+        .select(*on)
+    )
+    whole = long_cells(df, by, names, row_id).join(short, on, "left_semi")
+    return dense.join(short, on, "left_anti").unionByName(date_share(whole, sample))
+
+
 def distinct_texts(cells: DataFrame) -> DataFrame:
     """Exact number of distinct texts per (dataset, column).
 
     Long texts travel as their SHA-256, short ones as themselves, and equal
     texts are merged on the map side before the shuffle.
     """
-    token = F.when(F.length("text") <= 64, F.encode("text", "UTF-8")).otherwise(
-        F.concat(F.unhex(F.sha2("text", 256)), F.encode(F.length("text").cast("string"), "UTF-8"))
-    )
-    longer = (F.length("text") > 64).alias("longer")
     return (
-        cells.groupBy("dataset_id", "col_idx", longer, token.alias("token"))
+        cells.groupBy("dataset_id", "col_idx", text_key(F.col("text")).alias("token"))
         .agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("dataset_id", "col_idx")
         .agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -220,7 +263,7 @@ def classify(
             "col_name",
             "n_rows",
             "n_nulls",
-            F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"),
+            "n_distinct",
             mean_length.alias("mean_length"),
             "date_share",
             kind.alias("class"),
@@ -239,29 +282,36 @@ def column_classes(
 ) -> DataFrame:
     """Profile every column of every dataset and name its class.
 
-    ``row_id`` fixes the row order of the date sample. Distinct counts are
-    only needed where a text column is long on average, so the second pass
-    reads just those columns: numbers, booleans and dates never enter it.
+    ``row_id`` fixes the row order of the date sample. Distinct counts decide
+    only where a text column is long on average, so only such columns are
+    counted; elsewhere ``n_distinct`` is null.
     """
     fields = measured_columns(df, by, columns)
     names = [name for name, _ in fields]
-    stats = column_stats(df, by, names, clean=False, text_length=True)
-    cells = long_cells(df, by, names, row_id)
-    undated = [
-        i for i, (_, kind) in enumerate(fields) if not isinstance(kind, T.BooleanType)
-    ]
-    dates = date_share(cells.where(F.col("col_idx").isin(undated)), date_sample)
-    texts = [
-        i
-        for i, (_, kind) in enumerate(fields)
-        if not is_numeric_type(kind) and not is_temporal_type(kind)
-    ]
-    distinct = distinct_texts(
-        long_cells(df, by, names).where(F.col("col_idx").isin(texts))
+    stats = settle(column_stats(df, by, names, clean=False, text_length=True), "stats")
+    dated = [name for name, kind in fields if not isinstance(kind, T.BooleanType)]
+    dates = _frame_date_share(
+        df, by, names, row_id, stats.where(F.col("col_name").isin(dated)), date_sample
     )
+    texts = [name for name, kind in fields if isinstance(kind, (T.StringType, *_NESTED))]
+    length = cuts.get("freetext_length", FREETEXT_LENGTH)
+    if texts:
+        position = {name: i for i, name in enumerate(names)}
+        cells = long_cells(df, by, texts, positions=position)
+        distinct = distinct_texts(cells.join(long_texts(stats, length), on_column, "left_semi"))
+    else:
+        distinct = stats.select(*on_column, F.lit(None).cast("long").alias("n_distinct")).limit(0)
     return classify(stats, dates, distinct, **cuts)
 
 
+def long_texts(stats: DataFrame, length: float = FREETEXT_LENGTH) -> DataFrame:
+    """The columns whose mean text length passes the free-text cut."""
+    held = F.col("n_rows") - F.col("n_nulls")
+    return stats.where(
+        ~F.col("is_numeric") & (F.col("text_length") > F.lit(float(length)) * held)
+    ).select(*on_column)
+
+
 def class_counts(classes: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """numeric_cols, categorical_cols, date_cols and freetext_cols per dataset."""
     counted = classes.groupBy("dataset_id").agg(

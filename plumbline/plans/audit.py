@@ -163,9 +163,14 @@ def inherent_scores(
     anomalies: DataFrame | None = None,
     noise: DataFrame | None = None,
 ) -> DataFrame:
-    """Dataset scores of a typed frame; detector rates are passed in."""
+    """Dataset scores of a typed frame; detector rates are passed in.
+
+    The catalogue is written once, as its keys are wanted by every dimension
+    and may themselves come from the data.
+    """
     names = [name for name, _ in measured_columns(df, by, columns)]
-    keys = dataset_keys(df, by, catalogue)
+    catalogue = settle(catalogue.select("dataset_id", "sector", "file_name"), "catalogue")
+    keys = catalogue.select("dataset_id")
     stats = settle(column_stats(df, by, names), "stats")
     timely = None
     if updates is not None:
@@ -208,6 +213,7 @@ def audit(
             F.lit("Unknown").alias("sector"),
             F.col("dataset_id").alias("file_name"),
         )
+    catalogue = settle(catalogue.select("dataset_id", "sector", "file_name"), "catalogue")
     names = [name for name, _ in measured_columns(df, by, columns) if name != row_id]
     matrix = settle(
         numeric_matrix(df, row_id, by, features or names, max_rows=max_rows, seed=seed), "matrix"

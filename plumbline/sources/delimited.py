@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.defaults import DELIMITERS, NULL_TOKENS, SENTINELS
+from plumbline.defaults import DELIMITERS, FREETEXT_LENGTH, NULL_TOKENS, SENTINELS
 from plumbline.functions.cells import is_sentinel, numeric_like
 from plumbline.operators.matrix import standardise
-from plumbline.operators.profile import classify, date_share, distinct_texts
+from plumbline.operators.profile import classify, date_share, distinct_texts, long_texts
 from plumbline.session import settle
 
 _HEAD_BYTES = 65_536
@@ -278,7 +278,7 @@ def cell_classes(cells: DataFrame, stats: DataFrame, **cuts) -> DataFrame:
         .otherwise(F.col("text"))
         .alias("text"),
     )
-    texts = types.where("col_type = 'string'").select("dataset_id", "col_idx")
+    texts = long_texts(stats, cuts.get("freetext_length", FREETEXT_LENGTH))
     distinct = distinct_texts(long.join(texts, ["dataset_id", "col_idx"], "left_semi"))
     return classify(stats, date_share(dated), distinct, **cuts)
 
