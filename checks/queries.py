@@ -1021,7 +1021,7 @@ def r16_kpi_table(spark, folder):
 
 @query
 def f08_numeric_texts(spark, folder):
-    """Which supplier, part and customer name parts read as numbers."""
+    """Which customer name parts and segments read as numbers."""
     names = v.table(spark, folder, "customer").select(
         F.split_part("c_name", F.lit("#"), F.lit(2)).alias("part"),
         F.col("c_mktsegment").alias("segment"),

@@ -22,10 +22,6 @@ def is_feature_type(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
-def is_temporal_type(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
-
-
 def is_missing(column: Column, kind: T.DataType) -> Column:
     """Null, or NaN where the type has one. Infinity and '' are values."""
     if isinstance(kind, _FLOATS):

@@ -46,7 +46,7 @@ def profile_vectors(scores: DataFrame, population: bool = False) -> DataFrame:
         scaled.append((F.col(d) - F.col(f"mean_{d}")) / F.when(sd == 0, 1.0).otherwise(sd))
     return (
         filled.withColumn("_one", F.lit(1))
-        .join(moments, "_one")
+        .join(F.broadcast(moments), "_one")
         .select("dataset_id", F.array(*scaled).alias("features"))
     )
 

@@ -97,26 +97,32 @@ def uniqueness_from(counted: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def conformance() -> Column:
+def conformance(tested: bool = False) -> Column:
     """Share of a column's values that carry a real value of its type.
 
     Numeric columns conform fully and columns without values not at all. For
     text the score is the best of the numeric-parse, date-parse and
-    clean-value rates; no sentinel parses as a number or a date, so the
-    clean-value rate is always that best.
+    clean-value rates. No default sentinel parses as a number or a date, so
+    with those the clean-value rate is always that best; ``tested`` takes all
+    three rates into account, for sentinels that do parse.
     """
     held = F.col("n_rows") - F.col("n_nulls")
-    return (
-        F.when(F.col("is_numeric"), 1.0)
-        .when(held == 0, 0.0)
-        .otherwise(ratio(F.col("n_clean"), held))
-    )
+    clean = ratio(F.col("n_clean"), held)
+    best = F.greatest(clean, F.col("numeric_rate"), F.col("date_rate")) if tested else clean
+    return F.when(F.col("is_numeric"), 1.0).when(held == 0, 0.0).otherwise(best)
 
 
 def consistency_from(
-    stats: DataFrame, keys: DataFrame, parse_threshold: float = PARSE_THRESHOLD
+    stats: DataFrame,
+    keys: DataFrame,
+    parse_threshold: float = PARSE_THRESHOLD,
+    rates: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    columns = stats.withColumn("conformance", conformance()).select(
+    """Consistency from column statistics; ``rates`` adds the parse rates."""
+    if rates is not None:
+        tested = rates.select("dataset_id", "col_idx", "numeric_rate", "date_rate")
+        stats = stats.join(tested, ["dataset_id", "col_idx"])
+    columns = stats.withColumn("conformance", conformance(rates is not None)).select(
         "dataset_id",
         "col_idx",
         "col_name",
@@ -144,7 +150,9 @@ def consistency(
     """Share of columns whose conformance reaches the threshold; 0.0 when empty."""
     keys = dataset_keys(df, by, keys)
     stats = column_stats(df, by, columns, sentinels=sentinels)
-    return consistency_from(stats, keys, parse_threshold)
+    own = set(sentinels) - set(SENTINELS)
+    rates = parse_rates(df, by, columns, sentinels=sentinels) if own else None
+    return consistency_from(stats, keys, parse_threshold, rates)
 
 
 def parse_rates(

@@ -199,8 +199,8 @@ def _frame_date_share(df, by, names, row_id, stats, sample) -> DataFrame:
 
     Rows are ranked once; nearly always the first few of a dataset hold enough
     values of every column. Only columns too sparse for that are ranked cell
-    by cell over the whole dataset, and with none of those the second pass
-    has nothing to join and reads nothing.
+    by cell over the whole dataset. The list of those is a small table of
+    known size, so with nothing in it the second pass reads nothing.
     """
     reach = 4 * sample
     order = Window.partitionBy("dataset_id").orderBy(F.col(f"`{row_id}`"))
@@ -209,7 +209,7 @@ def _frame_date_share(df, by, names, row_id, stats, sample) -> DataFrame:
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= reach)
     )
-    dense = date_share(long_cells(head, "dataset_id", names, row_id), sample)
+    dense = settle(date_share(long_cells(head, "dataset_id", names, row_id), sample), "dates")
     on = ["dataset_id", "col_idx"]
     wanted = F.least(F.lit(sample), F.col("n_rows") - F.col("n_nulls"))
     short = (

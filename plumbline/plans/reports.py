@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.defaults import BANDS, CONTAMINATIONS, DIMENSIONS, VERDICT_WINDOW
@@ -169,7 +169,7 @@ def histogram(table: DataFrame, column: str, bins: int) -> DataFrame:
     )
     counts = (
         values.withColumn("_one", F.lit(1))
-        .join(edges, "_one")
+        .join(F.broadcast(edges), "_one")
         .groupBy(bucket.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -393,7 +393,3 @@ def centroid_matrix(meta: DataFrame) -> DataFrame:
         .select("cluster", F.inline("pairs"))
         .select("cluster", F.col("feature_names").alias("feature"), F.col("centroid").alias("value"))
     )
-
-
-def empty_table(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -1,7 +1,6 @@
 """Schemas of the tables the engine reads and writes."""
 
 from pyspark.sql.types import (
-    ArrayType,
     BooleanType,
     DoubleType,
     IntegerType,
@@ -116,11 +115,3 @@ SPECIFICATIONS = _schema(
     ("dimension", _text),
     ("threshold", _real),
 )
-
-MATRIX = _schema(
-    ("dataset_id", _text),
-    ("row_id", _text),
-    ("features", ArrayType(DoubleType())),
-    ("n_records", _long),
-    ("n_features", _int),
-)

@@ -100,6 +100,12 @@ def test_consistency_is_lenient_about_mixed_text(spark):
     assert consistency(df)[1] == {"a": 1.0}
 
 
+def test_consistency_with_sentinels_that_parse(spark):
+    df = frame(spark, "a string", ("-999",), ("-999",), ("7",), ("x",))
+    assert consistency(df, sentinels=["-999"])[1] == {"a": 0.75}
+    assert consistency(df, sentinels=["x"])[1] == {"a": 0.75}
+
+
 def test_consistency_half(spark):
     assert consistency(frame(spark, "a string", ("a",), ("N/A",), ("b",), ("N/A",)))[1] == {
         "a": 0.5
