@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own;
-    on a cluster a machine-local folder would vanish with its executor.
+    A local-mode session without that setting uses its own warehouse folder.
+    On a cluster the setting is required: a machine-local folder would vanish
+    with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = configured or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    return f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -36,13 +40,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a re-read rather than a recomputation.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every table :func:`settle` wrote in the current shared folder."""
+    """Delete the tables :func:`settle` wrote for this application.
+
+    Tables of other sessions in the same shared folder stay.
+    """
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/plumbline")
+    root = jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(root, True)
