@@ -110,8 +110,9 @@ def duplicate_groups(
     meant = F.coalesce("meant", F.array().cast("array<struct<pos:int,id:long>>"))
     keyed = listed.withColumn("key", F.struct("recipe", meant.alias("meant")))
     best = F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id"), F.col("uid").alias("uid"))
-    groups = keyed.groupBy("key").agg(
-        F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")
+    groups = settle(
+        keyed.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")),
+        "groups",  # written, so that the join below can split the rows of a large group
     )
     return keyed.join(groups, "key").select(
         "uid",
@@ -132,7 +133,11 @@ def without_duplicates(
     numbered = settle(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
     groups = duplicate_groups(
         numbered.select(
-            F.struct(F.col(f"`{id_col}`"), F.col(uid).alias("row")).alias("place"),
+            F.struct(
+                F.col(f"`{id_col}`").isNull().alias("last"),
+                F.col(f"`{id_col}`").alias("id"),
+                F.col(uid).alias("row"),
+            ).alias("place"),
             F.col(f"`{text_col}`").alias("text"),
         ),
         "place",

@@ -25,6 +25,8 @@ from plumbline.llm.common import slices, text_or_empty, texts, widened
 MAX_LABELLED = 2_000
 WORD_GAIN_LEAST, WORD_GAIN_MOST = 0.1, 1.0
 TAG_COST_LEAST, TAG_COST_MOST = 0.02, 6.0
+#: Cost of a tag that no labelled page has and that ends a block.
+UNKNOWN_TAG_COST = 1.0
 
 # Element names of the public HTML standard.
 LABEL_ELEMENTS = ["article", "main"]
@@ -198,28 +200,37 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def _within_block(tag: str) -> bool:
+    name = tag.lstrip("/")
+    return name in _INLINE or name in ("", "br")
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The main text of ``page``: its blocks, joined by empty lines."""
     tokens = page_tokens(page)
-    unknown = min([-1.0, *(w for tag, w in weights.items() if tag)]) / 2
     gain = weights.get("", 1.0)
-    scores = np.array(
-        [
-            weights.get(tag.lstrip("/"), unknown) if tag else gain * len(text.split())
-            for tag, text in tokens
-        ]
-    )
+
+    def score(tag: str, text: str) -> float:
+        if not tag:
+            return gain * len(text.split())
+        return weights.get(tag, -TAG_COST_LEAST if tag in _INLINE else -UNKNOWN_TAG_COST)
+
+    scores = np.array([score(tag.lstrip("/"), text) for tag, text in tokens])
     for i, (tag, _) in enumerate(tokens):
         if tag.lstrip("/") in LABEL_ELEMENTS:
             scores[i] = 0.0  # the label itself says nothing of pages without it
     start, end = best_run(scores)
+    while 0 < start < end and _within_block(tokens[start - 1][0]):  # blocks are taken whole
+        start -= 1
+    while start < end < len(tokens) and _within_block(tokens[end][0]):
+        end += 1
     blocks, block = [], []
     for tag, text in [*tokens[start:end], ("p", "")]:
         if not tag:
             block.append(html.unescape(text))
         elif tag.lstrip("/") == "br":
             block.append(" ")
-        elif tag.lstrip("/") not in _INLINE:
+        elif not _within_block(tag):
             joined = " ".join("".join(block).split())
             if joined:
                 blocks.append(joined)

@@ -90,34 +90,37 @@ def mix(
 ) -> DataFrame:
     """``docs`` with every row as often as it draws, in random order.
 
-    All columns stay; ``copy_col`` counts a row's copies from 1. Rows with
-    equal ids draw alike. A document with a rate of 0 does not appear.
+    All columns stay; ``copy_col`` (lengthened if there is such a column)
+    counts a row's copies from 1. Rows with equal ids draw alike. A document
+    with a rate of 0 does not appear.
     """
+    copy_col = free_name(docs, copy_col)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_PER_DRAW)).cast("int")
-    drawn = free_name(docs, "drawn")
+    drawn, its_source, its_parts, its_table, order = (
+        free_name(docs, name) for name in ("drawn", "drawn_source", "drawn_parts", "drawn_table", "drawn_order")
+    )
     table = settle(
         rates.withColumn("parts", parts).select(
-            F.col("source").alias(f"{drawn}_source"),
-            F.col("parts").alias(f"{drawn}_parts"),
-            cumulative_poisson(F.col("rate") / F.col("parts")).alias(f"{drawn}_table"),
+            F.col("source").alias(its_source),
+            F.col("parts").alias(its_parts),
+            cumulative_poisson(F.col("rate") / F.col("parts")).alias(its_table),
         ),
         "rates",
     )
 
     def one_draw(part: Column) -> Column:
         u = uniform(seed, F.col(f"`{id_col}`"), part)
-        return F.size(F.filter(f"{drawn}_table", lambda c: c <= u))
+        return F.size(F.filter(its_table, lambda c: c <= u))
 
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col(f"{drawn}_parts")), F.lit(0), lambda have, part: have + one_draw(part)
+        F.sequence(F.lit(1), F.col(its_parts)), F.lit(0), lambda have, part: have + one_draw(part)
     )
     found = (
-        docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(f"{drawn}_source")))
+        docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(its_source)))
         .withColumn(drawn, count)
         .where(F.col(drawn) > 0)
         .withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(drawn))))
     )
-    order = f"{drawn}_order"
     return (
         found.withColumn(order, F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(copy_col)))
         .select(*(f"`{c}`" for c in docs.columns), copy_col, order)
