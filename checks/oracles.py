@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks.views import CATALOGUE_SQL, DIRTY_DOCUMENTS_SQL, DIRTY_EVENTS_SQL, UPDATES_SQL
 
 ORACLES: dict[str, str] = {}
@@ -197,7 +199,7 @@ specs AS (
     (3, '3.5', 'Validity', 'consistency', 0.95e0),
     (4, '3.7', 'Currency / Timeliness', 'timeliness', 0.8e0),
     (5, '3.13', 'Uniqueness', 'uniqueness', 0.99e0))
-    t(spec_order, specification, spec_name, dimension, threshold)),
+    t(spec_order, specification, ndmo_name, dimension, threshold)),
 dims AS (
   SELECT dataset_id, sector, 'accuracy' AS dimension, accuracy AS value FROM scores
   UNION ALL SELECT dataset_id, sector, 'completeness', completeness FROM scores
@@ -205,21 +207,21 @@ dims AS (
   UNION ALL SELECT dataset_id, sector, 'timeliness', timeliness FROM scores
   UNION ALL SELECT dataset_id, sector, 'uniqueness', uniqueness FROM scores),
 gaps AS (
-  SELECT dataset_id, sector, specification, spec_name, d.dimension, value, threshold,
+  SELECT dataset_id, sector, specification, ndmo_name, d.dimension, value, threshold,
          CASE WHEN value IS NULL THEN 'n/a' WHEN value >= threshold THEN 'pass'
               WHEN value < threshold - 0.05e0 THEN 'fail' ELSE 'borderline' END AS verdict
   FROM dims d JOIN specs s ON s.dimension = d.dimension),
 verdicts AS (
-  SELECT specification, spec_name, sector, n,
+  SELECT specification, ndmo_name, sector, n,
          CASE WHEN n = 0 THEN 'n/a' WHEN p >= f AND p >= b THEN 'pass'
               WHEN f >= b THEN 'fail' ELSE 'borderline' END AS majority,
          CASE WHEN n > 0 THEN round_even(100e0 * p / n, 1) END AS pct_pass
-  FROM (SELECT specification, spec_name, sector,
+  FROM (SELECT specification, ndmo_name, sector,
                count(*) FILTER (WHERE verdict <> 'n/a') AS n,
                count(*) FILTER (WHERE verdict = 'pass') AS p,
                count(*) FILTER (WHERE verdict = 'fail') AS f,
                count(*) FILTER (WHERE verdict = 'borderline') AS b
-        FROM gaps GROUP BY specification, spec_name, sector) g)
+        FROM gaps GROUP BY specification, ndmo_name, sector) g)
 """
 GAP_CTES = [*SCORES, GAPS]
 
@@ -251,13 +253,16 @@ query(
     "s03_load_status",
     *SECTOR_CTES,
     select="""
-SELECT DISTINCT sector, true AS all_loaded, CAST(0 AS BIGINT) AS errors FROM sector_rows""",
+SELECT DISTINCT sector, sector <> 'books' AS all_loaded,
+       CAST(CASE WHEN sector = 'books' THEN 1 ELSE 0 END AS BIGINT) AS errors FROM sector_rows""",
 )
 query(
     "s04_encoding",
     *SECTOR_CTES,
-    select="SELECT DISTINCT sector, 'utf-8' AS encoding FROM sector_rows",
+    select=f"SELECT DISTINCT sector, {ENCODING} AS encoding FROM sector_rows",
 )
+# How the derived catalogue is written: one sector in UTF-16, one with an empty file.
+ENCODING = "CASE WHEN sector = 'forum' THEN 'utf-16' ELSE 'utf-8' END"
 DELIMITER = """CASE sector WHEN 'press' THEN ',' WHEN 'web' THEN ';'
        WHEN 'books' THEN chr(9) ELSE '|' END"""
 query(
@@ -295,7 +300,7 @@ query(
     "s09_load_metadata",
     *SECTOR_CTES,
     select=f"""
-SELECT 'utf-8' AS encoding, {DELIMITER} AS delimiter, CAST(4 AS BIGINT) AS cols,
+SELECT {ENCODING} AS encoding, {DELIMITER} AS delimiter, CAST(4 AS BIGINT) AS cols,
        count(*) AS rows FROM sector_rows GROUP BY sector""",
 )
 query(
@@ -353,8 +358,13 @@ query(
     select="""
 SELECT dataset_id, CAST(sum(n_nulls) AS BIGINT) AS n_nulls FROM stats GROUP BY dataset_id""",
 )
-FIRST_CELLS = f"""
-first_cells AS (
+DATE_CELLS = f"""
+date_cells AS (
+  SELECT dataset_id, col_idx, col_name, avg(CASE WHEN {IS_DATE} THEN 1e0 ELSE 0e0 END) AS date_share
+  FROM cells WHERE x IS NOT NULL GROUP BY dataset_id, col_idx, col_name)
+"""
+LEADING_CELLS = f"""
+date_cells AS (
   SELECT dataset_id, col_idx, col_name, avg(CASE WHEN {IS_DATE} THEN 1e0 ELSE 0e0 END) AS date_share
   FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, col_idx ORDER BY row_id) AS place
         FROM cells WHERE x IS NOT NULL) c
@@ -363,7 +373,7 @@ first_cells AS (
 ORDERED_EVENTS = [
     DIRTY_EVENTS_SQL,
     long_cells("dirty_events", "event_type", EVENTS, "row_id,"),
-    FIRST_CELLS,
+    DATE_CELLS,
 ]
 query(
     "p03_column_classes",
@@ -379,13 +389,19 @@ SELECT s.dataset_id, s.col_name,
        CASE WHEN f.date_share > 0.8e0 THEN 'date' WHEN s.is_numeric THEN 'numeric'
             WHEN d.n_distinct / CAST(s.n_rows AS DOUBLE) > 0.5e0 AND d.mean_length > 20
             THEN 'freetext' ELSE 'categorical' END AS class
-FROM stats s LEFT JOIN first_cells f USING (dataset_id, col_idx)
+FROM stats s LEFT JOIN date_cells f USING (dataset_id, col_idx)
 LEFT JOIN spread d USING (dataset_id, col_idx)""",
 )
 query(
     "p03a_date_share",
     *ORDERED_EVENTS,
-    select=f"SELECT dataset_id, col_idx, {r('date_share', 'date_share')} FROM first_cells",
+    select=f"SELECT dataset_id, col_idx, {r('date_share', 'date_share')} FROM date_cells",
+)
+query(
+    "p03a_date_share_of_first",
+    *ORDERED_EVENTS[:2],
+    LEADING_CELLS,
+    select=f"SELECT dataset_id, col_idx, {r('date_share', 'date_share')} FROM date_cells",
 )
 query(
     "p03b_numeric_columns",
@@ -406,7 +422,7 @@ query(
     long_cells("dirty_documents", "source", DOCUMENTS, "row_id,"),
     CATALOGUE_SQL,
     STATS,
-    FIRST_CELLS,
+    DATE_CELLS,
     """
 spread AS (
   SELECT dataset_id, col_idx, count(DISTINCT x) AS n_distinct, avg(length(x)) AS mean_length
@@ -416,7 +432,7 @@ kinds AS (
          CASE WHEN f.date_share > 0.8e0 THEN 'date' WHEN s.is_numeric THEN 'numeric'
               WHEN d.n_distinct / CAST(s.n_rows AS DOUBLE) > 0.5e0 AND d.mean_length > 20
               THEN 'freetext' ELSE 'categorical' END AS class
-  FROM stats s LEFT JOIN first_cells f USING (dataset_id, col_idx)
+  FROM stats s LEFT JOIN date_cells f USING (dataset_id, col_idx)
   LEFT JOIN spread d USING (dataset_id, col_idx))
 """,
     select="""
@@ -573,34 +589,110 @@ query(
 SELECT dataset_id, row_id, {r("a", "user_id")}, {r("b", "value")}, n AS n_records FROM matrix""",
 )
 query(
-    "a01_sampled_matrix",
+    "a01_full_matrix",
     """
 keyed AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'
          || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS row_id,
          l_quantity AS q, l_extendedprice AS p FROM lineitem),
-sampled AS (
-  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS place
-                 FROM keyed) k WHERE place <= 50000),
 moments AS (
   SELECT count(*) AS n, avg(q) AS aq, stddev_pop(q) AS sq, avg(p) AS ap, stddev_pop(p) AS sp
-  FROM sampled)
+  FROM keyed)
 """,
     select=f"""
 SELECT row_id, {r("(q - aq) / sq", "quantity")}, {r("(p - ap) / sp", "price")}, n AS n_records
-FROM sampled CROSS JOIN moments""",
+FROM keyed CROSS JOIN moments""",
 )
-query(
-    "a02_isolation_forest",
+
+
+def forest(matrix: str, trees: int = 100, sample: int = 256, levels: int = 8) -> str:
+    """CTE ``forest_scores``: the same trees grown and walked level by level."""
+    usual = "CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649e0) - 2e0 * ({0} - 1) / {0} WHEN {0} = 2 THEN 1e0 ELSE 0e0 END"
+    name = "'42:' || dataset_id || '/' || tree || '/' || node"
+    key = "dataset_id, tree, node"
+    parts = [
+        f"""
+lots AS MATERIALIZED (
+  SELECT dataset_id, t AS tree, a, b, least({sample}, n) AS psi,
+         md5('42:' || t || ':' || row_id) AS lot
+  FROM {matrix}, range(0, {trees}) r(t)
+  WHERE CAST('0x' || substr(md5('42/' || (t // 8) || ':' || row_id), 1 + 4 * (t % 8), 4) AS INTEGER)
+        < least(65536, ceil(65536e0 * 4 * {sample} / n))),
+points0 AS MATERIALIZED (
+  SELECT dataset_id, tree, CAST(1 AS BIGINT) AS node, a, b, psi FROM lots
+  QUALIFY row_number() OVER (PARTITION BY dataset_id, tree ORDER BY lot) <= {sample}),
+walk0 AS (
+  SELECT dataset_id, row_id, t AS tree, CAST(1 AS BIGINT) AS node, a, b
+  FROM {matrix}, range(0, {trees}) r(t))"""
+    ]
+    for i in range(levels + 1):
+        parts.append(f"""
+ranges{i} AS (
+  SELECT {key}, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, count(*) AS size,
+         any_value(psi) AS psi
+  FROM points{i} GROUP BY {key}),
+picked{i} AS (
+  SELECT *, CASE WHEN {i} >= ceil(log2(psi)) OR (ha <= la AND hb <= lb) THEN -1
+                 WHEN hb <= lb THEN 0 WHEN ha <= la THEN 1
+                 WHEN md5({name} || '/0') <= md5({name} || '/1') THEN 0 ELSE 1 END AS f,
+         CAST('0x' || substr(md5({name}), 1, 13) AS BIGINT) / 4503599627370496e0 AS u
+  FROM ranges{i}),
+nodes{i} AS MATERIALIZED (
+  SELECT {key}, f, {i} + {usual.format("size")} AS path, {usual.format("psi")} AS usual,
+         CASE f WHEN 0 THEN (CASE WHEN la + u * (ha - la) < ha THEN la + u * (ha - la) ELSE la END)
+                ELSE (CASE WHEN lb + u * (hb - lb) < hb THEN lb + u * (hb - lb) ELSE lb END) END AS cut
+  FROM picked{i})""")
+        if i < levels:
+            for name_of, columns in (("points", "a, b, psi"), ("walk", "row_id, a, b")):
+                parts.append(f"""
+{name_of}{i + 1} AS MATERIALIZED (
+  SELECT dataset_id, tree, {columns},
+         2 * node + CASE WHEN (CASE f WHEN 0 THEN a ELSE b END) > cut THEN 1 ELSE 0 END AS node
+  FROM {name_of}{i} JOIN nodes{i} USING ({key}) WHERE f >= 0)""")
+    ends = " UNION ALL ".join(
+        f"SELECT dataset_id, row_id, path, usual FROM walk{i} JOIN nodes{i} USING ({key}) WHERE f < 0"
+        for i in range(levels + 1)
+    )
+    parts.append(f"""
+forest_scores AS MATERIALIZED (
+  SELECT dataset_id, row_id, pow(2e0, -(sum(path) / {trees}e0) / any_value(usual)) AS score
+  FROM ({ends}) e GROUP BY dataset_id, row_id)""")
+    return ",".join(parts)
+
+
+FOREST = [DIRTY_EVENTS_SQL, EVENT_MATRIX, forest("matrix")]
+FOREST_CUTS = ",\n".join(
+    f"k{i} AS (SELECT dataset_id, CAST({c} AS DOUBLE) AS c, quantile_cont(score, {1 - c!r}) AS cut "
+    "FROM forest_scores GROUP BY dataset_id)"
+    for i, c in enumerate([0.02, 0.05, 0.075, 0.10, 0.15])
+)
+FOREST_SWEEP = [
+    *FOREST,
+    FOREST_CUTS,
     """
-sizes AS (
-  SELECT event_type AS dataset_id, count(*) + count(*) FILTER (WHERE event_id % 50 = 0) AS n
-  FROM events GROUP BY event_type)
+sweep AS (
+  SELECT p.dataset_id, c, avg(CASE WHEN score > cut THEN 1e0 ELSE 0e0 END) AS rate
+  FROM forest_scores p JOIN (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
+                             UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4) k USING (dataset_id)
+  GROUP BY p.dataset_id, c)
 """,
+]
+query(
+    "a02_forest_scores",
+    *FOREST,
+    select=f"SELECT dataset_id, row_id, {r('score', 'score')} FROM forest_scores",
+)
+query(
+    "a02_isolation_forest",
+    *FOREST,
+    FOREST_CUTS,
     select=f"""
-SELECT dataset_id, true AS applicable, {r(f"{beyond('n', '0.05e0')} / n", "anomaly_rate")},
-       {r(f"1 - {beyond('n', '0.05e0')} / n", "accuracy_proxy")},
-       n AS n_records, 2 AS n_features FROM sizes""",
+SELECT p.dataset_id, true AS applicable,
+       {r("avg(CASE WHEN score > cut THEN 1e0 ELSE 0e0 END)", "anomaly_rate")},
+       {r("avg(score)", "anomaly_score_mean")}, {r("stddev_pop(score)", "anomaly_score_std")},
+       {r("1 - avg(CASE WHEN score > cut THEN 1e0 ELSE 0e0 END)", "accuracy_proxy")},
+       count(*) AS n_records, 2 AS n_features
+FROM forest_scores p JOIN k1 USING (dataset_id) GROUP BY p.dataset_id""",
 )
 PRICES = """
 prices AS (
@@ -619,15 +711,10 @@ cuts AS (
 )
 query(
     "a03_contamination_sweep",
-    """
-sizes AS (
-  SELECT event_type AS dataset_id, count(*) + count(*) FILTER (WHERE event_id % 50 = 0) AS n
-  FROM events GROUP BY event_type),
-levels AS (SELECT unnest([0.02e0, 0.05e0, 0.075e0, 0.1e0, 0.15e0]) AS c)
-""",
+    *FOREST_SWEEP,
     select=f"""
-SELECT dataset_id, {r("c", "contamination")}, {r(f"{beyond('n', 'c')} / n", "anomaly_rate")},
-       true AS applicable FROM sizes CROSS JOIN levels""",
+SELECT dataset_id, {r("c", "contamination")}, {r("rate", "anomaly_rate")}, true AS applicable
+FROM sweep""",
 )
 PRICE_CUTS = ",\n".join(
     f"c{i} AS (SELECT dataset_id, CAST({c} AS DOUBLE) AS c, quantile_cont(score, {1 - c!r}) AS cut "
@@ -809,7 +896,7 @@ query(
     "c01_specifications",
     *GAP_CTES,
     select="""
-SELECT specification, spec_name, dimension, threshold, count(value) AS n_values
+SELECT specification, ndmo_name, dimension, threshold, count(value) AS n_values
 FROM gaps GROUP BY ALL""",
 )
 
@@ -831,7 +918,7 @@ query(
     "c03_gap_report",
     *GAP_CTES,
     select=f"""
-SELECT dataset_id, sector, specification, spec_name, dimension, {r("value", "value")},
+SELECT dataset_id, sector, specification, ndmo_name, dimension, {r("value", "value")},
        threshold, verdict FROM gaps""",
 )
 _wide = ", ".join(
@@ -844,13 +931,13 @@ query(
     "c04_sector_matrix",
     *GAP_CTES,
     select=f"""
-SELECT specification, spec_name AS name, {_wide} FROM verdicts GROUP BY specification, spec_name""",
+SELECT specification, ndmo_name AS name, {_wide} FROM verdicts GROUP BY specification, ndmo_name""",
 )
 query(
     "c05_gap_register",
     *GAP_CTES,
     select=f"""
-SELECT dataset_id, sector, specification, spec_name, dimension, {r("value", "observed")},
+SELECT dataset_id, sector, specification, ndmo_name, dimension, {r("value", "observed")},
        threshold, verdict FROM gaps WHERE verdict IN ('fail', 'borderline')
 ORDER BY verdict, sector, specification, dataset_id""",
 )
@@ -1217,21 +1304,22 @@ FROM scores WHERE dataset_id = 'src7'""",
 )
 _kpis = [
     ("Datasets audited", "n_datasets", None, None, None),
-    ("Total rows", "portfolio_total_rows", None, None, None),
-    ("Total cells", "portfolio_total_cells", None, None, None),
-    ("Portfolio completeness", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
-    ("Mean completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
-    ("Datasets at 95% completeness",
+    ("Total rows ingested", "portfolio_total_rows", None, None, None),
+    ("Total cells inspected", "portfolio_total_cells", None, None, None),
+    ("Portfolio completeness (cells-weighted)", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
+    ("Mean per-dataset completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
+    ("Datasets meeting 95% completeness",
      "datasets_meeting_95pct_completeness / CAST(n_datasets AS DOUBLE)", 0.95, "min", "3.2"),
-    ("Mean consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
-    ("Datasets at 95% consistency",
+    ("Mean per-dataset consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
+    ("Datasets meeting 95% consistency",
      "datasets_meeting_95pct_consistency / CAST(n_datasets AS DOUBLE)", 0.90, "min", "3.4"),
-    ("Mean uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
-    ("Datasets under 1% duplicates",
+    ("Mean per-dataset uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
+    ("Datasets with < 1% duplicates",
      "datasets_lt_1pct_duplicates / CAST(n_datasets AS DOUBLE)", 0.95, "min", "3.13"),
-    ("Mean anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
+    ("Mean IF anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
+    ("Mean Cohen’s κ (IF vs DBSCAN)", "(SELECT avg(kappa) FROM agreement)", None, None, None),
     *[
-        (f"Band {b} share",
+        (f"Portfolio DRL distribution (Band {b})",
          f"(SELECT avg(CASE WHEN drl_band = 'Band {b}' THEN 1e0 ELSE 0e0 END) FROM scores)",
          None, None, None)
         for b in "ABC"
@@ -1259,7 +1347,116 @@ def _kpi_row(kpi, field, threshold, bound, spec) -> str:
 
 
 _kpi_rows = "\nUNION ALL ".join(_kpi_row(*k) for k in _kpis)
-query("r16_kpi_table", *SCORES, HEADLINE, select=_kpi_rows)
+_taken = r"\b(pairs|kdist|eps_base|eps|core|noise|medians|filled|moments|matrix|cuts|flags|counts|agreed)\b"
+query(
+    "r16_kpi_table",
+    *SCORES,
+    HEADLINE,
+    *[re.sub(_taken, r"event_\1", part) for part in AGREEMENT],
+    select=_kpi_rows,
+)
+
+# The same reports over the forest's own scores and flags.
+FOREST_FLAGS = FLAGS.replace(
+    "quantile_cont(abs(b), 0.95) AS cut FROM matrix", "quantile_cont(score, 0.95) AS cut FROM forest_scores"
+).replace("abs(b) > cut AS anomaly", "score > cut AS anomaly").replace("FROM matrix m", "FROM forest_scores m")
+FOREST_AGREEMENT = [DIRTY_EVENTS_SQL, EVENT_MATRIX, forest("matrix"), density("matrix"), FOREST_FLAGS]
+
+
+def _joined(ctes: list[str]) -> str:
+    return ",\n".join(c.strip() for c in ctes)
+
+
+for _new, _old, _from, _to in [
+    ("a04_forest_stability", "a04_rank_stability", PRICE_SWEEP, FOREST_SWEEP),
+    ("v01_forest_pivot", "v01_sweep_pivot", PRICE_SWEEP, FOREST_SWEEP),
+    ("r02_forest_means", "r02_sweep_means", PRICE_SWEEP, FOREST_SWEEP),
+    ("r13_forest_stability", "r13_stability_status", PRICE_SWEEP, FOREST_SWEEP),
+    ("a07_forest_agreement", "a07_agreement", AGREEMENT, FOREST_AGREEMENT),
+    ("a09_forest_means", "a09_agreement_means", AGREEMENT, FOREST_AGREEMENT),
+    ("r13_forest_kappa", "r13_kappa_status", AGREEMENT, FOREST_AGREEMENT),
+]:
+    ORACLES[_new] = ORACLES[_old].replace(_joined(_from), _joined(_to))
+query(
+    "r14_agreement_register",
+    *FOREST_AGREEMENT,
+    select=f"""
+SELECT dataset_id, 'events' AS sector, {r("kappa", "kappa")}, {r("jaccard", "jaccard")},
+       x AS if_anom_count, y AS dbscan_noise_count, o AS overlap, kappa_interp
+FROM agreement""",
+)
+query(
+    "t01_by_kappa",
+    *FOREST_AGREEMENT,
+    select=f"""
+SELECT dataset_id, 'events' AS sector, {r("kappa", "kappa")}, {r("jaccard", "jaccard")}
+FROM agreement""",
+)
+
+
+def histogram(source: str, value: str, bins: int) -> dict[str, object]:
+    return {
+        "ctes": f"""
+edges AS (
+  SELECT CASE WHEN lo = hi THEN lo - 0.5e0 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5e0 ELSE hi END AS hi
+  FROM (SELECT min({value}) AS lo, max({value}) AS hi FROM {source}
+        WHERE isfinite({value})) e),
+placed AS (
+  SELECT CAST(least(floor(({value} - lo) * {bins} / (hi - lo)), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
+  FROM {source} CROSS JOIN edges WHERE isfinite({value}) GROUP BY 1)
+""",
+        "select": f"""
+SELECT b.bin, {r(f"lo + b.bin * ((hi - lo) / {bins})", "left_edge")},
+       {r(f"lo + (b.bin + 1) * ((hi - lo) / {bins})", "right_edge")}, coalesce(n, 0) AS n
+FROM (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) b CROSS JOIN edges
+LEFT JOIN placed USING (bin)""",
+    }
+
+
+for _name, _ctes, _source, _value, _bins in [
+    ("r05_composite_histogram", SCORES, "scores", "full_composite", 20),
+    ("r05_kappa_histogram", FOREST_AGREEMENT, "agreement", "kappa", 12),
+    (
+        "r05_unfinite_histogram",
+        [
+            """
+unfinite AS (
+  SELECT CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('inf' AS DOUBLE)
+              WHEN event_id % 13 = 0 THEN CAST('-inf' AS DOUBLE) WHEN event_id % 17 = 0 THEN NULL ELSE value END AS x
+  FROM events)
+"""
+        ],
+        "unfinite",
+        "x",
+        10,
+    ),
+]:
+    _h = histogram(_source, _value, _bins)
+    query(_name, *_ctes, _h["ctes"], select=_h["select"])
+
+# Slices without a key are a dataset of their own.
+NULL_KEYS = """
+keyless AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN '<null>' WHEN event_id % 5 = 0 THEN '<<null>' ELSE coalesce(k, '') END AS dataset_id,
+         user_id, value
+  FROM (SELECT *, event_type AS k FROM events) e)
+"""
+query(
+    "p01_null_slice",
+    NULL_KEYS,
+    select=f"""
+SELECT dataset_id, {r("1 - (count(*) - count(user_id) + count(*) - count(value)) / (2e0 * count(*))", "completeness")},
+       CAST(2 * count(*) - count(user_id) - count(value) AS BIGINT) AS n_nulls, CAST(2 * count(*) AS BIGINT) AS total_cells
+FROM keyless GROUP BY dataset_id""",
+)
+query(
+    "m02_uniqueness_wide",
+    select=f"""
+SELECT event_type AS dataset_id,
+       {r("1 - (count(*) - count(DISTINCT (epoch_us(ts) // 2, user_id % 10))) / CAST(count(*) AS DOUBLE)", "uniqueness")},
+       count(*) - count(DISTINCT (epoch_us(ts) // 2, user_id % 10)) AS duplicate_rows, count(*) AS total_rows
+FROM events GROUP BY event_type""",
+)
 
 query(
     "f08_numeric_texts",

@@ -137,9 +137,11 @@ def document_files(spark, folder) -> str:
             .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
+            .option("encoding", "UTF-16" if sector == "forum" else "UTF-8")
             .option("maxRecordsPerFile", 100_000)
             .csv(f"{root}/{sector}")
         )
+    rows.limit(0).coalesce(1).select("text").write.mode("append").csv(f"{root}/books")
     return root
 
 
@@ -227,7 +229,7 @@ def s08_type_inference(spark, folder):
 @query
 def s09_load_metadata(spark, folder):
     """Loader record of every file, summed per encoding, delimiter and width."""
-    inventory = loaded_files(spark, folder).inventory()
+    inventory = loaded_files(spark, folder).inventory().where("load_ok")
     return inventory.groupBy("encoding", "delimiter", "cols").agg(F.sum("rows").alias("rows"))
 
 
@@ -342,10 +344,18 @@ def p03_column_classes(spark, folder):
 @query
 def p03a_date_share(spark, folder):
     rows = v.dirty_events(spark, folder)
-    cells = profile.long_cells(rows, "event_type", v.EVENT_COLUMNS, "row_id")
+    cells = profile.long_cells(rows, "event_type", v.EVENT_COLUMNS)
     return rounded(profile.date_share(cells).drop("n_sampled"))
 
 
+@query
+def p03a_date_share_of_first(spark, folder):
+    """The share among the first 50 values of a column, on request."""
+    rows = v.dirty_events(spark, folder)
+    cells = profile.long_cells(rows, "event_type", v.EVENT_COLUMNS, "row_id")
+    return rounded(profile.date_share(cells, 50).drop("n_sampled"))
+
+
 @query
 def p03b_numeric_columns(spark, folder):
     stats = profile.column_stats(
@@ -529,8 +539,8 @@ def a01_numeric_matrix(spark, folder):
 
 
 @query
-def a01_sampled_matrix(spark, folder):
-    """Order lines as one dataset, sampled by row hash once they pass 50,000."""
+def a01_full_matrix(spark, folder):
+    """All order lines as one dataset."""
     rows = v.table(spark, folder, "lineitem").withColumn("row_id", F.concat_ws("-", *_LINE_KEY))
     numbers = matrix.numeric_matrix(rows, "row_id", None, ["l_quantity", "l_extendedprice"])
     x = F.col("features")
@@ -550,15 +560,22 @@ def a02_isolation_forest(spark, folder):
     )
     return rounded(
         summary.select(
-            "dataset_id", "applicable", "anomaly_rate", "accuracy_proxy", "n_records", "n_features"
+            "dataset_id",
+            "applicable",
+            "anomaly_rate",
+            "anomaly_score_mean",
+            "anomaly_score_std",
+            "accuracy_proxy",
+            "n_records",
+            "n_features",
         )
     )
 
 
 @query
 def a02_forest_scores(spark, folder):
-    """Row scores of the forest; random trees have no SQL counterpart."""
-    return event_scores(spark, folder)
+    """Row scores of the forest."""
+    return rounded(event_scores(spark, folder))
 
 
 def _price_scores(spark, folder):
@@ -637,10 +654,103 @@ def a07_agreement(spark, folder):
     return rounded(table)
 
 
+@shared
+def _forest_agreement(spark, folder) -> DataFrame:
+    labels = isolation.anomaly_labels(event_scores(spark, folder))
+    table = agreement.detector_agreement(labels, event_noise(spark, folder).labels())
+    return settle(table.withColumn("sector", F.lit("events")), "check-agreement")
+
+
+def _forest_sweep(spark, folder) -> DataFrame:
+    return isolation.contamination_sweep(event_scores(spark, folder), event_keys(spark, folder))
+
+
+@query
+def a04_forest_stability(spark, folder):
+    return rounded(isolation.rank_stability(_forest_sweep(spark, folder)))
+
+
+@query
+def v01_forest_pivot(spark, folder):
+    return rounded(reports.sweep_pivot(_forest_sweep(spark, folder)))
+
+
+@query
+def r02_forest_means(spark, folder):
+    return rounded(reports.sweep_means(_forest_sweep(spark, folder)))
+
+
+@query
+def r13_forest_stability(spark, folder):
+    stability = isolation.rank_stability(_forest_sweep(spark, folder))
+    return rounded(reports.stability_status(stability))
+
+
 @query
 def a07_forest_agreement(spark, folder):
-    labels = isolation.anomaly_labels(event_scores(spark, folder))
-    return agreement.detector_agreement(labels, event_noise(spark, folder).labels())
+    return rounded(_forest_agreement(spark, folder).drop("sector"))
+
+
+@query
+def a09_forest_means(spark, folder):
+    return rounded(agreement.agreement_means(_forest_agreement(spark, folder)))
+
+
+@query
+def r13_forest_kappa(spark, folder):
+    return rounded(reports.kappa_status(_forest_agreement(spark, folder)))
+
+
+@query
+def r14_agreement_register(spark, folder):
+    return rounded(reports.agreement_register(_forest_agreement(spark, folder)))
+
+
+@query
+def t01_by_kappa(spark, folder):
+    return rounded(reports.by_kappa(_forest_agreement(spark, folder)))
+
+
+@query
+def r05_kappa_histogram(spark, folder):
+    return rounded(reports.histogram(_forest_agreement(spark, folder), "kappa", 12))
+
+
+@query
+def r05_composite_histogram(spark, folder):
+    return rounded(reports.histogram(document_scores(spark, folder), "full_composite", 20))
+
+
+@query
+def r05_unfinite_histogram(spark, folder):
+    """NaN, infinities and nulls among the values."""
+    events = v.table(spark, folder, "events").selectExpr(
+        "CASE WHEN event_id % 7 = 0 THEN double('nan') WHEN event_id % 11 = 0 THEN double('inf') "
+        "WHEN event_id % 13 = 0 THEN double('-inf') WHEN event_id % 17 = 0 THEN NULL ELSE value END AS x"
+    )
+    return rounded(reports.histogram(events, "x", 10))
+
+
+@query
+def p01_null_slice(spark, folder):
+    """Rows without a slicing key, and keys that look like the name these get."""
+    events = v.table(spark, folder, "events").selectExpr(
+        "CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '<null>' ELSE event_type END AS k",
+        "user_id",
+        "value",
+    )
+    return rounded(dimensions.completeness(events, "k", ["user_id", "value"])[0])
+
+
+@query
+def m02_uniqueness_wide(spark, folder):
+    """Rows of 30 columns that differ in microseconds only, or not at all."""
+    wide = v.table(spark, folder, "events").select(
+        "event_type",
+        F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 2)).alias("ts"),
+        *[(F.col("user_id") % 10 + i).alias(f"c{i}") for i in range(29)],
+    )
+    return rounded(dimensions.uniqueness(wide, "event_type"))
 
 
 @query
@@ -718,7 +828,7 @@ def a14_projection(spark, folder):
 def c01_specifications(spark, folder):
     """How many datasets each specification applies to."""
     gaps = compliance.gap_report(document_scores(spark, folder))
-    return gaps.groupBy("specification", "spec_name", "dimension", "threshold").agg(
+    return gaps.groupBy("specification", "ndmo_name", "dimension", "threshold").agg(
         F.count("value").alias("n_values")
     )
 
@@ -1013,7 +1123,10 @@ def r15_inspector(spark, folder):
 
 @query
 def r16_kpi_table(spark, folder):
-    return rounded(reports.kpi_table(document_scores(spark, folder)))
+    table = agreement.detector_agreement(
+        _value_labels(spark, folder), event_noise(spark, folder).labels()
+    )
+    return rounded(reports.kpi_table(document_scores(spark, folder), table))
 
 
 # Expressions on whole tables ----------------------------------------------

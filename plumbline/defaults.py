@@ -76,12 +76,10 @@ BAND_CUTS = (0.85, 0.70)
 VERDICT_WINDOW = 0.05
 
 DATE_SHARE = 0.8
-DATE_SAMPLE = 50
 FREETEXT_RATIO = 0.5
 FREETEXT_LENGTH = 20
 
 SEED = 42
-MAX_ROWS = 50_000
 MIN_ROWS = 10
 CONTAMINATION = 0.05
 CONTAMINATIONS = [0.02, 0.05, 0.075, 0.10, 0.15]

@@ -29,6 +29,13 @@ def is_missing(column: Column, kind: T.DataType) -> Column:
     return column.isNull()
 
 
+# Nested timestamps keep their microseconds.
+_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def present(column: Column, kind: T.DataType) -> Column:
     """The column with NaN turned into null."""
     if isinstance(kind, _FLOATS):
@@ -40,7 +47,7 @@ def as_text(column: Column, kind: T.DataType) -> Column:
     """The cell as a string, null where missing."""
     column = present(column, kind)
     if isinstance(kind, _NESTED):
-        return F.to_json(column)
+        return F.to_json(column, _JSON)
     return column.cast("string")
 
 
@@ -102,11 +109,12 @@ _SHORT_NUMBERS = [
     (rf"^{_WEEKDAY}(\d{{1,2}}){_GAP}(\d{{1,2}}){_GAP}(\d{{4}}|\d{{1,2}}){_CLOCK}$", "$1-$2-$3"),
     (r"^(\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
 ]
-_LONGEST_DATE_TEXT = 48
 # Cheap test every date text passes: digits, separators and known words only.
+# Longer words come first and nothing is tried again, so that texts of any
+# length are read once.
 _DATE_ALPHABET = (
-    r"^(?=.*\d)(?:[\d ,:./+-]|st|nd|rd|th|[ap]m|utc|gmt|[qtz]|"
-    rf"{_MONTH}|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun|day)+$"
+    rf"^(?=.*\d)(?:{_MONTH}|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun|day|"
+    r"st|nd|rd|th|[ap]m|utc|gmt|[qtz]|[\d ,:./+-])++$"
 )
 
 
@@ -172,13 +180,10 @@ def date_like(text: Column) -> Column:
         inside = _bind(F.try_to_date(ordered, "y-M-d"), lambda day: day.between(first, last))
         return F.coalesce(F.when(candidate.rlike(_DATE_ALPHABET), inside), F.lit(False))
 
-    trimmed = F.lower(F.trim(text))
-    short = F.length(text).between(4, _LONGEST_DATE_TEXT)
-    return F.coalesce(F.when(short, _bind(trimmed, parses)), F.lit(False))
+    return F.coalesce(_bind(F.lower(F.trim(text)), parses), F.lit(False))
 
 
 _SHORT_TEXT = 64
-_KEY_COLUMNS = 24
 
 
 def text_key(text: Column) -> Column:
@@ -192,24 +197,34 @@ def text_key(text: Column) -> Column:
     )
 
 
+def _spelled(cell: Column, kind: T.DataType) -> Column:
+    """A text that two cells of one type share exactly if they are equal; null if missing."""
+    cell = present(cell, kind)
+    if isinstance(kind, _NESTED):
+        return F.to_json(cell, _JSON)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(cell.cast("timestamp")).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(cell)
+    if isinstance(kind, _FLOATS):
+        cell = cell + F.lit(0.0)
+    return cell.cast("string")
+
+
+def row_digest(cells: list[Column]) -> Column:
+    """SHA-256 of a row of texts, each with its length in front so that no two
+    rows run together; nulls have a mark of their own."""
+    parts = [
+        F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells
+    ]
+    return F.unhex(F.sha2(F.concat(*parts) if parts else F.lit(""), 256))
+
+
 def row_keys(columns: list[tuple[str, T.DataType]]) -> list[Column]:
-    """Grouping columns under which exactly the equal rows meet.
+    """A grouping column under which exactly the equal rows meet.
 
-    Nulls equal nulls, NaN counts as null, and -0.0 equals 0.0. Long texts and
-    nested values shrink to digests, and a row of many columns to one, so the
-    duplicate search shuffles little however wide the rows are.
+    Nulls equal nulls, NaN counts as null, and -0.0 equals 0.0. A row travels
+    as one digest however wide it is, so the duplicate search shuffles little.
     """
-    keys = []
-    for name, kind in columns:
-        cell = present(F.col(f"`{name}`"), kind)
-        if isinstance(kind, _NESTED):
-            cell = text_key(F.to_json(cell))
-        elif isinstance(kind, T.StringType):
-            cell = text_key(cell)
-        elif isinstance(kind, _FLOATS):
-            cell = cell + F.lit(0.0)
-        keys.append(cell)
-    if len(keys) > _KEY_COLUMNS:
-        named = [key.alias(f"c{i}") for i, key in enumerate(keys)]
-        keys = [F.unhex(F.sha2(F.to_json(F.struct(*named)), 256))]
-    return [key.alias(f"_key_{i}") for i, key in enumerate(keys)]
+    cells = [_spelled(F.col(f"`{name}`"), kind) for name, kind in columns]
+    return [row_digest(cells).alias("_key")]

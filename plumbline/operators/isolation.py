@@ -1,32 +1,34 @@
 """Isolation forests over many datasets at once.
 
-Growing needs only a bounded random pool of each dataset; scoring is a pure
-row-wise pass. So the forest of a dataset is one row of arrays, and the rows
-to score are split into chunks of bounded size that each meet a copy of their
-forest: no step depends on the size of the largest dataset, and nothing is
-broadcast. Scores do not depend on the contamination, so one fit serves a
-whole sweep.
+Every tree draws its own rows from the whole dataset, and growing needs these
+draws only; scoring is a pure row-wise pass. So the forest of a dataset is one
+row of arrays, and the rows to score are split into chunks of bounded size
+that each meet a copy of their forest: no step depends on the size of the
+largest dataset, and nothing is broadcast. Draws, features and cuts come from
+digests of the seed, the dataset, the tree and the node, so a forest is the
+same wherever and whenever it grows. Scores do not depend on the
+contamination, so one fit serves a whole sweep.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
-import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.defaults import CONTAMINATION, CONTAMINATIONS, SEED, TREE_SAMPLE, TREES
 from plumbline.functions.scoring import ratio
-from plumbline.operators.matrix import hash_fraction, row_hash
+from plumbline.operators.quantiles import exact_percentiles
+from plumbline.session import settle
 
 # Executors need no installed copy of this package: kernels travel with tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_POOL = 32_768
 _CHUNK = 16_384
 _EULER_GAMMA = 0.5772156649
 
@@ -34,6 +36,8 @@ _FOREST = (
     "dataset_id string, depth int, psi int, feature array<int>, cut array<double>, "
     "path array<double>"
 )
+_DRAWN = 65_536  # values of four hexadecimal digits, the lot of a row for one tree
+_SPARE = 4  # lots to expect per row wanted
 _SCORES = "dataset_id string, row_id string, score double"
 
 
@@ -45,19 +49,23 @@ def _expected_path(size: np.ndarray) -> np.ndarray:
     return np.where(size > 2, many, np.where(size == 2, 1.0, 0.0))
 
 
-def _grow(points: np.ndarray, trees: int, sample: int, seed: int, key: str) -> tuple:
-    """Grow all trees of one dataset level by level on heap-numbered nodes.
+def _digest(text: str) -> int:
+    """The first 52 bits of the text's MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
 
-    Node 1 is the root and node i has children 2i and 2i+1. The random stream
-    depends on the seed and the dataset id only.
+
+def _grow(points: np.ndarray, seed: int, key: str) -> tuple:
+    """Grow the trees of one dataset level by level on heap-numbered nodes.
+
+    ``points`` is (trees, rows per tree, features). Node 1 is the root and
+    node i has children 2i and 2i+1. Of the features that vary at a node the
+    one with the smallest digest is cut, at a point that another digest sets
+    between its least and largest value.
     """
-    rng = np.random.default_rng([seed, zlib.crc32(key.encode())])
-    n, width = points.shape
-    psi = min(sample, n)
+    trees, psi, width = points.shape
     depth = int(np.ceil(np.log2(psi))) if psi > 1 else 0
     nodes = 2 ** (depth + 1)
-    picked = np.stack([rng.permutation(n)[:psi] for _ in range(trees)])
-    x = points[picked].reshape(-1, width)
+    x = points.reshape(-1, width)
     base = np.repeat(np.arange(trees) * nodes, psi)
     node = np.ones(trees * psi, dtype=np.int64)
     feature = np.full(trees * nodes, -1, dtype=np.int32)
@@ -68,22 +76,17 @@ def _grow(points: np.ndarray, trees: int, sample: int, seed: int, key: str) -> t
         high = np.full((trees * nodes, width), -np.inf)
         np.minimum.at(low, slot, x)
         np.maximum.at(high, slot, x)
-        first, last = 2**level, 2 ** (level + 1)
-        here = (np.arange(trees)[:, None] * nodes + np.arange(first, last)).ravel()
-        ticket = rng.random((len(here), width))
-        where = rng.random(len(here))
-        spread = high[here] > low[here]
-        chosen = np.where(spread, ticket, -1.0).argmax(axis=1)
-        rows = np.arange(len(here))
-        splits = spread[rows, chosen]
-        lo, hi = low[here][rows, chosen], high[here][rows, chosen]
-        with np.errstate(invalid="ignore"):
-            value = np.where(splits, lo + where * (hi - lo), 0.0)
-        value = np.where(splits & (value >= hi), lo, value)
-        feature[here[splits]] = chosen[splits]
-        cut[here[splits]] = value[splits]
+        for here in np.unique(slot[node >= 2**level]).tolist():
+            varied = np.flatnonzero(high[here] > low[here]).tolist()
+            if not varied:
+                continue
+            name = f"{seed}:{key}/{here // nodes}/{here % nodes}"
+            chosen = min(varied, key=lambda f: _digest(f"{name}/{f}"))
+            lo, hi = low[here, chosen], high[here, chosen]
+            value = lo + _digest(name) / 2**52 * (hi - lo)
+            feature[here], cut[here] = chosen, value if value < hi else lo
         axis = feature[slot]
-        moving = (axis >= 0) & (node >= first)
+        moving = (axis >= 0) & (node >= 2**level)
         right = x[np.arange(len(x)), np.maximum(axis, 0)] > cut[slot]
         node = np.where(moving, 2 * node + right, node)
     size = np.bincount(base + node, minlength=trees * nodes)
@@ -111,20 +114,60 @@ def _score(points: np.ndarray, depth: int, psi: int, feature, cut, path) -> np.n
     return np.power(2.0, -scores / usual) if usual > 0 else np.full(len(points), 0.5)
 
 
+def tree_rows(
+    matrix: DataFrame, *, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED
+) -> DataFrame:
+    """(dataset_id, tree, row_id, features): the rows every tree grows from.
+
+    Each tree draws ``sample`` rows of its dataset, or all if there are no
+    more. A row's lots, four digits of a digest per tree, thin the rows inside
+    the scan to some four times the number wanted; of these the smallest
+    digests of tree and row are drawn.
+    """
+    limit = F.least(
+        F.lit(float(_DRAWN)), F.ceil(F.lit(float(_DRAWN * _SPARE * sample)) / F.col("n_records"))
+    )
+
+    def taken(block: Column) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}/"), block.cast("string"), F.lit(":"), F.col("row_id")))
+
+        def drawn(lots: Column) -> Column:
+            return F.filter(
+                F.sequence(block * 8, F.least(block * 8 + 7, F.lit(trees - 1))),
+                lambda t: F.conv(lots.substr(t % 8 * 4 + 1, F.lit(4)), 16, 10).cast("int") < limit,
+            )
+
+        return F.get(F.transform(F.array(digest), drawn), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.lit((trees - 1) // 8))
+    lots = matrix.select(
+        "dataset_id", "row_id", "features", F.explode(F.flatten(F.transform(blocks, taken))).alias("tree")
+    )
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), F.col("row_id")))
+    first = Window.partitionBy("dataset_id", "tree").orderBy("order", "row_id")
+    return (
+        lots.withColumn("order", order)
+        .withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= sample)
+        .drop("order", "place")
+    )
+
+
 def grow_forest(
     matrix: DataFrame, *, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED
 ) -> DataFrame:
     """One row per dataset holding its forest as arrays.
 
-    Trees draw from a hash-selected pool of about 32,768 rows, the bound on
-    what one task receives; smaller datasets are their own pool.
+    What one task receives is ``trees`` times ``sample`` rows.
     """
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
+        rows = rows.sort_values(["tree", "row_id"])
         key = rows["dataset_id"].iloc[0]
         points = np.stack(rows["features"].to_numpy())
-        depth, psi, feature, cut, path = _grow(points, trees, sample, seed, key)
+        depth, psi, feature, cut, path = _grow(
+            points.reshape(trees, -1, points.shape[1]), seed, key
+        )
         return pd.DataFrame(
             {
                 "dataset_id": [key],
@@ -136,10 +179,8 @@ def grow_forest(
             }
         )
 
-    pool = matrix.where(
-        hash_fraction(row_hash(seed, "/pool")) < F.lit(float(_POOL)) / F.col("n_records")
-    ).select("dataset_id", "row_id", "features")
-    return pool.groupBy("dataset_id").applyInPandas(grow, _FOREST)
+    drawn = tree_rows(matrix, trees=trees, sample=sample, seed=seed)
+    return drawn.groupBy("dataset_id").applyInPandas(grow, _FOREST)
 
 
 def score_rows(matrix: DataFrame, forest: DataFrame, *, seed: int = SEED) -> DataFrame:
@@ -190,15 +231,14 @@ def isolation_scores(
 def score_cuts(scores: DataFrame, contaminations: list[float] = CONTAMINATIONS) -> DataFrame:
     """(dataset_id, contamination, cut): interpolated score percentile at 1 − c.
 
-    The percentile is exact and its group is bounded by the matrix sample.
+    Exact for datasets of any size; a small written table.
     """
     levels = F.array(*[F.lit(float(c)) for c in contaminations])
-    shares = F.array(*[F.lit(1.0 - float(c)) for c in contaminations])
-    return (
-        scores.groupBy("dataset_id")
-        .agg(F.percentile("score", shares).alias("cuts"))
-        .select("dataset_id", F.inline(F.arrays_zip(levels.alias("contamination"), F.col("cuts"))))
-        .withColumnRenamed("cuts", "cut")
+    values = scores.select("dataset_id", F.col("score").alias("x"))
+    found = exact_percentiles(values, ["dataset_id"], [1.0 - float(c) for c in contaminations])
+    pairs = F.arrays_zip(levels.alias("contamination"), F.col("percentiles").alias("cut"))
+    return settle(
+        found.select("dataset_id", F.inline(pairs)).toDF("dataset_id", "contamination", "cut"), "cuts"
     )
 
 
@@ -252,8 +292,11 @@ def contamination_sweep(
     ``keys``, such as the sector, are carried along.
     """
     cuts = score_cuts(scores, contaminations)
-    packed = cuts.groupBy("dataset_id").agg(
-        F.collect_list(F.struct("contamination", "cut")).alias("cuts")
+    packed = settle(
+        cuts.groupBy("dataset_id").agg(
+            F.collect_list(F.struct("contamination", "cut")).alias("cuts")
+        ),
+        "packed-cuts",
     )
     beyond = F.transform(
         "cuts",

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.defaults import MAX_ROWS, MIN_ROWS, SEED
+from plumbline.defaults import MIN_ROWS
 from plumbline.functions.cells import is_feature_type, present
 from plumbline.operators.profile import dataset_key, measured_columns
+from plumbline.operators.quantiles import exact_percentiles
 from plumbline.session import settle
 
-_HASH_SPAN = float(2**60)
-
-
-def row_hash(seed: int, salt: str = "") -> Column:
-    """Digest text of a row id; its order is the seeded sample order."""
-    return F.md5(F.concat(F.lit(f"{seed}{salt}:"), F.col("row_id")))
-
-
-def hash_fraction(digest: Column) -> Column:
-    """The digest's first 15 hex digits as a number in [0, 1)."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("double") / F.lit(_HASH_SPAN)
-
 
 def feature_rows(
     df: DataFrame, row_id: str, by: str | None = None, columns: list[str] | None = None
@@ -36,69 +25,46 @@ def feature_rows(
     )
 
 
-def sample_rows(rows: DataFrame, max_rows: int = MAX_ROWS, seed: int = SEED) -> DataFrame:
-    """At most ``max_rows`` rows per dataset: those with the smallest hashes.
-
-    A dataset over the limit is first thinned inside the scan to the hashes
-    below (2·max_rows + 1000)/n. On average that leaves more than twice the
-    rows wanted, and by the Chernoff bound fewer than ``max_rows`` remain with
-    probability below e⁻¹⁰⁰ even for a limit of 1, so the exact cut-off hash
-    comes from a bounded group however large the dataset is. What is left is
-    written once: the steps that follow never go back to the input, and no
-    row is shuffled to be sampled.
-    """
-    sizes = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_all"))
-    large = F.col("n_all") > max_rows
-    digest = F.when(large, row_hash(seed))
-    share = F.lit(2.0 * max_rows + 1000) / F.col("n_all")
-    thinned = settle(
-        rows.join(sizes, "dataset_id")
-        .withColumn("digest", digest)
-        .where(~large | (hash_fraction(F.col("digest")) < share)),
-        "sample",
-    )
-    cuts = (
-        thinned.where("digest is not null")
-        .groupBy("dataset_id")
-        .agg(F.array_sort(F.collect_list("digest")).alias("digests"))
-        .select("dataset_id", F.get("digests", F.lit(max_rows - 1)).alias("cut"))
-    )
-    return (
-        thinned.join(cuts, "dataset_id", "left")
-        .where(F.col("digest").isNull() | (F.col("digest") <= F.col("cut")))
-        .select("dataset_id", "row_id", "features")
-    )
-
-
 def standardise(
     rows: DataFrame,
     width: int,
     *,
-    max_rows: int = MAX_ROWS,
     min_rows: int = MIN_ROWS,
-    seed: int = SEED,
 ) -> DataFrame:
-    """Sample, impute, drop and z-score feature rows.
+    """Impute, drop and z-score all feature rows.
 
     Medians fill nulls before rows with infinities are dropped, so infinities
     take part in the median, and a column without any value empties the whole
     matrix. Datasets with fewer than ``min_rows`` rows, before or after the
-    drop, or without features have no rows in the result. Medians and moments
-    are exact: the sample bounds every group by ``max_rows``.
+    drop, or without features have no rows in the result. Medians are exact
+    for datasets of any size. The statistics are small written tables, so the
+    planner knows that rows need not move to meet them.
     """
     finite = F.lit(float("inf"))
     at = [F.get(F.col("features"), F.lit(i)) for i in range(width)]
-    sample = sample_rows(rows.where(F.size("features") > 0), max_rows, seed)
-    medians = (
-        sample.groupBy("dataset_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_sampled"),
-            F.array(*[F.percentile(x, 0.5) for x in at]).alias("medians"),
-        )
-        .where(F.col("n_sampled") >= min_rows)
+    rows = settle(rows.where(F.size("features") > 0), "feature-rows")
+    sizes = rows.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("features")).alias("n_axes")
+    )
+    axes = rows.select("dataset_id", F.posexplode("features").alias("axis", "x"))
+    middle = (
+        exact_percentiles(axes, ["dataset_id", "axis"], [0.5])
+        .groupBy("dataset_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("axis", F.col("percentiles")[0]))).alias("by_axis"))
+    )
+    medians = settle(
+        sizes.where(F.col("n_rows") >= min_rows)
+        .join(middle, "dataset_id", "left")
+        .select(
+            "dataset_id",
+            F.transform(
+                F.sequence(F.lit(0), F.col("n_axes") - 1), lambda i: F.try_element_at("by_axis", i)
+            ).alias("medians"),
+        ),
+        "medians",
     )
     filled = (
-        sample.join(medians, "dataset_id")
+        rows.join(medians, "dataset_id")
         .select(
             "dataset_id",
             "row_id",
@@ -112,14 +78,15 @@ def standardise(
             F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < finite))
         )
     )
-    moments = (
+    moments = settle(
         filled.groupBy("dataset_id")
         .agg(
             F.count(F.lit(1)).alias("n_records"),
             F.array(*[F.avg(x) for x in at]).alias("means"),
             F.array(*[F.stddev_pop(x) for x in at]).alias("spreads"),
         )
-        .where(F.col("n_records") >= min_rows)
+        .where(F.col("n_records") >= min_rows),
+        "moments",
     )
     centred = F.zip_with(
         "features", F.slice("means", F.lit(1), F.size("features")), lambda x, m: x - m
@@ -144,17 +111,13 @@ def numeric_matrix(
     by: str | None = None,
     columns: list[str] | None = None,
     *,
-    max_rows: int = MAX_ROWS,
     min_rows: int = MIN_ROWS,
-    seed: int = SEED,
 ) -> DataFrame:
     """Standardised numeric matrix of every dataset, one row per kept record.
 
     ``row_id`` must be unique per dataset and stable across runs: it carries
-    the row identity and drives the sample.
+    the row identity and decides which rows the forest's trees draw.
     """
     fields = [f for f in measured_columns(df, by, columns) if is_feature_type(f[1])]
     rows = feature_rows(df, row_id, by, columns)
-    return standardise(
-        rows, max(len(fields), 1), max_rows=max_rows, min_rows=min_rows, seed=seed
-    )
+    return standardise(rows, max(len(fields), 1), min_rows=min_rows)

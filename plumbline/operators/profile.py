@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from plumbline.defaults import (
     COLUMN_CLASSES,
-    DATE_SAMPLE,
     DATE_SHARE,
     FREETEXT_LENGTH,
     FREETEXT_RATIO,
@@ -39,14 +38,23 @@ from plumbline.functions.scoring import ratio
 from plumbline.session import settle
 
 WHOLE = "all"
+NULL_DATASET = "<null>"
 on_column = ["dataset_id", "col_idx"]
 _BATCH = 150
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def dataset_key(by: str | None) -> Column:
-    key = F.lit(WHOLE) if by is None else F.col(f"`{by}`").cast("string")
-    return key.alias("dataset_id")
+    """The dataset a row belongs to.
+
+    Rows without a key are the dataset ``<null>``; a key that is itself such
+    a text gets one more ``<`` in front.
+    """
+    if by is None:
+        return F.lit(WHOLE).alias("dataset_id")
+    key = F.col(f"`{by}`").cast("string")
+    named = F.when(key.rlike("^<+null>$"), F.concat(F.lit("<"), key)).otherwise(key)
+    return F.coalesce(named, F.lit(NULL_DATASET)).alias("dataset_id")
 
 
 def measured_columns(
@@ -172,55 +180,25 @@ def long_cells(
     return df.select(dataset_key(by), *order, F.inline(cells)).where("text is not null")
 
 
-def date_share(cells: DataFrame, sample: int = DATE_SAMPLE) -> DataFrame:
-    """Share of the first ``sample`` non-null cells of a column that are dates.
+def date_share(cells: DataFrame, sample: int | None = None) -> DataFrame:
+    """Share of a column's non-null cells that are dates.
 
-    ``cells`` is (dataset_id, order_key, col_idx, text). The rank filter turns
+    ``cells`` is (dataset_id, col_idx, text). With ``sample``, only the first
+    so many cells in the order of ``order_key`` count; the rank filter turns
     into a group limit before the shuffle, so at most ``sample`` cells per map
     task and column travel.
     """
-    first = Window.partitionBy("dataset_id", "col_idx").orderBy("order_key")
-    return _date_shares(
-        cells.withColumn("position", F.row_number().over(first)).where(
+    if sample is not None:
+        first = Window.partitionBy("dataset_id", "col_idx").orderBy("order_key")
+        cells = cells.withColumn("position", F.row_number().over(first)).where(
             F.col("position") <= sample
         )
-    )
-
-
-def _date_shares(sampled: DataFrame) -> DataFrame:
-    return sampled.groupBy("dataset_id", "col_idx").agg(
+    return cells.groupBy("dataset_id", "col_idx").agg(
         F.avg(date_like(F.col("text")).cast("double")).alias("date_share"),
         F.count(F.lit(1)).alias("n_sampled"),
     )
 
 
-def _frame_date_share(df, by, names, row_id, stats, sample) -> DataFrame:
-    """The same share for a typed frame, without ranking every single cell.
-
-    Rows are ranked once; nearly always the first few of a dataset hold enough
-    values of every column. Only columns too sparse for that are ranked cell
-    by cell over the whole dataset. The list of those is a small table of
-    known size, so with nothing in it the second pass reads nothing.
-    """
-    reach = 4 * sample
-    order = Window.partitionBy("dataset_id").orderBy(F.col(f"`{row_id}`"))
-    head = (
-        df.withColumn("dataset_id", dataset_key(by))
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= reach)
-    )
-    dense = settle(date_share(long_cells(head, "dataset_id", names, row_id), sample), "dates")
-    on = ["dataset_id", "col_idx"]
-    wanted = F.least(F.lit(sample), F.col("n_rows") - F.col("n_nulls"))
-    short = (
-        stats.join(dense, on, "left")
-        .where(F.coalesce("n_sampled", F.lit(0)) < wanted)
-        .select(*on)
-    )
-    whole = long_cells(df, by, names, row_id).join(short, on, "left_semi")
-    return dense.join(short, on, "left_anti").unionByName(date_share(whole, sample))
-
-
 def distinct_texts(cells: DataFrame) -> DataFrame:
     """Exact number of distinct texts per (dataset, column).
 
@@ -277,22 +255,23 @@ def column_classes(
     by: str | None = None,
     columns: list[str] | None = None,
     *,
-    date_sample: int = DATE_SAMPLE,
+    date_sample: int | None = None,
     **cuts,
 ) -> DataFrame:
     """Profile every column of every dataset and name its class.
 
-    ``row_id`` fixes the row order of the date sample. Distinct counts decide
-    only where a text column is long on average, so only such columns are
-    counted; elsewhere ``n_distinct`` is null.
+    The date share is that of all values, or of the first ``date_sample`` in
+    the order of ``row_id``. Distinct counts decide only where a text column
+    is long on average, so only such columns are counted; elsewhere
+    ``n_distinct`` is null.
     """
     fields = measured_columns(df, by, columns)
     names = [name for name, _ in fields]
     stats = settle(column_stats(df, by, names, clean=False, text_length=True), "stats")
     dated = [name for name, kind in fields if not isinstance(kind, T.BooleanType)]
-    dates = _frame_date_share(
-        df, by, names, row_id, stats.where(F.col("col_name").isin(dated)), date_sample
-    )
+    positions = {name: i for i, name in enumerate(names)}
+    order = None if date_sample is None else row_id
+    dates = date_share(long_cells(df, by, dated, order, positions), date_sample)
     texts = [name for name, kind in fields if isinstance(kind, (T.StringType, *_NESTED))]
     length = cuts.get("freetext_length", FREETEXT_LENGTH)
     if texts:

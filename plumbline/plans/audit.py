@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.defaults import AUDIT_DATE, CONTAMINATION, CONTAMINATIONS, MAX_ROWS, SEED
+from plumbline.defaults import AUDIT_DATE, CONTAMINATION, CONTAMINATIONS, SEED
 from plumbline.operators.agreement import agreement_means, detector_agreement
 from plumbline.operators.clustering import QualityClusters, clustered_scores, quality_clusters
 from plumbline.operators.density import DensityNoise
@@ -199,7 +199,6 @@ def audit(
     timestamp: str | None = None,
     audit_date: str = AUDIT_DATE,
     contamination: float = CONTAMINATION,
-    max_rows: int = MAX_ROWS,
     seed: int = SEED,
 ) -> Audit:
     """Audit every slice of a typed frame in one chain of jobs.
@@ -216,7 +215,7 @@ def audit(
     catalogue = settle(catalogue.select("dataset_id", "sector", "file_name"), "catalogue")
     names = [name for name, _ in measured_columns(df, by, columns) if name != row_id]
     matrix = settle(
-        numeric_matrix(df, row_id, by, features or names, max_rows=max_rows, seed=seed), "matrix"
+        numeric_matrix(df, row_id, by, features or names), "matrix"
     )
     anomaly_scores = settle(isolation_scores(matrix, seed=seed), "anomaly-scores")
     noise = DensityNoise(matrix)

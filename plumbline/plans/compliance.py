@@ -35,7 +35,7 @@ def gap_report(
         "sector",
         "spec_order",
         "specification",
-        "spec_name",
+        "ndmo_name",
         "dimension",
         "value",
         "threshold",
@@ -48,7 +48,7 @@ def sector_verdicts(gaps: DataFrame) -> DataFrame:
 
     Only datasets with a verdict count. Ties go to pass, then to fail.
     """
-    counts = gaps.groupBy("spec_order", "specification", "spec_name", "sector").agg(
+    counts = gaps.groupBy("spec_order", "specification", "ndmo_name", "sector").agg(
         F.count_if(F.col("verdict") != "n/a").alias("n"),
         F.count_if(F.col("verdict") == "pass").alias("n_pass"),
         F.count_if(F.col("verdict") == "fail").alias("n_fail"),
@@ -64,7 +64,7 @@ def sector_verdicts(gaps: DataFrame) -> DataFrame:
     return counts.select(
         "spec_order",
         "specification",
-        "spec_name",
+        "ndmo_name",
         "sector",
         majority.alias("majority"),
         "n",
@@ -81,7 +81,7 @@ def sector_matrix(gaps: DataFrame, sectors: list[str] | None = None) -> DataFram
     if sectors is None:
         sectors = sorted(r["sector"] for r in gaps.select("sector").distinct().collect())
     wide = (
-        long.groupBy("spec_order", "specification", F.col("spec_name").alias("name"))
+        long.groupBy("spec_order", "specification", F.col("ndmo_name").alias("name"))
         .pivot("sector", sectors)
         .agg(
             F.first("majority").alias("majority"),
@@ -106,7 +106,7 @@ def gap_register(gaps: DataFrame) -> DataFrame:
             "dataset_id",
             "sector",
             "specification",
-            "spec_name",
+            "ndmo_name",
             "dimension",
             F.col("value").alias("observed"),
             "threshold",

@@ -14,23 +14,26 @@ from plumbline.functions.scoring import (
 )
 from plumbline.plans.portfolio import headline_measures
 
-# Portfolio indicators (KPI, measure, threshold, at least or at
-# most, specification). Measures ending in _share are counts over datasets.
+# The published portfolio indicators with their thresholds and
+# specifications (KPI, measure, threshold, at least or at most, specification).
+# Measures ending in _share are counts over datasets; the distribution of bands
+# has a row per band.
 PORTFOLIO_KPIS = [
     ("Datasets audited", "n_datasets", None, None, None),
-    ("Total rows", "portfolio_total_rows", None, None, None),
-    ("Total cells", "portfolio_total_cells", None, None, None),
-    ("Portfolio completeness", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
-    ("Mean completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
-    ("Datasets at 95% completeness", "completeness_share", 0.95, "min", "3.2"),
-    ("Mean consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
-    ("Datasets at 95% consistency", "consistency_share", 0.90, "min", "3.4"),
-    ("Mean uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
-    ("Datasets under 1% duplicates", "uniqueness_share", 0.95, "min", "3.13"),
-    ("Mean anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
-    ("Band A share", "band_a_share", None, None, None),
-    ("Band B share", "band_b_share", None, None, None),
-    ("Band C share", "band_c_share", None, None, None),
+    ("Total rows ingested", "portfolio_total_rows", None, None, None),
+    ("Total cells inspected", "portfolio_total_cells", None, None, None),
+    ("Portfolio completeness (cells-weighted)", "portfolio_completeness_aggregate", 0.95, "min", "3.2"),
+    ("Mean per-dataset completeness", "mean_per_dataset_completeness", 0.95, "min", "3.2"),
+    ("Datasets meeting 95% completeness", "completeness_share", 0.95, "min", "3.2"),
+    ("Mean per-dataset consistency", "mean_per_dataset_consistency", 0.95, "min", "3.4"),
+    ("Datasets meeting 95% consistency", "consistency_share", 0.90, "min", "3.4"),
+    ("Mean per-dataset uniqueness", "mean_per_dataset_uniqueness", 0.99, "min", "3.13"),
+    ("Datasets with < 1% duplicates", "uniqueness_share", 0.95, "min", "3.13"),
+    ("Mean IF anomaly rate", "mean_if_anomaly_rate", 0.05, "max", "3.1"),
+    ("Mean Cohen’s κ (IF vs DBSCAN)", "mean_if_dbscan_kappa", None, None, None),
+    ("Portfolio DRL distribution (Band A)", "band_a_share", None, None, None),
+    ("Portfolio DRL distribution (Band B)", "band_b_share", None, None, None),
+    ("Portfolio DRL distribution (Band C)", "band_c_share", None, None, None),
 ]
 
 BOX_DIMENSIONS = ["completeness", "consistency", "uniqueness", "if_anomaly_rate"]
@@ -60,6 +63,13 @@ def by_composite(scores: DataFrame) -> DataFrame:
     )
 
 
+def by_kappa(agreement: DataFrame) -> DataFrame:
+    """Datasets by agreement of the detectors, undefined ones last."""
+    return agreement.select("dataset_id", "sector", "kappa", "jaccard").orderBy(
+        F.desc_nulls_last("kappa"), "dataset_id"
+    )
+
+
 def worst(scores: DataFrame, dimension: str, n: int = 5) -> DataFrame:
     """The n lowest datasets on one dimension."""
     return (
@@ -154,9 +164,13 @@ def box_statistics(scores: DataFrame, dimensions: list[str] = BOX_DIMENSIONS) ->
 def histogram(table: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width counts over min..max, empty bins included, last bin closed.
 
-    A constant column is centred in a range of width 1.
+    A constant column is centred in a range of width 1. Nulls and NaN are
+    missing; infinities fit no bin of finite width and are left out.
     """
-    values = table.select(F.col(column).cast("double").alias("value")).where("value is not null")
+    finite = F.lit(float("inf"))
+    values = table.select(F.col(column).cast("double").alias("value")).where(
+        ~F.isnan("value") & (F.abs("value") < finite)
+    )
     low, high = F.min("value"), F.max("value")
     flat = low == high
     edges = values.agg(
@@ -192,11 +206,15 @@ def histogram(table: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def kpi_table(
-    scores: DataFrame, kpis: list[tuple] = PORTFOLIO_KPIS, window: float = VERDICT_WINDOW
+    scores: DataFrame,
+    agreement: DataFrame | None = None,
+    kpis: list[tuple] = PORTFOLIO_KPIS,
+    window: float = VERDICT_WINDOW,
 ) -> DataFrame:
     """Portfolio indicators in long form; a verdict only where a threshold is set.
 
-    An indicator bounded from above is judged by its mirror image.
+    An indicator bounded from above is judged by its mirror image. Without an
+    ``agreement`` table of the detectors their mean kappa is null.
     """
     n = F.col("n_datasets")
     measures = headline_measures(scores).withColumns(
@@ -215,6 +233,11 @@ def kpi_table(
             for band in BANDS
         ]
     ).withColumn("_one", F.lit(1))
+    if agreement is None:
+        measures = measures.withColumn("mean_if_dbscan_kappa", F.lit(None).cast("double"))
+    else:
+        kappa = agreement.agg(F.avg("kappa").alias("mean_if_dbscan_kappa"), F.lit(1).alias("_one"))
+        measures = measures.join(kappa, "_one")
     entries = [
         F.struct(
             F.lit(kpi).alias("kpi"),
@@ -253,8 +276,13 @@ def sector_status(summary: DataFrame) -> DataFrame:
     return summary.select("sector", "n", F.inline(F.array(*entries)))
 
 
+def _rounded_text(form: str, value: Column, digits: int, *more: Column) -> Column:
+    """``value`` in print form, ties going to the even digit."""
+    return F.format_string(form, F.bround(value, digits), *more)
+
+
 def _percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("N/A"))
+    return F.coalesce(_rounded_text("%.1f%%", value * 100, 1), F.lit("N/A"))
 
 
 def dataset_status(scores: DataFrame) -> DataFrame:
@@ -278,7 +306,7 @@ def kappa_status(agreement: DataFrame) -> DataFrame:
         .select(
             "dataset_id",
             "kappa",
-            F.format_string("%.3f", "kappa").alias("text"),
+            _rounded_text("%.3f", F.col("kappa"), 3).alias("text"),
             traffic_light(F.col("kappa"), 0.6, 0.4).alias("status"),
         )
         .orderBy(F.desc("kappa"), "dataset_id")
@@ -299,7 +327,7 @@ def stability_status(stability: DataFrame) -> DataFrame:
 def compliance_grid(verdicts: DataFrame) -> DataFrame:
     """Pass share and cell label per specification and sector; 0 and n/a when empty."""
     share = F.col("pct_pass")
-    text = F.format_string("%.0f%%\n(n=%d)", share, F.col("n").cast("int"))
+    text = _rounded_text("%.0f%%\n(n=%d)", share, 0, F.col("n").cast("int"))
     return verdicts.select(
         "specification",
         "sector",

@@ -101,7 +101,7 @@ GAP_REGISTER = _schema(
     ("dataset_id", _text),
     ("sector", _text),
     ("specification", _text),
-    ("spec_name", _text),
+    ("ndmo_name", _text),
     ("dimension", _text),
     ("observed", _real),
     ("threshold", _real),
@@ -111,7 +111,7 @@ GAP_REGISTER = _schema(
 SPECIFICATIONS = _schema(
     ("spec_order", _int),
     ("specification", _text),
-    ("spec_name", _text),
+    ("ndmo_name", _text),
     ("dimension", _text),
     ("threshold", _real),
 )

@@ -29,25 +29,33 @@ _WHOLE_FILE_LIMIT = 2**31 - 1024
 # One record: text outside quotes up to a line end, quoted runs taken whole.
 _FIRST_RECORD = r'^(?:[ \t]*\r?\n)*+([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)(\r?\n|\r|\z)'
 _QUOTED = r'"[^"]*"'
+_CHARSETS = {"windows-1256": "windows-1256", "utf-16": "UTF-16"}
+# How a delimited reader spells booleans.
+_TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 
 @contextmanager
 def _legacy_charsets(spark: SparkSession):
-    """Windows code pages need the Java charset lookup, on for planning only."""
-    name = "spark.sql.legacy.javaCharsets"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """Windows code pages need the Java charset lookup, and a character cut in
+    two must not fail a file; both on for planning only."""
+    names = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
+    before = {name: spark.conf.get(name, "false") for name in names}
+    for name in names:
+        spark.conf.set(name, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def _decoded(content: Column, encoding: Column) -> Column:
     """Text of some bytes; a character cut off at the end turns into U+FFFD."""
     unicode = F.make_valid_utf8(content.cast("string"))
-    return F.when(encoding == "windows-1256", F.decode(content, "windows-1256")).otherwise(
-        F.regexp_replace(unicode, "^\ufeff", "")
+    return (
+        F.when(encoding == "windows-1256", F.decode(content, "windows-1256"))
+        .when(encoding == "utf-16", F.decode(content, "UTF-16"))
+        .otherwise(F.regexp_replace(unicode, "^\ufeff", ""))
     )
 
 
@@ -82,8 +90,8 @@ def _header_names(header: Column, delimiter: Column) -> Column:
 def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
     """Encoding, delimiter, header and digest of every catalogue file.
 
-    Encoding: byte order mark, then valid UTF-8, then windows-1256, which
-    decodes any bytes. Delimiter: the first of comma, semicolon, tab and pipe
+    Encoding: byte order mark of UTF-8 or UTF-16, then valid UTF-8, then
+    windows-1256, which decodes any bytes. Delimiter: the first of comma, semicolon, tab and pipe
     that gives the header at least two fields, else comma. A file without a
     header record does not load. Contents stay inside the scan task.
     """
@@ -100,6 +108,7 @@ def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
         mark = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
         encoding = (
             F.when(mark, "utf-8-sig")
+            .when(F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF"), "utf-16")
             .when(F.is_valid_utf8(content.cast("string")), "utf-8")
             .otherwise("windows-1256")
         )
@@ -190,7 +199,7 @@ def _read_group(spark, paths, encoding, delimiter, width) -> DataFrame:
         .option("header", True)
         .option("multiLine", True)
         .option("sep", delimiter)
-        .option("encoding", "windows-1256" if encoding == "windows-1256" else "UTF-8")
+        .option("encoding", _CHARSETS.get(encoding, "UTF-8"))
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -215,8 +224,10 @@ def cell_stats(
 ) -> DataFrame:
     """Column statistics of cell rows, with types inferred over whole columns.
 
-    A column is numeric when every value reads as a number, or every value as
-    a boolean, or a non-empty file has no value in it at all.
+    A column is numeric when every value reads as a number, or a non-empty
+    file has no value in it at all, or it is boolean: every row holds one of
+    the spellings of true and false. With a null in it, a column of those is
+    text.
     """
     rows = cells.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_rows"))
     text = F.col("text")
@@ -230,7 +241,7 @@ def cell_stats(
             F.count_if(~is_sentinel(text, sentinels)).alias("n_clean"),
             F.count_if(numeric_like(text)).alias("n_numeric"),
             F.count_if(whole_number).alias("n_whole"),
-            F.count_if(F.lower(text).isin("true", "false")).alias("n_flags"),
+            F.count_if(text.isin(*_TRUE, *_FALSE)).alias("n_flags"),
             F.sum(F.length("text")).alias("text_length"),
         )
     )
@@ -238,7 +249,7 @@ def cell_stats(
     counts = ["held", "n_clean", "n_numeric", "n_whole", "n_flags", "text_length"]
     held, n_rows = F.col("held"), F.col("n_rows")
     number = (n_rows > 0) & (F.col("n_numeric") == held)
-    flag = (held > 0) & (F.col("n_flags") == held)
+    flag = (held > 0) & (F.col("n_flags") == held) & (held == n_rows)
     return (
         sniffed.where("load_ok")
         .select("dataset_id", F.posexplode("column_names").alias("col_idx", "col_name"))
@@ -285,18 +296,24 @@ def cell_classes(cells: DataFrame, stats: DataFrame, **cuts) -> DataFrame:
 
 def cell_row_counts(cells: DataFrame, stats: DataFrame) -> DataFrame:
     """Rows and distinct rows per file; numbers compare by value."""
-    numeric = stats.groupBy("dataset_id").agg(
-        F.sort_array(F.collect_list(F.struct("col_idx", "is_numeric"))).alias("types")
+    kinds = stats.groupBy("dataset_id").agg(
+        F.sort_array(F.collect_list(F.struct("col_idx", "col_type"))).alias("types")
     )
     value = F.transform(
         "cells",
-        lambda x, i: F.when(
-            F.element_at("types", i + 1)["is_numeric"],
-            F.coalesce((x.try_cast("double") + 0.0).cast("string"), x),
-        ).otherwise(x),
+        lambda x, i: F.coalesce(
+            F.when(
+                F.element_at("types", i + 1)["col_type"] == "bigint",
+                x.try_cast("decimal(38,0)").cast("string"),
+            ).when(
+                F.element_at("types", i + 1)["col_type"] == "double",
+                (x.try_cast("double") + 0.0).cast("string"),
+            ).when(F.element_at("types", i + 1)["col_type"] == "boolean", F.lower(x)),
+            x,
+        ),
     )
     return (
-        cells.join(numeric, "dataset_id")
+        cells.join(kinds, "dataset_id")
         .select("dataset_id", F.unhex(F.sha2(F.to_json(F.struct(value.alias("v"))), 256)).alias("d"))
         .groupBy("dataset_id", "d")
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import cells
 from plumbline.functions.cells import date_like, numeric_like
 from plumbline.operators import profile
 
@@ -97,7 +98,7 @@ def test_classes(classes, column, kind):
 def test_date_share_looks_at_the_first_rows_only(spark):
     rows = [(i, "2024-01-01" if i < 50 else "text") for i in range(200)]
     df = spark.createDataFrame(rows, "id long, d string").repartition(7)
-    shares = profile.date_share(profile.long_cells(df, None, ["d"], "id"))
+    shares = profile.date_share(profile.long_cells(df, None, ["d"], "id"), 50)
     assert shares.first().date_share == 1.0
 
 
@@ -106,3 +107,31 @@ def test_distinct_counts_are_exact_for_long_texts(spark):
     df = spark.createDataFrame(rows, "k string, t string")
     counted = profile.distinct_texts(profile.long_cells(df, "k", ["t"]))
     assert counted.first().n_distinct == 38
+
+
+def test_long_texts_can_be_dates(spark):
+    texts = {
+        " " * 60 + "2024-01-05" + " " * 60: True,
+        "Wednesday, 17 September 2025 10:15:30.123456789+03:00 ": True,
+        "1" * 200_000: False,
+        "may " * 50_000 + "1": False,
+        "Tues 5 March 2024": True,
+        "Thursday, 4 July 2024": True,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.d for r in df.select("t", cells.date_like(F.col("t")).alias("d")).collect()}
+    assert got == texts
+
+
+def test_row_keys_at_any_width(spark):
+    rows = spark.sql(
+        "SELECT timestamp_micros(id div 2) ts, id % 3 n, array(timestamp_micros(id div 4)) a, "
+        "double(0) * (CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END) z, 'a:1' s, string(null) e FROM range(40)"
+    )
+    wide = rows.selectExpr("*", *[f"n + {i} AS c{i}" for i in range(40)])
+    for df in (rows, wide):
+        keys = cells.row_keys([(f.name, f.dataType) for f in df.schema.fields])
+        assert df.select(*keys).distinct().count() == rows.selectExpr("ts", "n", "a").distinct().count()
+    pair = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "-"), ("-", None)], "x string, y string")
+    keys = cells.row_keys([(f.name, f.dataType) for f in pair.schema.fields])
+    assert pair.select(*keys).distinct().count() == 4

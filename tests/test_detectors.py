@@ -1,10 +1,13 @@
 """Matrix, forest, density and agreement against brute force and invariants."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import agreement, density, isolation, matrix, profile
+from plumbline.session import settle
 
 SCHEMA = "k string, id long, x double, y double, z double"
 
@@ -187,14 +190,30 @@ def test_no_numeric_column(spark):
     assert matrix.numeric_matrix(df, "id", "k", ["t"]).count() == 0
 
 
-def test_sample_is_the_smallest_hashes(spark):
-    df = spark.range(5000).selectExpr("if(id < 4000, 'big', 'small') k", "id", "double(id) x")
-    numbers = build(df, ["x"], max_rows=1500)
-    counts = {r.dataset_id: r["count"] for r in numbers.groupBy("dataset_id").count().collect()}
-    assert counts == {"big": 1500, "small": 1000}
-    digests = df.where("k = 'big'").selectExpr("string(id) id", "md5(concat('42:', id)) d")
-    smallest = {r.id for r in digests.orderBy("d").limit(1500).collect()}
-    assert {r.row_id for r in numbers.where("dataset_id = 'big'").collect()} == smallest
+def test_every_row_of_a_large_dataset_is_judged(spark):
+    df = spark.range(60_000).selectExpr(
+        "'a' k", "id", "double(id * 7919 % 60000) x", "double(id * 104729 % 59999) y"
+    )
+    numbers = settle(build(df, ["x", "y"]), "large")
+    assert numbers.count() == 60_000 and numbers.first().n_records == 60_000
+    scores = isolation.isolation_scores(numbers)
+    assert scores.where("score is not null").select("row_id").distinct().count() == 60_000
+    noise = density.DensityNoise(numbers).labels()
+    assert noise.where("noise is not null").select("row_id").distinct().count() == 60_000
+
+
+def test_trees_draw_the_smallest_digests(spark):
+    df = spark.range(3000).selectExpr("'a' k", "id", "double(id) x")
+    numbers = build(df, ["x"])
+    drawn = isolation.tree_rows(numbers, trees=11, sample=64)
+    got = {}
+    for r in drawn.collect():
+        got.setdefault(r.tree, set()).add(r.row_id)
+    limit = min(65_536, -(-65_536 * 4 * 64 // 3000))
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    for t in range(11):
+        lots = [str(i) for i in range(3000) if int(md5(f"42/{t // 8}:{i}")[t % 8 * 4 : t % 8 * 4 + 4], 16) < limit]
+        assert got[t] == set(sorted(lots, key=lambda i: md5(f"42:{t}:{i}"))[:64])
 
 
 def test_agreement_edges(spark):

@@ -3,10 +3,11 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.plans.files import audit_files, load_catalogue
-from plumbline.sources import catalogue, results
+from plumbline.sources import catalogue, delimited, results
 
 SECTORS = [("Alpha", "alpha", "ALP"), ("Beta", "beta", "BET"), ("Gone", "gone", "GON")]
 
@@ -29,6 +30,11 @@ FILES = {
     # The first 65,536 bytes end inside a character, or inside the header.
     "beta/7 long.csv": ("ab,b\n" + "é" * 40_000 + ",1\n" + "x,2\n").encode(),
     "beta/8 long header.csv": ('"' + "é\n" * 30_000 + '",b\n1,2\n').encode(),
+    "beta/90 unicode.csv": "a\tb\n1\tüñ\n2\tنعم\n".encode("utf-16"),
+    "beta/91 big endian.csv": b"\xfe\xff" + "a,b\n1,é\n".encode("utf-16-be"),
+    "beta/92 flags with a gap.csv": b"flag,n\nTrue,1\n,2\nFalse,3\n",
+    "beta/93 large integers.csv": b"n,m\n9007199254740992,1\n9007199254740993,1\n09007199254740993,1\n",
+    "beta/94 odd flags.csv": b"flag,n\ntRuE,1\nfalse,2\n",
 }
 
 
@@ -62,7 +68,7 @@ def test_ids_follow_names_within_a_sector(inventory):
     assert [inventory[n].dataset_id for n in sorted(inventory) if n[0] == "0"] == [
         f"ALP-0{i}" for i in range(1, 8)
     ]
-    assert "ignored.txt" not in inventory and len(inventory) == 15
+    assert "ignored.txt" not in inventory and len(inventory) == 20
 
 
 def test_failed_file_keeps_its_place(inventory):
@@ -71,6 +77,23 @@ def test_failed_file_keeps_its_place(inventory):
     assert row.error and row.rows is None
 
 
+def test_utf_16(loaded, inventory):
+    for name, delimiter, rows in (("90 unicode.csv", "\t", 2), ("91 big endian.csv", ",", 1)):
+        row = inventory[name]
+        assert (row.encoding, row.delimiter, row.rows, row.cols) == ("utf-16", delimiter, rows, 2)
+    cells = {tuple(r.cells) for r in loaded.cells.where(F.col("dataset_id") == inventory["90 unicode.csv"].dataset_id).collect()}
+    assert cells == {("1", "üñ"), ("2", "نعم")}
+
+
+def test_flags_and_large_integers(spark, root, loaded, stats, inventory):
+    assert (stats["92 flags with a gap.csv", 0].col_type, stats["92 flags with a gap.csv", 0].is_numeric) == ("string", False)
+    assert (stats["94 odd flags.csv", 0].col_type, stats["94 odd flags.csv", 0].is_numeric) == ("string", False)
+    assert stats["5 types.csv", 0].col_type == "boolean"
+    counts = {r.dataset_id: r for r in delimited.cell_row_counts(loaded.cells, loaded.stats).collect()}
+    row = counts[inventory["93 large integers.csv"].dataset_id]
+    assert (row.total_rows, row.distinct_rows) == (3, 2)
+
+
 def test_digest_and_size(inventory):
     for name, content in FILES.items():
         file_name = name.split("/")[1]
@@ -147,7 +170,7 @@ def test_classes(inventory):
 def test_whole_audit_and_result_files(spark, root, tmp_path):
     _, audit = audit_files(spark, root, SECTORS)
     scores = {r.file_name: r for r in audit.scores.collect()}
-    assert len(scores) == 14
+    assert len(scores) == 19
     empty = scores["06 header only.csv"]
     assert (empty.completeness, empty.consistency, empty.uniqueness) == (0.0, 0.0, 0.0)
     assert scores["04 pipes.csv"].consistency == 0.5

@@ -200,10 +200,10 @@ def test_histogram_counts_everything(scores):
 
 def test_kpi_verdicts(scores):
     got = {r.kpi: r.verdict for r in reports.kpi_table(scores).collect()}
-    assert got["Mean completeness"] == "borderline"
-    assert got["Datasets at 95% completeness"] == "fail"
-    assert got["Datasets under 1% duplicates"] == "borderline"
-    assert got["Mean anomaly rate"] == "pass"
+    assert got["Mean per-dataset completeness"] == "borderline"
+    assert got["Datasets meeting 95% completeness"] == "fail"
+    assert got["Datasets with < 1% duplicates"] == "borderline"
+    assert got["Mean IF anomaly rate"] == "pass"
     assert got["Datasets audited"] == "n/a"
 
 
