@@ -21,12 +21,12 @@ from plumbline.llm import (
     toxicity,
     warc,
 )
-from plumbline.llm.common import let_workers_import, read_table
+from plumbline.llm.common import prepare, read_table
 from plumbline.llm.tokenizing import TokenizerFile
 from plumbline.session import new_table_path
 
 BYTE_BPE = TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"), words="spaced")
-WORD_BPE = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), words="separate")
+WORD_BPE = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), words="separate", lower=True)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,7 +34,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        let_workers_import(spark)
+        prepare(spark)
         return fn(spark, folder)
 
     LLM_QUERIES[fn.__name__] = run

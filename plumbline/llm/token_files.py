@@ -2,7 +2,7 @@
 
 Codes are canonical and length-limited, made from the corpus' own counts. A
 block holds consecutive whole documents, its ids' codes as one bit string, and
-the bit offset of every 256th id, so that any block is read without another
+the bit offset of every 64th id, so that any block is read without another
 and a reader can start at many places of it at once: decoding looks up the
 next bits of all these places in one table, step by step.
 
@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokenizing import END_ID, TokenizerFile, encoded
+from plumbline.llm.common import slices
+from plumbline.llm.tokenizing import END_ID, TokenizerFile, encoded, vocabulary_size
 from plumbline.session import settle
 
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
-CHECKPOINT_IDS = 256
+CHECKPOINT_IDS = 64
 #: Bytes of ids that go to one file, about.
 FILE_BYTES = 64 << 20
 
@@ -96,7 +97,7 @@ class Code:
         self._place[self.ids] = np.arange(len(self.ids))
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bit string of ``ids`` and the offsets of every 256th."""
+        """The bit string of ``ids`` and the offsets of every 64th."""
         at = self._place[ids]
         sizes = self.lengths[at].astype(np.int64)
         ends = np.cumsum(sizes)
@@ -131,14 +132,15 @@ def _code(ids: bytes, lengths: bytes) -> Code:
     return Code(np.frombuffer(ids, "<u4"), np.frombuffer(lengths, np.uint8))
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, id_bytes: int = 4) -> DataFrame:
     """(id, n) over all ``ids`` of ``tokens``; counted within tasks first."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                part = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+            for piece in slices(batch, "ids"):
+                joined = b"".join(piece.column("ids").to_pylist())
+                part = np.bincount(np.frombuffer(joined, f"<u{id_bytes}"))
                 if len(part) > len(total):
                     part[: len(total)] += total
                     total = part
@@ -179,8 +181,9 @@ def write_token_files(
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    tokens = settle(encoded(source, file, ["id"], "text", end_id), "tokens")
-    book = id_counts(tokens).orderBy("id").toPandas()  # no longer than the vocabulary
+    id_bytes = 2 if vocabulary_size(file) <= 1 << 16 and end_id < 1 << 16 else 4
+    tokens = settle(encoded(source, file, ["id"], "text", end_id, id_bytes), "tokens")
+    book = id_counts(tokens, id_bytes).orderBy("id").toPandas()  # no longer than the vocabulary
     lengths = code_lengths(book["n"].to_numpy(), max_bits)
     spark.createDataFrame(
         [(int(i), int(n)) for i, n in zip(book["id"], lengths)], "id long, bits int"
@@ -194,7 +197,7 @@ def write_token_files(
         code, at, held, n, own = _code(*key), TaskContext.get().partitionId(), [], 0, 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), f"<u{id_bytes}")
             bits, checkpoints = code.encode(ids)
             return pa.RecordBatch.from_pylist(
                 [
@@ -205,7 +208,7 @@ def write_token_files(
                         "bits": bits,
                         "checkpoints": checkpoints.tolist(),
                         "ids": [i for i, _ in held],
-                        "lengths": [len(x) // 4 for _, x in held],
+                        "lengths": [len(x) // id_bytes for _, x in held],
                     }
                 ],
                 schema=schema,
@@ -226,7 +229,7 @@ def write_token_files(
             )
             for i, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
                 held.append((i, ids))
-                n += len(ids) // 4
+                n += len(ids) // id_bytes
                 if n >= BLOCK_IDS:
                     yield block()
                     held, n, own = [], 0, own + 1

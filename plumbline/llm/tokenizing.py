@@ -3,104 +3,206 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, text_or_empty, texts, widened
 
 END_ID = 2
-#: Words whose ids a Python worker remembers; beyond them it starts anew.
-MEMO_WORDS = 400_000
+#: Words whose ids a Python worker remembers, as many again from before that.
+MEMO_WORDS = 250_000
 _MISSES_AT_ONCE = 4096
 
-# White space that stands alone between other characters always starts a new
-# word in byte-level vocabularies, whatever follows it; runs of it do not.
-_NOT_ALONE = re.compile(r"[ \n]\s|\s[ \n]")
-
 
 @dataclass(frozen=True)
 class TokenizerFile:
     """A tokenizer file and how its words may be encoded one by one.
 
-    ``words`` is ``"spaced"`` if a word takes the white space before it along
-    (byte-level files), ``"separate"`` if white space is dropped, and None if
-    texts must be encoded whole, which is right for every file.
+    ``words`` is ``"spaced"`` if a word takes a single blank before it along
+    and line ends stand for themselves (byte-level files), ``"separate"`` if
+    white space is dropped, and None if texts must be encoded whole, which is
+    right for every file. ``lower`` tells that case makes no difference.
     """
 
     path: str
     words: str | None = None
+    lower: bool = False
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes."""
+    """Ids of texts, as little-endian unsigned 32-bit bytes.
+
+    Most words of a text have been seen before, so a worker remembers the ids
+    of words. New ones are encoded many at a time, in one text with a mark
+    between them that is a token of its own.
+    """
+
+    # White space runs in which words are not encoded one by one.
+    _RUNS = ("  ", " \n", "\n ", "\n\n\n")
 
     def __init__(self, file: TokenizerFile, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(file.path)
-        self._words = file.words
+        self.vocabulary_size = self._tokenizer.get_vocab_size()
+        self._words, self._lower = file.words, file.lower
         self._memo_words = memo_words
-        self._memo: dict[str, bytes] = {}
+        self._young: dict[str, bytes | None] = {}
+        self._old: dict[str, bytes | None] = {}
+        self._firsts: dict[str, bytes] = {}
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._mark = "\n" if file.words == "spaced" else "\x01"
+        self._mark_id = self._ids(self._mark)
+        self._stops = {x: self.whole(x) for x in ".,"} if file.words else {}
 
-    def whole(self, text: str) -> bytes:
+    def _ids(self, text: str) -> np.ndarray:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, "<u4").tobytes()
+        return np.array(found.ids, "<u4")
 
-    def _split(self, text: str) -> list[str] | None:
-        """Pieces whose ids joined are those of ``text``; None if it has none."""
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _spaced_text(self, text: str) -> str | None:
+        """A text whose words, between single blanks, have the ids of ``text``
+        one after the other; None if there is none."""
+        if self._words is None or any(token in text for token in self._special):
+            return None
         if self._words == "separate":
-            words = text.replace("\n", " ").split(" ")
-        elif self._words == "spaced" and not _NOT_ALONE.search(text):
-            words = text.replace("\n", " \n").split(" ")
-        else:
+            return (text.lower() if self._lower and text.isascii() else text).replace("\n", " ")
+        if any(run in text for run in self._RUNS) or text.endswith("\n\n"):
             return None
-        return None if any(token in text for token in self._special) else words
+        return text.replace("\n", " \n")
+
+    def _given(self, word: str) -> str:
+        """``word`` with the white space it takes along."""
+        return f" {word}" if self._words == "spaced" and word[:1] != "\n" else word
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that nothing is known of yet."""
+        unknown = words.difference(self._young)
+        again = unknown.intersection(self._old)
+        self._young.update((w, self._old[w]) for w in again)
+        return unknown - again
+
+    def _is_closed(self, word: str) -> bool:
+        """Whether ``word`` is a shorter one and a stop that is a token of its own."""
+        return len(word) > 1 and word[-2].isalpha() and word[-2] < "\u0250"  # letters in any version of Unicode
 
     def _learn(self, words: list[str]) -> None:
-        spaced = self._words == "spaced"
+        if self._words == "separate":
+            self._learn_alike(words, words, f"{self._mark} ", f" {self._mark} ", 4)
+            return
+        lines = [w for w in words if w[:1] == "\n"]
+        others = [w for w in words if w[:1] != "\n"]
+        self._learn_alike(others, [f" {w}" for w in others], "\n", "\n", 4)
+        # The mark before these is the line end that they take along.
+        self._learn_alike(lines, [w[1:] for w in lines], "\n", "\n", 0)
+
+    def _learn_alike(
+        self, words: list[str], given: list[str], before: str, between: str, skip: int
+    ) -> None:
+        """Learn ``words`` from the ids of ``given``, joined, without the mark's
+        first ``skip`` bytes."""
         for at in range(0, len(words), _MISSES_AT_ONCE):
-            part = words[at : at + _MISSES_AT_ONCE]
-            given = [w if w[:1] == "\n" else f" {w}" for w in part] if spaced else part
-            found = self._tokenizer.encode_batch(  # the fast one does not tell words
-                [given], add_special_tokens=False, is_pretokenized=True
-            )[0]
-            ids = np.array(found.ids, "<u4").tobytes()
-            owner = np.array(found.word_ids, np.int64)
-            ends = 4 * np.searchsorted(owner, np.arange(len(part)), side="right")
-            start = 0
-            for word, end in zip(part, ends.tolist()):
-                self._memo[word] = ids[start:end]
-                start = end
+            part, some = words[at : at + _MISSES_AT_ONCE], given[at : at + _MISSES_AT_ONCE]
+            text = before + between.join(some)
+            marks = text.count(self._mark)
+            if len(text.split()) == len(some) + (between != "\n") * marks and marks == len(some):
+                ids = self._ids(text)
+                cuts = np.flatnonzero(ids == self._mark_id[0])
+                if len(self._mark_id) == 1 and len(cuts) == len(some):
+                    raw = ids.tobytes()
+                    starts = (4 * cuts + skip).tolist()
+                    ends = [*(4 * cuts[1:]).tolist(), len(raw)]
+                    self._young.update(zip(part, [raw[a:b] for a, b in zip(starts, ends)]))
+                    continue
+            if len(part) > 1:  # find the words that do not stand by themselves
+                middle = len(part) // 2
+                self._learn_alike(part[:middle], some[:middle], before, between, skip)
+                self._learn_alike(part[middle:], some[middle:], before, between, skip)
+            else:
+                self._learn_alone(part[0])
+
+    def _learn_alone(self, word: str) -> None:
+        core = word.removeprefix("\n") if self._words == "spaced" else word
+        if self._words == "spaced" and core.strip() != core:
+            self._young[word] = None  # joins with the white space around it
+        else:
+            self._young[word] = self.whole(self._given(word))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [self._split(text) for text in batch]
-        needed: set[str] = set()
-        for words in split:
-            if words is not None:
-                needed.update(words)
-        if len(self._memo) > self._memo_words:
-            self._memo.clear()
-        self._learn([w for w in needed if w not in self._memo])
-        known = self._memo.__getitem__
-        out = []
-        for text, words in zip(batch, split):
+        """The ids of every text of a batch.
+
+        Words are split, told apart and put together again by Arrow; Python
+        sees each different word of a batch once.
+        """
+        out: list[bytes | None] = [None] * len(batch)
+        places, firsts, rests = [], [], []
+        for i, text in enumerate(batch):
+            words = self._spaced_text(text)
             if words is None:
-                out.append(self.whole(text))
-            elif self._words == "spaced":
-                out.append(self.whole(words[0]) + b"".join(map(known, words[1:])))
+                out[i] = self.whole(text)
+            elif self._words == "separate":
+                places.append(i)
+                rests.append(words)
             else:
-                out.append(b"".join(map(known, words)))
+                first, blank, rest = words.partition(" ")
+                out[i] = self._first(first)
+                if blank:
+                    places.append(i)
+                    rests.append(rest)
+        split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._know(set(words))
+        ids = list(map(self._young.__getitem__, words))
+        unsafe = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+        for k in unsafe:
+            ids[k] = b""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+        starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        place = coded.indices.to_numpy()
+        raw = pa.ListArray.from_arrays(starts, flat).take(coded.indices).flatten().to_numpy().tobytes()
+        ends = 4 * np.concatenate(([0], np.cumsum(sizes[place])))
+        edges = ends[split.offsets.to_numpy()].tolist()
+        for i, a, b in zip(places, edges, edges[1:]):
+            out[i] = (out[i] or b"") + raw[a:b]
+        if unsafe:
+            held = np.searchsorted(split.offsets.to_numpy(), np.flatnonzero(np.isin(place, unsafe)), side="right")
+            for k in np.unique(held).tolist():
+                out[places[k - 1]] = self.whole(batch[places[k - 1]])
         return out
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a text's first word, which has no white space before it."""
+        known = self._firsts.get(word)
+        if known is None:
+            if len(self._firsts) > self._memo_words // 8:
+                self._firsts.clear()
+            known = self._firsts[word] = self.whole(word) if word else b""
+        return known
+
+    def _know(self, needed: set[str]) -> None:
+        """Have the ids of all ``needed`` words in ``_young``."""
+        if len(self._young) > self._memo_words:
+            self._young, self._old = {}, self._young
+        unknown = self._unknown(needed)
+        closed = [w for w in unknown if w[-1:] in self._stops and self._is_closed(w)]
+        self._learn(list(self._unknown({w[:-1] for w in closed})))
+        for word in closed:
+            core = self._young[word[:-1]]
+            self._young[word] = None if core is None else core + self._stops[word[-1]]
+        self._learn(list(unknown.difference(closed)))
+
 
 @lru_cache(maxsize=4)
 def encoder(file: TokenizerFile) -> Encoder:
@@ -108,12 +210,22 @@ def encoder(file: TokenizerFile) -> Encoder:
     return Encoder(file)
 
 
+def vocabulary_size(file: TokenizerFile) -> int:
+    return encoder(file).vocabulary_size
+
+
 def encoded(
-    docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str = "text", end_id: int | None = END_ID
+    docs: DataFrame,
+    file: TokenizerFile,
+    keep: list[str],
+    text_col: str = "text",
+    end_id: int | None = END_ID,
+    id_bytes: int = 4,
 ) -> DataFrame:
-    """The ``keep`` columns, ``ids`` (little-endian unsigned 32-bit) and ``n_tokens``.
+    """The ``keep`` columns, ``ids`` (little-endian, unsigned) and ``n_tokens``.
 
     Null texts are empty; ``end_id`` follows every text, if there is one.
+    Ids below 65,536 fit ``id_bytes`` of 2.
     """
     source = docs.select(*keep, text_or_empty(text_col).alias("_text"))
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -124,6 +236,8 @@ def encoded(
             for part in slices(batch, "_text"):
                 ids = [x + end for x in encode(texts(part, "_text"))]
                 lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
+                if id_bytes == 2:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(ids, pa.binary()), lengths],
                     names=[*keep, "ids", "n_tokens"],

@@ -17,7 +17,7 @@ def test_machine_learns_pairs():
     for _ in range(3000):
         words = rng.sample(range(100, 400), 10)
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        documents.append(np.unique(words + [1] * a + [2] * b).astype(np.int64))
+        documents.append(np.unique(words + [1] * a + [2] * b).astype(np.int32))
         toxic.append(float(a and b))
     machine = toxicity.fit(documents, np.array(toxic))
     place, w, v = machine.arrays()
@@ -48,9 +48,9 @@ def test_held_out_accuracy(scores):
 
 def test_copies_teach_once():
     rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 26, 200))
-    copies = [np.unique(np.concatenate((base, rng.integers(0, 1 << 26, 2)))) for _ in range(50)]
-    others = [np.unique(rng.integers(0, 1 << 26, 200)) for _ in range(50)]
+    base = np.unique(rng.integers(0, 1 << 26, 200, np.int32))
+    copies = [np.unique(np.concatenate((base, rng.integers(0, 1 << 26, 2, np.int32)))) for _ in range(50)]
+    others = [np.unique(rng.integers(0, 1 << 26, 200, np.int32)) for _ in range(50)]
     kept = toxicity.without_copies(copies + others, np.array([1.0] * 50 + [0.0] * 50))
     assert sum(i < 50 for i in kept) < 12 and sum(i >= 50 for i in kept) == 50
 
