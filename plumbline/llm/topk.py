@@ -25,7 +25,7 @@ BLOCK_ROWS = 4096
 GROUP_QUERIES = 2048
 #: Queries whose bounds a task holds at once, and candidates between two stops.
 _QUERIES_AT_ONCE = 64
-_STEP = 256
+_STEP = 1024
 #: What rounding can take from a bound, as a share of the squared lengths.
 _MARGIN = 1e-5
 
@@ -98,46 +98,59 @@ def with_pivot_distances(rows: DataFrame, pivots: np.ndarray, width: int) -> Dat
     return rows.mapInArrow(kernel, widened(rows, "d array<double>"))
 
 
+def _bounds(q2, x2, qd: np.ndarray, xd: np.ndarray) -> np.ndarray:
+    """Largest inner products that the distances to all pivots leave possible."""
+    apart = np.zeros((len(qd), xd.shape[1]), np.float32)
+    one = np.empty_like(apart)
+    for p in range(len(xd)):
+        np.subtract(qd[:, p, None], xd[p][None], out=one)
+        np.abs(one, out=one)
+        np.maximum(apart, one, out=apart)
+    scale = q2[:, None] + x2[None]
+    return (scale - np.square(apart, dtype=np.float64)) / 2 + _MARGIN * scale + 1.0
+
+
 def _search(queries: pa.Table, rows: pa.Table, k: int, width: int) -> dict[str, np.ndarray]:
-    """The best k of ``rows`` for every query that may be among its best k of all."""
+    """The best k of ``rows`` for every query, if they may be among its best k of all.
+
+    Queries go in batches. A batch evaluates candidates in falling order of
+    the largest bound that any of its queries has for them, and stops when
+    that is below what all of them have found already.
+    """
     q, x = _matrix(queries.column("v"), width), _matrix(rows.column("v"), width)
     q_ids, x_ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
     floor = queries.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
     n_pivots = len(rows.column("d")[0])
-    qd, xd = _matrix(queries.column("d"), n_pivots), _matrix(rows.column("d"), n_pivots)
+    qd = _matrix(queries.column("d"), n_pivots).astype(np.float32)
+    xd = np.ascontiguousarray(_matrix(rows.column("d"), n_pivots).T, dtype=np.float32)
     q2, x2 = (q.astype(np.float64) ** 2).sum(1), (x.astype(np.float64) ** 2).sum(1)
-    qd, xd = qd.astype(np.float32), np.ascontiguousarray(xd.T, dtype=np.float32)
-    out_q, out_x, out_s = [], [], []
+    parts = []
     for at in range(0, len(q), _QUERIES_AT_ONCE):
-        part = slice(at, at + _QUERIES_AT_ONCE)
-        apart = np.zeros((len(q_ids[part]), len(x)), np.float32)
-        for p in range(n_pivots):
-            np.maximum(apart, np.abs(qd[part, p][:, None] - xd[p][None]), out=apart)
-        scale = q2[part][:, None] + x2[None]
-        bound = (scale - apart.astype(np.float64) ** 2) / 2 + _MARGIN * scale + 1.0  # never below the score
-        for i in range(len(bound)):
-            row = at + i
-            kept_s, kept_x, least = np.empty(0, np.int64), np.empty(0, np.int64), floor[row]
-            order = np.flatnonzero(bound[i] >= least)
-            order = order[np.argsort(-bound[i, order], kind="stable")]
-            for start in range(0, len(order), _STEP):
-                chosen = order[start : start + _STEP]
-                if bound[i, chosen[0]] < least:
-                    break
-                chosen = chosen[bound[i, chosen] >= least]
-                chosen = chosen[x_ids[chosen] != q_ids[row]]
-                score = _products(q[row : row + 1], x[chosen])[0]
-                kept_s, kept_x = np.concatenate((kept_s, score)), np.concatenate((kept_x, x_ids[chosen]))
-                best = np.lexsort((kept_x, -kept_s))[:k]
-                kept_s, kept_x = kept_s[best], kept_x[best]
-                if len(best) == k:
-                    least = max(least, float(kept_s[-1]))
-            alive = kept_s >= floor[row]
-            out_x.append(kept_x[alive])
-            out_s.append(kept_s[alive])
-            out_q.append(np.full(int(alive.sum()), q_ids[row]))
-    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return {"query_id": join(out_q), "vec_id": join(out_x), "score": join(out_s)}
+        batch = slice(at, at + _QUERIES_AT_ONCE)
+        least = floor[batch].copy()
+        bound = _bounds(q2[batch], x2, qd[batch], xd)
+        alive = np.flatnonzero((bound >= least[:, None]).any(axis=0))
+        highest = bound[:, alive].max(axis=0)
+        order = np.argsort(-highest, kind="stable")
+        alive, highest = alive[order], highest[order]
+        for start in range(0, len(alive), _STEP):
+            if highest[start] < least.min():
+                break
+            chosen = alive[start : start + _STEP]
+            score = _products(q[batch], x[chosen])
+            other = q_ids[batch][:, None] != x_ids[chosen][None]
+            row, column = np.nonzero((score >= least[:, None]) & other)
+            parts.append((at + row, x_ids[chosen[column]], score[row, column]))
+            if len(chosen) > k:  # one of them may be the query itself
+                least = np.maximum(least, np.partition(score, -k - 1, axis=1)[:, -k - 1])
+    nothing = np.empty(0, np.int64)
+    parts.append((nothing, nothing, nothing))
+    row, found, score = (np.concatenate(p) for p in zip(*parts))
+    best = np.lexsort((found, -score, row))
+    row, found, score = row[best].astype(np.int64), found[best], score[best]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return {"query_id": q_ids[row[kept]], "vec_id": found[kept], "score": score[kept]}
 
 
 _FOUND = "query_id long, vec_id long, score long"
