@@ -11,10 +11,10 @@ Three facts keep the job small:
   them in its neighbour list, so border points follow from an equi-join of
   those short lists with the core points.
 
-The neighbour search cuts every dataset into balanced spatial blocks, finds
-neighbours inside each block, and sends a point on to another block only if
-that block's bounding box is closer than the point's current minPts-th
-neighbour.
+The neighbour search cuts every dataset into spatial blocks, axis by axis and
+as often as it takes to make them small, finds neighbours inside each block,
+and sends a point on to another block only if that block's bounding box is
+closer than the point's current minPts-th neighbour.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.defaults import EPS_FALLBACK, EPS_MULTIPLIER, EPS_PERCENTILE
+from plumbline.operators.components import components
 from plumbline.session import settle
 
 # Executors need no installed copy of this package: kernels travel with tasks.
@@ -37,10 +38,11 @@ _BLOCK = 1024
 _SLACK = 1 + 1e-9
 
 _NEAR = "dataset_id string, vec_id string, minpts int, dist double, id string, weight long"
-_LOCAL = f"{_NEAR}, target int"
-_PART = "dataset_id string, vec_id string, block int, part string, visits array<int>"
+_LOCAL = f"{_NEAR}, target long"
+_PART = "dataset_id string, vec_id string, block long, part string, visits array<long>"
 _LINK = "dataset_id string, part string, other string"
-_COUNT = "dataset_id string, n_clusters int"
+#: Pieces that a large block falls into at a time.
+_CUTS = 8
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def _search_block(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
     visits = pd.DataFrame({"vec_id": ids[row], "dist": reach[row], "target": target})
     found = pd.concat([near, visits.astype({"target": object})], ignore_index=True)
     found["dataset_id"], found["minpts"] = block["dataset_id"].iloc[0], minpts
-    found["target"] = found["target"].astype("Int32")
+    found["target"] = found["target"].astype("Int64")
     found["weight"] = found["weight"].astype("Int64")
     found["id"] = found["id"].astype(object).where(found["id"].notna(), None)
     return found[["dataset_id", "vec_id", "minpts", "dist", "id", "weight", "target"]]
@@ -189,31 +191,8 @@ def _part_links(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _count_parts(links: pd.DataFrame) -> pd.DataFrame:
-    """Number of groups the parts of one dataset fall into."""
-    parent: dict[str, str] = {}
-
-    def top(name: str) -> str:
-        parent.setdefault(name, name)
-        while parent[name] != name:
-            parent[name] = parent[parent[name]]
-            name = parent[name]
-        return name
-
-    for part, other in zip(links["part"], links["other"], strict=True):
-        parent[top(part)] = top(other)
-    groups = sum(1 for name in parent if parent[name] == name)
-    return pd.DataFrame({"dataset_id": [links["dataset_id"].iloc[0]], "n_clusters": [groups]})
-
-
 def weighted_vectors(matrix: DataFrame) -> DataFrame:
-    """Distinct vectors with their weight, spread over balanced spatial blocks.
-
-    Blocks come from two ranking passes along the two axes with the most
-    distinct values: strips of equal size, then tiles of equal size per strip.
-    The split only affects speed; pruning uses the blocks' true bounds. Both
-    rankings see at most the matrix sample of one dataset.
-    """
+    """Distinct vectors with their weight, spread over small spatial blocks."""
     minpts = F.greatest(2 * F.col("n_features"), F.lit(4)).cast("int")
     vectors = settle(
         matrix.withColumn("minpts", minpts)
@@ -226,35 +205,52 @@ def weighted_vectors(matrix: DataFrame) -> DataFrame:
         ),
         "distinct-vectors",
     )
-    variety = (
-        vectors.select("dataset_id", F.posexplode("features").alias("axis", "x"))
-        .groupBy("dataset_id", "axis")
-        .agg(F.approx_count_distinct("x").alias("values"))
-        .groupBy("dataset_id")
-        .agg(F.sort_array(F.collect_list(F.struct("values", "axis")), asc=False).alias("axes"))
-        .select(
-            "dataset_id",
-            F.col("axes")[0]["axis"].alias("axis_1"),
-            F.coalesce(F.get("axes", F.lit(1))["axis"], F.col("axes")[0]["axis"]).alias("axis_2"),
-        )
-    )
-    sizes = vectors.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_vectors"))
-    first, second = F.get("features", F.col("axis_1")), F.get("features", F.col("axis_2"))
-    along = Window.partitionBy("dataset_id").orderBy(first, second, "vec_id")
-    across = Window.partitionBy("dataset_id", "strip").orderBy(second, first, "vec_id")
-    side = F.ceil(F.sqrt(F.col("n_vectors") / F.lit(float(_BLOCK)))).cast("int")
-    strip = F.floor((F.row_number().over(along) - 1) * side / F.col("n_vectors"))
-    per_tile = F.ceil(F.col("n_vectors") / (side * side))
-    tile = F.floor((F.row_number().over(across) - 1) / per_tile)
-    return (
-        vectors.join(variety, "dataset_id")
-        .join(sizes, "dataset_id")
-        .withColumn("strip", strip.cast("int"))
-        .withColumn("block", (F.col("strip") * (side + 1) + tile).cast("int"))
-        .select("dataset_id", "vec_id", "block", "minpts", "weight", "features")
+    return _spatial_blocks(vectors).select(
+        "dataset_id", "vec_id", "block", "minpts", "weight", "features"
     )
 
 
+def _spatial_blocks(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with the number of their block.
+
+    Round by round, blocks that are still large are cut at the eighths of one
+    axis, each axis in turn. Edges come from mergeable sketches and only
+    affect speed: pruning uses the blocks' true bounds.
+    """
+    key = ["dataset_id", "block"]
+    placed = vectors.withColumn("block", F.lit(0).cast("long"))
+    unchanged, level = 0, 0
+    while True:
+        x = F.get("features", F.lit(level) % F.size("features"))
+        shares = [i / _CUTS for i in range(1, _CUTS)]
+        blocks = settle(
+            placed.groupBy(*key).agg(
+                F.count(F.lit(1)).alias("n"),
+                F.max(F.size("features")).alias("width"),
+                # The least value and the middle see to it that a block that can be cut is.
+                F.concat(
+                    F.array(F.min(x), (F.min(x) + F.max(x)) / 2), F.percentile_approx(x, shares, 1000)
+                ).alias("edges"),
+                (F.min(x) < F.max(x)).alias("varied"),
+            ),
+            "blocks",
+        )
+        large = blocks.where(F.col("n") > 2 * _BLOCK)
+        seen = large.agg(F.max("width").alias("width"), F.count_if("varied").alias("cut")).first()
+        unchanged = 0 if seen.cut else unchanged + 1
+        if seen.width is None or unchanged >= seen.width:
+            return placed
+        above = F.size(F.filter("edges", lambda e: e < x))
+        cut = F.when(
+            F.col("edges").isNotNull(), F.xxhash64("block", F.lit(level), above)
+        ).otherwise(F.col("block"))
+        placed = settle(
+            placed.join(large.select(*key, "edges"), key, "left").withColumn("block", cut).drop("edges"),
+            "placed-vectors",
+        )
+        level += 1
+
+
 def _block_boxes(vectors: DataFrame) -> DataFrame:
     """One row per block carrying the bounds of every block of its dataset."""
     boxes = (
@@ -413,7 +409,7 @@ class DensityNoise:
 
         Parts are joined inside each block first; points then visit only
         later blocks within eps and report which parts touch, not which
-        points do. The links of a dataset are bounded by its matrix sample.
+        points do.
         """
         key = ["dataset_id", "block"]
         core = (
@@ -439,12 +435,18 @@ class DensityNoise:
             .cogroup(placed.select(*key, "features", "part").groupBy(*key))
             .applyInPandas(_part_links, _LINK)
         )
-        alone = parts.select("dataset_id", "part", F.col("part").alias("other")).distinct()
+        name = F.concat_ws("/", "dataset_id", F.lit(""))
+        linked = components(
+            links.where("part <> other").select(
+                F.concat(name, "part").alias("a"), F.concat(name, "other").alias("b")
+            )
+        )
         counted = (
-            links.unionByName(alone)
+            parts.select("dataset_id", F.concat(name, "part").alias("node"))
             .distinct()
+            .join(linked, "node", "left")
             .groupBy("dataset_id")
-            .applyInPandas(_count_parts, _COUNT)
+            .agg(F.count_if(F.coalesce("root", "node") == F.col("node")).cast("int").alias("n_clusters"))
         )
         return (
             self.eps.select("dataset_id")

@@ -36,7 +36,7 @@ from plumbline.operators.profile import (
     measured_columns,
 )
 from plumbline.plans import compliance, portfolio
-from plumbline.session import settle
+from plumbline.session import drop_tables, settle
 
 
 def dataset_scores(
@@ -95,6 +95,13 @@ class Audit:
     noise: DensityNoise
     catalogue: DataFrame
 
+    def close(self) -> None:
+        """Delete the tables that this application wrote in the shared folder.
+
+        The results here are among them; other applications' tables stay.
+        """
+        drop_tables(self.scores.sparkSession)
+
     @cached_property
     def sweep(self) -> DataFrame:
         keys = self.catalogue.select("dataset_id", "sector")
@@ -203,6 +210,9 @@ def audit(
 ) -> Audit:
     """Audit every slice of a typed frame in one chain of jobs.
 
+    All columns but ``by`` are measured, the row id too, unless ``columns``
+    names others.
+
     ``catalogue`` (dataset_id, sector, file_name) names the datasets,
     including those without rows; by default every value of ``by`` is one.
     """
@@ -213,7 +223,7 @@ def audit(
             F.col("dataset_id").alias("file_name"),
         )
     catalogue = settle(catalogue.select("dataset_id", "sector", "file_name"), "catalogue")
-    names = [name for name, _ in measured_columns(df, by, columns) if name != row_id]
+    names = [name for name, _ in measured_columns(df, by, columns)]
     matrix = settle(
         numeric_matrix(df, row_id, by, features or names), "matrix"
     )

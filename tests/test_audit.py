@@ -4,8 +4,8 @@ import pytest
 
 from checks import views as v
 from plumbline import schemas
-from plumbline.plans.audit import audit
-from plumbline.session import drop_tables, settle, shared_folder
+from plumbline.plans.audit import Audit, audit
+from plumbline.session import settle, shared_folder, tables_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,11 +38,26 @@ def test_whole_frame_is_one_dataset(spark):
     orders = v.table(spark, FOLDER, "orders")
     done = audit(orders, "o_orderkey", features=["o_totalprice", "o_custkey"])
     row = done.scores.first()
-    assert (row.dataset_id, row.rows, row.cols) == ("all", 1500, 5)
+    assert (row.dataset_id, row.rows, row.cols) == ("all", 1500, 6)
     assert row.timeliness is None and row.if_applicable and row.db_applicable
 
 
 def test_settled_tables_live_in_the_shared_folder(spark):
     table = settle(spark.range(3), "t")
-    assert shared_folder(spark) in table.inputFiles()[0] and table.count() == 3
-    assert callable(drop_tables)
+    assert tables_folder(spark).startswith(f"{shared_folder(spark)}/plumbline/")
+    assert tables_folder(spark) in table.inputFiles()[0] and table.count() == 3
+
+
+def test_closing_leaves_other_applications_alone(spark, monkeypatch):
+    """Run as an application of its own: this session's tables are in use."""
+    from plumbline import session
+
+    theirs = settle(spark.range(4), "theirs")
+    monkeypatch.setattr(session, "tables_folder", lambda s: f"{shared_folder(s)}/plumbline/closing")
+    mine = settle(spark.range(3), "mine")
+    path = mine.inputFiles()[0]
+    Audit(mine, mine, mine, None, mine).close()
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+    assert theirs.count() == 4

@@ -182,7 +182,7 @@ def test_whole_audit_and_result_files(spark, root, tmp_path):
     assert "if_dbscan_agreement" not in names and "gap_register" in names
     back = results.load_results(spark, folder)
     assert back["dataset_scores"].schema == schemas.DATASET_SCORES
-    assert back["dataset_scores"].count() == 14
+    assert back["dataset_scores"].count() == 19
     assert back["if_contamination_sweep"].count() == 70
     assert back["if_dbscan_agreement"].isEmpty()
     assert back["headline"].first().n_datasets == 14
