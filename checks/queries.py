@@ -183,12 +183,12 @@ def s03_load_status(spark, folder):
 
 @query
 def s04_encoding(spark, folder):
-    return loaded_files(spark, folder).files.select("sector", "encoding").distinct()
+    return loaded_files(spark, folder).files.where("load_ok").select("sector", "encoding").distinct()
 
 
 @query
 def s05_delimiter(spark, folder):
-    return loaded_files(spark, folder).files.select("sector", "delimiter").distinct()
+    return loaded_files(spark, folder).files.where("load_ok").select("sector", "delimiter").distinct()
 
 
 @query

@@ -183,9 +183,9 @@ def test_whole_audit_and_result_files(spark, root, tmp_path):
     back = results.load_results(spark, folder)
     assert back["dataset_scores"].schema == schemas.DATASET_SCORES
     assert back["dataset_scores"].count() == 19
-    assert back["if_contamination_sweep"].count() == 70
+    assert back["if_contamination_sweep"].count() == 95
     assert back["if_dbscan_agreement"].isEmpty()
-    assert back["headline"].first().n_datasets == 14
+    assert back["headline"].first().n_datasets == 19
     with pytest.raises(FileNotFoundError):
         results.load_results(spark, str(tmp_path / "nothing"))
 
