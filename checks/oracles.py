@@ -891,6 +891,59 @@ SELECT candidate, {r('''CASE WHEN count(b) = 0 THEN -1e0
 FROM parts GROUP BY candidate""",
 )
 
+
+
+def _power(name: str, matrix: str, steps: int = 600) -> str:
+    """The leading eigenvector (a, b, c) of a symmetric 3 x 3 matrix, its sign
+    such that the largest loading is positive, and its eigenvalue."""
+    norm = "sqrt(na * na + nb * nb + nc * nc)"
+    return f"""
+{name}_steps AS (
+  SELECT 0 AS i, 1e0 AS a, 0.9e0 AS b, 0.7e0 AS c
+  UNION ALL
+  SELECT i + 1, na / {norm}, nb / {norm}, nc / {norm}
+  FROM (SELECT i, xx * a + xy * b + xz * c AS na, xy * a + yy * b + yz * c AS nb,
+               xz * a + yz * b + zz * c AS nc
+        FROM {name}_steps CROSS JOIN {matrix}) s
+  WHERE i < {steps}),
+{name} AS (
+  SELECT a * sign AS a, b * sign AS b, c * sign AS c,
+         xx * a * a + yy * b * b + zz * c * c + 2 * (xy * a * b + xz * a * c + yz * b * c) AS value
+  FROM (SELECT *, CASE WHEN (CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a
+                                  WHEN abs(b) >= abs(c) THEN b ELSE c END) >= 0 THEN 1 ELSE -1 END AS sign
+        FROM {name}_steps WHERE i = {steps}) e CROSS JOIN {matrix})"""
+
+
+query(
+    "a14_projection",
+    *SCORES,
+    """
+centred AS (
+  SELECT dataset_id, (u - avg(u) OVER ()) / s1 AS x, (v - avg(v) OVER ()) / s2 AS y,
+         (w - avg(w) OVER ()) / s3 AS z
+  FROM (SELECT dataset_id, coalesce(completeness, 0e0) AS u, coalesce(consistency, 0e0) AS v,
+               coalesce(uniqueness, 0e0) AS w FROM scores) f
+  CROSS JOIN (
+    SELECT stddev_pop(coalesce(completeness, 0e0)) AS s1, stddev_pop(coalesce(consistency, 0e0)) AS s2,
+           stddev_pop(coalesce(uniqueness, 0e0)) AS s3 FROM scores) d),
+spread AS (
+  SELECT avg(x * x) AS xx, avg(x * y) AS xy, avg(x * z) AS xz, avg(y * y) AS yy, avg(y * z) AS yz,
+         avg(z * z) AS zz FROM centred)
+""",
+    _power("first", "spread"),
+    """
+rest AS (
+  SELECT xx - value * a * a AS xx, xy - value * a * b AS xy, xz - value * a * c AS xz,
+         yy - value * b * b AS yy, yz - value * b * c AS yz, zz - value * c * c AS zz
+  FROM spread CROSS JOIN first)
+""",
+    _power("second", "rest"),
+    select=f"""
+SELECT dataset_id, {r("x * f.a + y * f.b + z * f.c", "pc1", 5)}, {r("x * s.a + y * s.b + z * s.c", "pc2", 5)},
+       {r("f.value / (xx + yy + zz)", "share_1", 5)}, {r("s.value / (xx + yy + zz)", "share_2", 5)}
+FROM centred CROSS JOIN first f CROSS JOIN second s CROSS JOIN spread""",
+)
+
 # Compliance -----------------------------------------------------------------
 
 query(

@@ -816,9 +816,9 @@ def a13_cluster_meta(spark, folder):
 
 @query
 def a14_projection(spark, folder):
-    """Principal components; an eigenproblem has no plain SQL counterpart."""
+    """Principal components; SQL finds them by power iteration."""
     points, shares = clustering.project_profiles(document_scores(spark, folder))
-    return points.withColumns({"share_1": F.lit(shares[0]), "share_2": F.lit(shares[1])})
+    return rounded(points.withColumns({"share_1": F.lit(shares[0]), "share_2": F.lit(shares[1])}), 5)
 
 
 # Compliance ---------------------------------------------------------------
