@@ -6,10 +6,12 @@ kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, mixing, packing, simhash, toxicity
-from plumbline.llm.common import let_workers_import, read_table
+from plumbline.llm.common import prepare, read_table
 from plumbline.llm.queries import BYTE_BPE
 from plumbline.session import settle
 
@@ -38,17 +40,25 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed_documents(docs, BYTE_BPE).drop("ids")
 
 
+def _stage(fn):
+    @functools.wraps(fn)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return fn(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_exact_copies),
-    ("simhash_near_dedup", drop_near_copies),
-    ("source_mixing", mix_sources),
-    ("best_fit_packing", pack_sequences),
+    ("toxicity", _stage(drop_toxic)),
+    ("exact_dedup", _stage(drop_exact_copies)),
+    ("simhash_near_dedup", _stage(drop_near_copies)),
+    ("source_mixing", _stage(mix_sources)),
+    ("best_fit_packing", _stage(pack_sequences)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")

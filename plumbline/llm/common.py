@@ -16,11 +16,21 @@ BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Let the Python workers of a local session find this package.
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
-    On a cluster the package is installed or shipped with the job.
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, so that long texts fit in small workers.
+
+    In a local session, also let Python workers find this package; on a
+    cluster it is installed or shipped with the job.
     """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
     if spark.sparkContext.master.startswith("local"):
         root = str(Path(__file__).resolve().parents[2])
         spark.sparkContext.environment.setdefault("PYTHONPATH", root)

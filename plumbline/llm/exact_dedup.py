@@ -114,7 +114,7 @@ def duplicate_groups(
         keyed.groupBy("key").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")),
         "groups",  # written, so that the join below can split the rows of a large group
     )
-    return keyed.join(groups, "key").select(
+    return keyed.join(groups.hint("merge"), "key").select(
         "uid",
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),

@@ -197,7 +197,7 @@ def packed_documents(
     Repeated rows are packed as often as they occur.
     """
     cut = pieces(docs, file, id_col, text_col, capacity, end_id)
-    return cut.join(pack(cut.select("pid", "length"), capacity), "pid").select(
+    return cut.join(pack(cut.select("pid", "length"), capacity).hint("merge"), "pid").select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"
     )
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import free_name, slices, text_or_empty, widened
-from plumbline.llm.components import components
+from plumbline.operators.components import components
 from plumbline.session import settle
 
 SHINGLE_WORDS = 3
@@ -116,7 +116,7 @@ def fingerprint_links(
     """
     cells = settle(fps.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell")), "cells")
     sizes = cells.groupBy("cell").count().where("count > 1")
-    shared = settle(cells.join(sizes, "cell"), "shared-cells")
+    shared = settle(cells.join(sizes.hint("merge"), "cell"), "shared-cells")
     members = (
         shared.where(F.col("count") <= cell_pairs_up_to)
         .groupBy("cell")
@@ -167,14 +167,14 @@ def near_duplicate_classes(
     fps = settle(found.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = components(fingerprint_links(fps.select("fp"), cell_pairs_up_to))
     rooted = settle(
-        fps.join(roots, fps.fp == roots.node, "left").select(
+        fps.join(roots.hint("merge"), fps.fp == roots.node, "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
         ),
         "rooted-fingerprints",
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = settle(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = settle(rooted.join(smallest.hint("merge"), "root").select("fp", "component_id"), "classes")
+    return found.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -42,7 +42,7 @@ SEED = 42
 FOLDS = 5
 
 _WORD = re.compile(r"\w+")
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 150_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -63,7 +63,7 @@ def word_terms(word: str) -> list[int]:
 def document_terms(text: str) -> np.ndarray:
     """Sorted distinct term hashes of a whole text."""
     words = set(_WORD.findall(text.lower()))
-    return np.unique(np.fromiter((t for w in words for t in word_terms(w)), np.int64))
+    return np.unique(np.fromiter((t for w in words for t in word_terms(w)), np.int32))
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Machine:
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (
-            np.frombuffer(self.terms, np.int64),
+            np.frombuffer(self.terms, np.int32),
             np.frombuffer(self.linear, np.float32),
             np.frombuffer(self.factors, np.float32).reshape(-1, FACTORS),
         )
@@ -123,8 +123,10 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray) -> Machine:
     if not len(documents) or not toxic.any():
         return empty
     flat = np.concatenate(documents)
-    terms, place = np.unique(flat, return_inverse=True)
-    rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    terms = np.unique(flat)
+    place = np.searchsorted(terms, flat).astype(np.int32)
+    del flat
+    rows = np.repeat(np.arange(len(documents), dtype=np.int32), [len(d) for d in documents])
     kept = evidence(np.bincount(place), np.bincount(place, toxic[rows]), toxic) >= MIN_EVIDENCE
     if not kept.any():
         return empty
@@ -199,7 +201,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(machine: Machine) -> Scorer:
     return Scorer(machine)
 
@@ -252,7 +254,7 @@ def train(
         order = np.lexsort((table.column("toxic").to_numpy(), np.array([zlib.crc32(x.as_buffer()) for x in table.column("terms")])))
         held = table.take(pa.array(order))
         machine = fit(
-            [np.frombuffer(x.as_buffer(), np.int64) for x in held.column("terms")],
+            [np.frombuffer(x.as_buffer(), np.int32) for x in held.column("terms")],
             held.column("toxic").to_numpy().astype(np.float64),
         )
         return pa.table({k: [v] for k, v in vars(machine).items()})

@@ -182,11 +182,11 @@ def reachable(chain: DataFrame) -> DataFrame:
         ahead = state.select(
             "file", F.col("offset").alias("jump"), F.col("jump").alias("further")
         )
-        led = state.join(ahead, ["file", "jump"], "left")
+        led = state.join(ahead.hint("merge"), ["file", "jump"], "left")
         marks = led.where("reached").select("file", F.col("jump").alias("offset"))
         marked = marks.where("offset IS NOT NULL").withColumn("hit", F.lit(True))
         state = settle(
-            led.join(marked, ["file", "offset"], "left").select(
+            led.join(marked.hint("merge"), ["file", "offset"], "left").select(
                 "file",
                 "offset",
                 F.col("further").alias("jump"),
@@ -228,7 +228,7 @@ def read_warc(spark: SparkSession, path: str, columns: list[Column] | None = Non
     starts = settle(reachable(placed.select("file", "offset", "next")), "record-offsets")
     last = Window.partitionBy("file").orderBy("place")
     owned = settle(
-        placed.join(starts.withColumn("is_start", F.lit(True)), ["file", "offset"], "left")
+        placed.join(starts.withColumn("is_start", F.lit(True)).hint("merge"), ["file", "offset"], "left")
         .withColumn(
             "record", F.last(F.when(F.col("is_start"), F.col("offset")), ignorenulls=True).over(last)
         )
@@ -238,7 +238,7 @@ def read_warc(spark: SparkSession, path: str, columns: list[Column] | None = Non
         "owned-pieces",
     )
     made = _parsed(raw).select("file", "place", *columns)
-    single = made.join(owned.where("n_pieces = 1"), ["file", "place"]).drop("place", "n_pieces")
+    single = made.join(owned.where("n_pieces = 1").hint("merge"), ["file", "place"]).drop("place", "n_pieces")
     several = (
         raw.join(owned.where("n_pieces > 1"), ["file", "place"])
         .groupBy("file", "offset")
@@ -275,7 +275,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
         F.col("payload_bytes").alias("meant_bytes"),
         F.col("payload_digest").alias("meant_digest"),
     )
-    again = records.where("record_type = 'revisit'").join(meant, "refers_id", "left")
+    again = records.where("record_type = 'revisit'").join(meant.hint("merge"), "refers_id", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return (
         records.where("record_type <> 'revisit'")
