@@ -14,9 +14,10 @@ from checks import views as v
 from checks.session import local_session
 from plumbline.operators import dimensions, isolation, matrix, profile
 from plumbline.operators.agreement import detector_agreement
+from plumbline.operators.clustering import quality_clusters
 from plumbline.operators.density import DensityNoise
 from plumbline.plans import compliance, portfolio, reports
-from plumbline.plans.audit import inherent_scores
+from plumbline.plans.audit import audit, inherent_scores
 from plumbline.plans.files import load_catalogue
 from plumbline.session import settle
 from checks.queries import _SECTOR_MAP, document_files
@@ -78,6 +79,35 @@ def density_events(spark, folder):
     run(DensityNoise(numbers).summary(keys))
 
 
+def density_lineitem(spark, folder):
+    """All order lines by flag in three features."""
+    rows = lineitem(spark, folder)
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    numbers = settle(matrix.numeric_matrix(rows, "row_id", "l_returnflag", features), "m")
+    keys = by_flag(spark, folder).select("dataset_id")
+    run(DensityNoise(numbers).summary(keys, clusters=False))
+
+
+def audit_events(spark, folder):
+    """The whole chain on the events by type: scores to headline."""
+    done = audit(
+        v.dirty_events(spark, folder), "row_id", "event_type", v.EVENT_COLUMNS,
+        features=v.EVENT_FEATURES, timestamp="ts",
+    )
+    run(done.gap_register)
+    run(done.headline)
+
+
+def clusters_documents(spark, folder):
+    """k-means of the sources' quality profiles for seven k, ten restarts each."""
+    rows = v.dirty_documents(spark, folder)
+    scores = settle(
+        inherent_scores(rows, v.document_catalogue(spark, folder), "source", v.DOCUMENT_COLUMNS),
+        "scores",
+    )
+    run(quality_clusters(scores).labels)
+
+
 def agreement_events(spark, folder):
     rows = v.dirty_events(spark, folder)
     numbers = settle(matrix.numeric_matrix(rows, "row_id", "event_type", v.EVENT_FEATURES), "m")
@@ -116,7 +146,10 @@ JOBS = [
     parse_rates_events,
     forest_sweep_lineitem,
     density_events,
+    density_lineitem,
     agreement_events,
+    audit_events,
+    clusters_documents,
     portfolio_documents,
     load_files,
 ]

@@ -163,7 +163,7 @@ def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
     empty: list[int] = []
     return pd.DataFrame(
         {
-            "dataset_id": block["dataset_id"],
+            "dataset_id": block["dataset_id"].iloc[0],
             "vec_id": ids,
             "block": own,
             "part": ids[part],
@@ -173,15 +173,18 @@ def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
 
 
 def _part_links(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    nothing = pd.DataFrame(columns=["dataset_id", "part", "other"], dtype=object)
     if visitors.empty or block.empty:
-        return pd.DataFrame(columns=["dataset_id", "part", "other"], dtype=object)
+        return nothing
     points, parts = _features(block), block["part"].to_numpy()
     eps, pairs = float(visitors["eps"].iloc[0]), set()
     for start in range(0, len(visitors), _BLOCK):
         some = visitors.iloc[start : start + _BLOCK]
         left, right = np.nonzero(_distances(_features(some), points) <= eps)
         pairs |= set(zip(some["part"].to_numpy()[left], parts[right], strict=True))
-    found = np.array(sorted(pairs), dtype=object).reshape(-1, 2)
+    if not pairs:
+        return nothing
+    found = np.array(sorted(pairs), dtype=object)
     return pd.DataFrame(
         {
             "dataset_id": [visitors["dataset_id"].iloc[0]] * len(found),

@@ -82,6 +82,21 @@ def test_density_matches_brute_force(spark, n, copies, width, multiplier):
     assert row.minpts == max(2 * width, 4) and row.n_records == len(ids)
 
 
+@pytest.mark.parametrize("copies", [0, 500])
+def test_density_in_many_small_blocks(spark, monkeypatch, copies):
+    """Hundreds of blocks in three features; once half of the rows are alike."""
+    monkeypatch.setattr(density, "_BLOCK", 2)
+    df, names = points(spark, 500, copies=copies)
+    order, x = collect(build(df, names))
+    noise, eps, groups = brute_force(x)
+    found = density.DensityNoise(build(df, names))
+    assert found.vectors.select("block").distinct().count() > 150
+    got = {r.row_id: r.noise for r in found.labels().collect()}
+    assert [got[i] for i in order] == list(noise)
+    assert found.eps.first().eps == pytest.approx(eps)
+    assert found.cluster_counts().first().n_clusters == groups
+
+
 def test_density_needs_more_rows_than_minpts(spark):
     df = spark.range(12).select(
         F.lit("a").alias("k"), "id", *[(F.rand(i) * 9).alias(f"f{i}") for i in range(6)]
