@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,6 +22,10 @@ MEMO_WORDS = 250_000
 _MISSES_AT_ONCE = 4096
 
 
+# White space that joins with what stands before it; only in words by themselves.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 @dataclass(frozen=True)
 class TokenizerFile:
     """A tokenizer file and how its words may be encoded one by one.
@@ -115,7 +120,11 @@ class Encoder:
             part, some = words[at : at + _MISSES_AT_ONCE], given[at : at + _MISSES_AT_ONCE]
             text = before + between.join(some)
             marks = text.count(self._mark)
-            if len(text.split()) == len(some) + (between != "\n") * marks and marks == len(some):
+            if self._words == "spaced":
+                alike = not _OTHER_SPACE.search(text) and len(text.split()) == len(some)
+            else:
+                alike = len(text.split()) == len(some) + marks
+            if alike and marks == len(some):
                 ids = self._ids(text)
                 cuts = np.flatnonzero(ids == self._mark_id[0])
                 if len(self._mark_id) == 1 and len(cuts) == len(some):
