@@ -99,7 +99,9 @@ class Encoder:
 
     def _is_closed(self, word: str) -> bool:
         """Whether ``word`` is a shorter one and a stop that is a token of its own."""
-        return len(word) > 1 and word[-2].isalpha() and word[-2] < "\u0250"  # letters in any version of Unicode
+        before = word[-2:-1]
+        # A letter in any version of Unicode, and still one in lower case.
+        return before.isalpha() and before < "\u0250" and len(before.lower()) == 1
 
     def _learn(self, words: list[str]) -> None:
         if self._words == "separate":

@@ -34,7 +34,7 @@ def test_words_one_by_one_give_the_ids_of_the_whole(file):
         for text, ids in zip(TEXTS, got):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
 
-    for text in ("s\n\n\tx", "a\n\n\x85b", "1\n\n\u3000c d", "x\t\n y", "x \ty z\t w", "q\r\n\r\nr s"):
+    for text in ("s\n\n\tx", "a\n\n\x85b", "1\n\n\u3000c d", "x\t\n y", "x \ty z\t w", "q\r\n\r\nr s", "İ. İ, x"):
         ids = np.frombuffer(encoder.encode([text, "a b c"])[0], "<u4").tolist()
         assert ids == plain.encode(text, add_special_tokens=False).ids, text
 
