@@ -113,9 +113,12 @@ _SHORT_NUMBERS = [
 # Longer words come first and nothing is tried again, so that texts of any
 # length are read once.
 _DATE_ALPHABET = (
-    rf"^(?=.*\d)(?:{_MONTH}|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun|day|"
-    r"st|nd|rd|th|[ap]m|utc|gmt|[qtz]|[\d ,:./+-])++$"
+    rf"^(?=.*\d)(?:[\d ,:./+-]++|{_MONTH}|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun|day|"
+    r"st|nd|rd|th|[ap]m|utc|gmt|[qtz])++$"
 )
+# Plain numbers that no rule below takes for a date.
+_BARE_NUMBER = r"^-?\d+(?:\.\d+)?(?:e-?\d+)?$"
+_DATE_NUMBER = r"^(?:\d{4}|\d{6}|\d{8}|\d{12}|\d{14}|\d{4}\.\d{1,2})$"
 
 
 def _bind(value: Column, body) -> Column:
@@ -178,7 +181,8 @@ def date_like(text: Column) -> Column:
             _triple(_rewrite(candidate, _SHORT_NUMBERS)),
         )
         inside = _bind(F.try_to_date(ordered, "y-M-d"), lambda day: day.between(first, last))
-        return F.coalesce(F.when(candidate.rlike(_DATE_ALPHABET), inside), F.lit(False))
+        number = candidate.rlike(_BARE_NUMBER) & ~candidate.rlike(_DATE_NUMBER)
+        return F.coalesce(F.when(~number & candidate.rlike(_DATE_ALPHABET), inside), F.lit(False))
 
     return F.coalesce(_bind(F.lower(F.trim(text)), parses), F.lit(False))
 
