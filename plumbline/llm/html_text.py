@@ -30,12 +30,17 @@ UNKNOWN_TAG_COST = 1.0
 
 # Element names of the public HTML standard.
 LABEL_ELEMENTS = ["article", "main"]
-RAW_ELEMENTS = ["script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "math"]
+RAW_ELEMENTS = ["script", "style", "textarea"]
+#: Without text of the page as well, but only if they end.
+EMBEDDED_ELEMENTS = ["noscript", "template", "svg", "iframe", "object", "canvas"]
 LEFT_OUT_ELEMENTS = ["nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "title"]
 INLINE_ELEMENTS = [
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "annotation", "annotation-xml", "maction", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn",
+    "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub",
+    "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 ]
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 # Words of class, id and role that mark what is not the article.
@@ -49,12 +54,15 @@ LEFT_OUT_WHOLE_MARKS = ["footer", "header", "page-footer", "page-header", "site-
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW_ELEMENTS)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW_ELEMENTS)})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_EMBEDDED = re.compile(
+    rf"<(?P<close>/?)(?P<name>{'|'.join(EMBEDDED_ELEMENTS)})(?=[\s/>])(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I
+)
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 _LEFT_OUT, _MARKS, _WHOLE = set(LEFT_OUT_ELEMENTS), set(LEFT_OUT_MARKS), set(LEFT_OUT_WHOLE_MARKS)
@@ -73,6 +81,20 @@ def _is_left_out(name: str, rest: str) -> bool:
     return _HIDDEN.search(rest) is not None
 
 
+def embedded_ends(page: str) -> dict[int, int]:
+    """Where the embedded elements that end begin, and the place after their end."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for m in _EMBEDDED.finditer(page):
+        name = m["name"].lower()
+        if not m["close"]:
+            if name != "svg" or not m["rest"].endswith("/"):
+                waiting.setdefault(name, []).append(m.start())
+        elif waiting.get(name):
+            ends[waiting[name].pop()] = m.end()
+    return ends
+
+
 def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str]]:
     """(tag, text) of every tag and text that may belong to the article, in order.
 
@@ -81,7 +103,10 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str]]:
     hold, if they end; their own tags stay and count.
     """
     found: list[tuple[str, str, str]] = []
+    embedded, skipped_to = embedded_ends(page), 0
     for m in _TOKEN.finditer(page):
+        if m.start() < skipped_to:
+            continue
         if m["text"] is not None:
             if found and not found[-1][0]:
                 found[-1] = ("", found[-1][1] + m["text"], "")
@@ -89,7 +114,8 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str]]:
                 found.append(("", m["text"], ""))
         elif m["name"]:
             name = m["name"].lower()
-            found.append((f"/{name}" if m["close"] else name, "", m["rest"] or ""))
+            skipped_to = embedded.get(m.start(), 0)
+            found.append((f"/{name}" if m["close"] or skipped_to else name, "", m["rest"] or ""))
         elif m["raw"]:
             found.append((f"/{m['raw'].lower()}", "", ""))
     ends: dict[int, int] = {}

@@ -65,6 +65,23 @@ def test_edges_of_pages(page, text):
     assert html_text.main_text(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<svg-icon name='x'></svg-icon><article><p>{STORY}</p></article>", STORY),
+        (f"<template-x></template-x><p>{STORY}</p><object-y>", STORY),
+        (f"<svg viewBox='0 0 1 1'/><p>{STORY}</p>", STORY),
+        (f"<object data=x><canvas><template><p>{STORY}</p>", STORY),
+        (f"<svg><p>{STORY}</p><svg><text>{STORY}</text></svg>", STORY),
+        (f"<svg><svg></svg>{STORY}</svg><p>{STORY}</p><noscript>{STORY}</noscript>", STORY),
+        (f"<p>{STORY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <math/>on</p>", f"{STORY} x=1 and on"),
+        (f"<p>{STORY}</p><textarea>{STORY}", STORY),
+    ],
+)
+def test_only_whole_embedded_elements_go(page, text):
+    assert html_text.main_text(page, WEIGHTS) == text
+
+
 def test_weights_from_labelled_pages(spark):
     page = f"<nav><a>x</a><a>y</a></nav><main><p>{STORY}</p><ul><li>{STORY}</li></ul></main><div>z</div>"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "<p>no label</p>")], PAGES)
