@@ -10,6 +10,7 @@ costs more.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,10 @@ WORD_GAIN_LEAST, WORD_GAIN_MOST = 0.1, 1.0
 TAG_COST_LEAST, TAG_COST_MOST = 0.02, 6.0
 #: Cost of a tag that no labelled page has and that ends a block.
 UNKNOWN_TAG_COST = 1.0
+#: Share of a page's words above which an element is never left out.
+MOST_WORDS = 0.75
+#: Words that each tag of an element costs if a part of its class, id or role is a mark.
+PART_MARK_WORDS = 5
 
 # Element names of the public HTML standard.
 LABEL_ELEMENTS = ["article", "main"]
@@ -43,14 +48,24 @@ INLINE_ELEMENTS = [
     "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 ]
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
-# Words of class, id and role that mark what is not the article.
+HEADING_ELEMENTS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+# Whole words of class, id and role that mark what is not the article.
 LEFT_OUT_MARKS = [
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "gdpr", "menu",
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related",
     "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 ]
-LEFT_OUT_WHOLE_MARKS = ["footer", "header", "page-footer", "page-header", "site-footer", "site-header"]
+LEFT_OUT_WHOLE_MARKS = [
+    "footer", "header", "page-footer", "page-header", "site-footer", "site-header", "ad-banner", "ad-box",
+    "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "banner-ad", "comment-form", "comment-list", "comments-area",
+    "comments-list", "comments-section", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice",
+    "disqus-thread", "left-sidebar", "main-menu", "main-nav", "main-navigation", "nav-bar", "nav-menu",
+    "newsletter-form", "newsletter-signup", "post-navigation", "primary-nav", "related-articles", "related-links",
+    "related-posts", "related-stories", "right-sidebar", "share-bar", "share-buttons", "share-links", "sidebar-left",
+    "sidebar-right", "site-menu", "site-nav", "site-navigation", "social-icons", "social-links", "social-media",
+    "social-share", "subscribe-form", "top-nav", "widget-area",
+]
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -63,22 +78,33 @@ _TOKEN = re.compile(
 _EMBEDDED = re.compile(
     rf"<(?P<close>/?)(?P<name>{'|'.join(EMBEDDED_ELEMENTS)})(?=[\s/>])(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I
 )
-_MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
-_LEFT_OUT, _MARKS, _WHOLE = set(LEFT_OUT_ELEMENTS), set(LEFT_OUT_MARKS), set(LEFT_OUT_WHOLE_MARKS)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_LEFT_OUT, _MARKS = set(LEFT_OUT_ELEMENTS), set(LEFT_OUT_MARKS)
+_WHOLE = _MARKS | set(LEFT_OUT_WHOLE_MARKS)
 _INLINE, _VOID = set(INLINE_ELEMENTS), set(VOID_ELEMENTS)
+_UNMARKED = {"html", "body", *LABEL_ELEMENTS, *HEADING_ELEMENTS, *INLINE_ELEMENTS}
+
 
+def _judged(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether only a part of a mark speaks for that.
 
-def _is_left_out(name: str, rest: str) -> bool:
+    Headings and inline elements have no marks, but can be hidden.
+    """
     if name in _LEFT_OUT:
-        return True
-    if not rest or name in ("html", "body", *LABEL_ELEMENTS):
-        return False
-    for found in _MARKED.findall(rest):
-        for mark in "".join(found).lower().split():
-            if mark in _WHOLE or _MARKS.intersection(re.split(r"[-_]", mark)):
-                return True
-    return _HIDDEN.search(rest) is not None
+        return True, False
+    part = False
+    if rest and name not in ("html", "body", *LABEL_ELEMENTS):
+        for attribute, *values in _ATTRIBUTE.findall(rest):
+            attribute, value = attribute.lower(), "".join(values)
+            if attribute == "hidden" or attribute == "style" and _NOT_SHOWN.search(value):
+                return True, False
+            if attribute in ("class", "id", "role") and name not in _UNMARKED:
+                for mark in value.lower().replace("_", "-").split():
+                    if mark in _WHOLE:
+                        return True, False
+                    part = part or not _MARKS.isdisjoint(mark.split("-"))
+    return False, part
 
 
 def embedded_ends(page: str) -> dict[int, int]:
@@ -95,12 +121,25 @@ def embedded_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str]]:
-    """(tag, text) of every tag and text that may belong to the article, in order.
+def _centres(found: list[tuple[str, str, str]], ends: dict[int, int], up_to: list[int]) -> list[int]:
+    """Places of the main element and the article with the most words; an
+    article that holds less than half of all articles' words is not the page's."""
+    centres = []
+    for label in LABEL_ELEMENTS:
+        held = [(up_to[ends.get(i, -1)] - up_to[i], -i) for i, (tag, _, _) in enumerate(found) if tag == label]
+        if held and max(held)[0] > 0 and (label == "main" or 2 * max(held)[0] >= sum(n for n, _ in held)):
+            centres.append(-max(held)[1])
+    return centres
+
+
+def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str, int]]:
+    """(tag, text, n) of every tag and text that may belong to the article, in order.
 
-    A tag is ``name`` or ``/name`` and has no text; a text has the tag ``""``.
-    With ``leave_out``, elements that never belong to it go with all they
-    hold, if they end; their own tags stay and count.
+    A tag is ``name`` or ``/name`` and has no text; a text has the tag ``""``
+    and ``n`` words. With ``leave_out``, elements that never belong to it go
+    with all they hold, if they end, unless they hold the page's article or
+    most of its words; their own tags stay and count. ``n`` of a tag is 1 if
+    a part of a mark speaks against its element, else 0.
     """
     found: list[tuple[str, str, str]] = []
     embedded, skipped_to = embedded_ends(page), 0
@@ -127,14 +166,24 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str]]:
                 ends[waiting.pop()] = i
         elif tag and tag not in _VOID and not rest.endswith("/"):
             open_by_name.setdefault(tag, []).append(i)
+    words = [0 if tag else len(text.split()) for tag, text, _ in found]
+    if not leave_out:
+        return [(tag, text, n) for (tag, text, _), n in zip(found, words)]
+    up_to = [0, *itertools.accumulate(words)]
+    centres = _centres(found, ends, up_to)
     out, i = [], 0
     while i < len(found):
         tag, text, rest = found[i]
-        out.append((tag, text))
-        if leave_out and tag and not tag.startswith("/") and i in ends and _is_left_out(tag, rest):
-            i = ends[i]
-        else:
-            i += 1
+        skip = False
+        if tag and i in ends:
+            skip, part = _judged(tag, rest)
+            if part:
+                words[i] = words[ends[i]] = 1
+            if skip:
+                most = up_to[ends[i]] - up_to[i] > MOST_WORDS * up_to[-1]
+                skip = not most and not any(i < c < ends[i] for c in centres)
+        out.append((tag, text, words[i]))
+        i = ends[i] if skip else i + 1
     return out
 
 
@@ -145,17 +194,17 @@ def label_counts(page: str) -> Counter[tuple[str, bool]]:
     """
     tokens = page_tokens(page, leave_out=False)
     for label in LABEL_ELEMENTS:
-        starts = [i for i, (tag, _) in enumerate(tokens) if tag == label]
-        stops = [i for i, (tag, _) in enumerate(tokens) if tag == f"/{label}"]
+        starts = [i for i, (tag, _, _) in enumerate(tokens) if tag == label]
+        stops = [i for i, (tag, _, _) in enumerate(tokens) if tag == f"/{label}"]
         if len(starts) == len(stops) == 1 and starts[0] < stops[0]:
             break
     else:
         return Counter()
     counts: Counter[tuple[str, bool]] = Counter()
-    for i, (tag, text) in enumerate(tokens):
+    for i, (tag, _, n) in enumerate(tokens):
         inside = starts[0] < i < stops[0]
         if not tag:
-            counts["", inside] += len(text.split())
+            counts["", inside] += n
         elif i not in (starts[0], stops[0]):
             counts[tag.lstrip("/"), inside] += 1
     return counts
@@ -236,13 +285,14 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     tokens = page_tokens(page)
     gain = weights.get("", 1.0)
 
-    def score(tag: str, text: str) -> float:
+    def score(tag: str, n: int) -> float:
         if not tag:
-            return gain * len(text.split())
-        return weights.get(tag, -TAG_COST_LEAST if tag in _INLINE else -UNKNOWN_TAG_COST)
+            return gain * n
+        cost = weights.get(tag, -TAG_COST_LEAST if tag in _INLINE else -UNKNOWN_TAG_COST)
+        return cost - gain * PART_MARK_WORDS * n
 
-    scores = np.array([score(tag.lstrip("/"), text) for tag, text in tokens])
-    for i, (tag, _) in enumerate(tokens):
+    scores = np.array([score(tag.lstrip("/"), n) for tag, _, n in tokens])
+    for i, (tag, _, _) in enumerate(tokens):
         if tag.lstrip("/") in LABEL_ELEMENTS:
             scores[i] = 0.0  # the label itself says nothing of pages without it
     start, end = best_run(scores)
@@ -251,7 +301,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     while start < end < len(tokens) and _within_block(tokens[end][0]):
         end += 1
     blocks, block = [], []
-    for tag, text in [*tokens[start:end], ("p", "")]:
+    for tag, text, _ in [*tokens[start:end], ("p", "", 0)]:
         if not tag:
             block.append(html.unescape(text))
         elif tag.lstrip("/") == "br":

@@ -82,6 +82,28 @@ def test_only_whole_embedded_elements_go(page, text):
     assert html_text.main_text(page, WEIGHTS) == text
 
 
+LONG = " ".join([STORY] * 6)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='has-sidebar'><article><p>{STORY}</p></article></div>", STORY),
+        (f"<div class=content-sidebar-wrap><p>{LONG}</p></div><div class=x_widget_y><p>few words</p></div>", LONG),
+        (f"<div class='widget'><main><p>{STORY}</p></main></div><p>{STORY} {STORY}</p>", f"{STORY}\n\n{STORY} {STORY}"),
+        (f"<form><div id='sidebar'><p>{LONG}</p></div></form><div>few words</div>", LONG),
+        (f"<article><p>{LONG}</p><h2 id='related-work'>Work</h2><p>{LONG}</p><h2 id=social>S</h2></article>", f"{LONG}\n\nWork\n\n{LONG}\n\nS"),
+        (f"<p>{LONG} <a title='the hidden cost'>link</a> <span class='notice'>too</span></p>", f"{LONG} link too"),
+        (f"<div class='hidden md:block' data-class='ad' title='display:none'><p>{STORY}</p></div><p>{STORY}</p>", f"{STORY}\n\n{STORY}"),
+        (f"<p>{LONG}</p><div hidden><p>{STORY}</p></div><p style='color:red; display : none'>{STORY}</p>", LONG),
+        (f"<p>{LONG}</p><p>{LONG} <span hidden>{STORY}</span>on</p>", f"{LONG}\n\n{LONG} on"),
+        (f"<p>{LONG}</p><div id=related_posts><article>{STORY}</article><article>{STORY}</article><article>{STORY}</article></div>", LONG),
+    ],
+)
+def test_marks_of_elements(page, text):
+    assert html_text.main_text(page, {"": 0.5, "p": -0.02, "h2": -0.02, "div": -0.5, "article": -0.02}) == text
+
+
 def test_weights_from_labelled_pages(spark):
     page = f"<nav><a>x</a><a>y</a></nav><main><p>{STORY}</p><ul><li>{STORY}</li></ul></main><div>z</div>"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "<p>no label</p>")], PAGES)
