@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.defaults import SECTOR_FOLDERS
+from plumbline.sources.streamed import STREAMED_BYTES, streamed_files
 
 
 _LISTING = (
@@ -90,12 +91,22 @@ def scan_catalogue(
 
 def file_digests(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(file_path, sha256) of every CSV file in the folders."""
-    return (
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .load(folders)
-        .select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("sha256"))
+        .select(
+            F.col("path").alias("file_path"), "length", "content", F.col("_metadata.file_path").alias("source")
+        )
     )
+    digests = ["file_path", F.sha2("content", 256).alias("sha256")]
+    streamed, uncut = streamed_files(spark, folders)
+    found = listed.where(F.col("length") < STREAMED_BYTES).select(*digests)
+    if streamed is None:
+        return found
+    large = listed.where(F.col("length") >= STREAMED_BYTES)
+    found = found.unionByName(large.select("file_path", "source").join(streamed, "source").select("file_path", "sha256"))
+    return found.unionByName(large.where(F.col("source").isin(uncut)).select(*digests)) if uncut else found
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

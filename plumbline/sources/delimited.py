@@ -23,9 +23,11 @@ from plumbline.functions.cells import is_sentinel, numeric_like
 from plumbline.operators.matrix import standardise
 from plumbline.operators.profile import classify, date_share, distinct_texts, long_texts
 from plumbline.session import settle
+from plumbline.sources.streamed import STREAMED_BYTES, streamed_files
 
 _HEAD_BYTES = 65_536
-_WHOLE_FILE_LIMIT = 2**31 - 1024
+# What one binary value can hold.
+_VALUE_BYTES = 2**31 - 1024
 # One record: text outside quotes up to a line end, quoted runs taken whole.
 _FIRST_RECORD = r'^(?:[ \t]*\r?\n)*+([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)(\r?\n|\r|\z)'
 _QUOTED = r'"[^"]*"'
@@ -87,23 +89,33 @@ def _header_names(header: Column, delimiter: Column) -> Column:
     return F.transform(bare, numbered)
 
 
-def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
+def sniff_files(
+    spark: SparkSession, catalogue: DataFrame, streamed_bytes: int = STREAMED_BYTES
+) -> DataFrame:
     """Encoding, delimiter, header and digest of every catalogue file.
 
     Encoding: byte order mark of UTF-8 or UTF-16, then valid UTF-8, then
     windows-1256, which decodes any bytes. Delimiter: the first of comma, semicolon, tab and pipe
     that gives the header at least two fields, else comma. A file without a
-    header record does not load. Contents stay inside the scan task.
+    header record does not load. Contents stay inside the scan task; those of
+    ``streamed_bytes`` and more pass through it in bounded runs.
     """
     folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
     folders = sorted(row[0] for row in catalogue.select(folder).distinct().collect())
+    streamed, uncut = streamed_files(spark, folders, streamed_bytes)
     with _legacy_charsets(spark):
-        files = (
+        listed = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.[cC][sS][vV]")
             .load(folders)
-            .where(F.col("length") < _WHOLE_FILE_LIMIT)
+            .select("length", "content", F.col("_metadata.file_path").alias("source"))
         )
+        length = F.col("length")
+        files = listed.where(length < streamed_bytes)
+        if uncut:
+            # Files that no separator cuts into runs are held whole if they can be.
+            held = listed.where((length >= streamed_bytes) & (length < _VALUE_BYTES))
+            files = files.unionByName(held.where(F.col("source").isin(uncut)))
         content = F.col("content")
         mark = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
         encoding = (
@@ -113,12 +125,11 @@ def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
             .otherwise("windows-1256")
         )
         looked = files.select(
-            F.col("_metadata.file_path").alias("source"),
-            F.sha2(content, 256).alias("sha256"),
-            encoding.alias("encoding"),
-            F.substring(content, 1, _HEAD_BYTES).alias("head"),
-            content.alias("content"),
+            "source", F.sha2(content, 256).alias("sha256"), encoding.alias("encoding"), "content"
         )
+        if streamed is not None:
+            looked = looked.unionByName(streamed)
+        looked = looked.withColumn("head", F.substring("content", 1, _HEAD_BYTES))
         head = F.regexp_extract(_decoded_head(), _FIRST_RECORD, 1)
         closed = F.regexp_extract(_decoded_head(), _FIRST_RECORD, 2) != ""
         short = F.length("content") <= _HEAD_BYTES
@@ -140,7 +151,10 @@ def sniff_files(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
             F.when(~empty, F.col("delimiter")).alias("delimiter"),
             F.when(~empty, F.col("column_names")).alias("column_names"),
             (~empty).alias("load_ok"),
-            F.when(F.col("size_bytes") >= _WHOLE_FILE_LIMIT, "file too large to load whole")
+            F.when(
+                (F.col("size_bytes") >= _VALUE_BYTES) & F.col("sha256").isNull(),
+                "file cannot be cut into runs of bytes",
+            )
             .when(empty, "no columns to parse from file")
             .alias("error"),
         )

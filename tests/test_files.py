@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.plans.files import audit_files, load_catalogue
-from plumbline.sources import catalogue, delimited, results
+from plumbline.sources import catalogue, delimited, results, streamed
 
 SECTORS = [("Alpha", "alpha", "ALP"), ("Beta", "beta", "BET"), ("Gone", "gone", "GON")]
 
@@ -215,6 +215,39 @@ def test_manifest(spark, tmp_path):
     assert (same.copies, same.first_path) == (2, "new.csv")
 
 
+def test_streamed_files_look_like_whole_ones(spark, root):
+    found = catalogue.scan_catalogue(spark, root, SECTORS)
+    columns = ["file_name", "sha256", "encoding", "delimiter", "column_names", "load_ok", "error"]
+
+    def looked(streamed_bytes):
+        rows = delimited.sniff_files(spark, found, streamed_bytes).select(*columns).collect()
+        return {r.file_name: r for r in rows}
+
+    assert looked(200_000) == looked(1 << 40)
+
+
+@pytest.mark.parametrize(
+    "content, encoding",
+    [
+        (b"a,b\n1,2\n", "utf-8"),
+        (b"a,b\r1,2\r" * 9, "utf-8"),  # no line feed at all
+        (b"\xef\xbb\xbfa,b\n1,2", "utf-8-sig"),
+        (b"\xef\xbb\xbfa,b\n1,2\n\n", "utf-8-sig"),
+        (b"\n\na;b\n\xe9;2\n\n\n", "windows-1256"),
+        ("a\tb\n1\té\n".encode("utf-16"), "utf-16"),
+        (b"a,b\n" + b"x" * 300_000 + b",1\n", "utf-8"),  # a run beyond the bound
+        (b"a,b\n" + b"x" * 300_000 + b"\xc3", "windows-1256"),
+    ],
+)
+def test_streamed_bytes(spark, tmp_path, content, encoding):
+    content += b"3,4\n" * 60_000 if encoding != "utf-16" else "3\t4\n".encode("utf-16-le") * 30_000
+    (tmp_path / "one [x].csv").write_bytes(content)
+    (tmp_path / "small.csv").write_bytes(b"a,b\n")
+    found, uncut = streamed.streamed_files(spark, [str(tmp_path)], 100_000)
+    row = found.collect()
+    assert [(r.sha256, r.encoding) for r in row] == [(hashlib.sha256(content).hexdigest(), encoding)] and uncut == []
+
+
 def test_load_metadata(loaded):
     row = results.load_metadata(loaded.inventory(), "ALP-02").first()
     assert (row.encoding, row.delimiter, row.rows, row.cols) == ("utf-8", ";", 3, 3)
