@@ -34,12 +34,13 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: flo
     """(id, v): floor(scale * x) of every component; unusable vectors left out.
 
     Null vectors, and those with null, NaN or infinite components, take no
-    part. Components beyond 2**31 are held to it.
+    part. A component that does not fit a long fails the job.
     """
     x = F.col(f"`{vector_col}`").cast("array<double>")
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    edge = float(1 << 31)
-    whole = F.transform(x, lambda c: F.least(F.greatest(F.floor(F.lit(scale) * c), F.lit(-edge)), F.lit(edge)).cast("long"))
+    fits = lambda c: F.abs(F.lit(scale) * c) < float(1 << 63)
+    wide = F.raise_error(F.lit("a scaled vector component does not fit a long")).cast("long")
+    whole = F.transform(x, lambda c: F.when(fits(c), F.floor(F.lit(scale) * c)).otherwise(wide))
     return vectors.where(x.isNotNull() & usable).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v")
     )
@@ -70,11 +71,20 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products, as integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact inner products, as integers: Python's if they may not fit a long."""
+    largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (a, b)]
+    most = largest[0] * largest[1] * max(1, a.shape[1])
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return a.astype(object) @ b.astype(object).T
+
+
+def _longs(score: np.ndarray) -> np.ndarray:
+    if score.dtype == object and any(not -(2**63) <= x < 2**63 for x in score.tolist()):
+        raise OverflowError("an inner product among the best of a query does not fit a long")
+    return score.astype(np.int64)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -139,18 +149,22 @@ def _search(queries: pa.Table, rows: pa.Table, k: int, width: int) -> dict[str,
             chosen = alive[start : start + _STEP]
             score = _products(q[batch], x[chosen])
             other = q_ids[batch][:, None] != x_ids[chosen][None]
-            row, column = np.nonzero((score >= least[:, None]) & other)
+            rounded = score.astype(np.float64)  # in the order of the scores, as the floor is
+            row, column = np.nonzero((rounded >= least[:, None]) & other)
             parts.append((at + row, x_ids[chosen[column]], score[row, column]))
             if len(chosen) > k:  # one of them may be the query itself
-                least = np.maximum(least, np.partition(score, -k - 1, axis=1)[:, -k - 1])
+                least = np.maximum(least, np.partition(rounded, -k - 1, axis=1)[:, -k - 1])
     nothing = np.empty(0, np.int64)
     parts.append((nothing, nothing, nothing))
     row, found, score = (np.concatenate(p) for p in zip(*parts))
-    best = np.lexsort((found, -score, row))
+    if score.dtype == object:
+        best = np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], found[i])), np.int64)
+    else:
+        best = np.lexsort((found, -score, row))
     row, found, score = row[best].astype(np.int64), found[best], score[best]
     first = np.searchsorted(row, row)
     kept = np.arange(len(row)) - first < k
-    return {"query_id": q_ids[row[kept]], "vec_id": found[kept], "score": score[kept]}
+    return {"query_id": q_ids[row[kept]], "vec_id": found[kept], "score": _longs(score[kept])}
 
 
 _FOUND = "query_id long, vec_id long, score long"

@@ -50,6 +50,19 @@ def test_huge_components_and_few_rows(spark):
     assert run(spark, rows[:1]) == []
 
 
+def test_components_beyond_32_bits(spark):
+    # Scaled by 64; the square of the vector of 1e9 is beyond 2**63.
+    rows = [(0, [4e7, 1.0]), (1, [3.5e7, 3.0]), (2, [3.6e7, -7.0]), (3, [-5e7, 2.0])]
+    large = [(0, [1.0, 0.0]), (20, [1e9, 0.0]), (1, [1e6, 5.0])]
+    assert run(spark, rows) == brute(rows, 20) and run(spark, large) == brute(large, 20)
+
+
+@pytest.mark.parametrize("rows", [[(0, [1e10]), (1, [1e10])], [(0, [1e18]), (1, [1.0])]])
+def test_scores_that_do_not_fit_fail(spark, rows):
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, rows)
+
+
 def test_nothing(spark):
     assert run(spark, [(1, None)]) == []
     assert run(spark, [(1, [1.0])]) == []
