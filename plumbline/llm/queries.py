@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import (
     exact_dedup,
     html_text,
+    language_id,
     mixing,
     packing,
     simhash,
@@ -102,3 +103,8 @@ def op10_exact_dedup(spark, folder):
     return exact_dedup.duplicate_groups(read_table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query
+def op11_language_id(spark, folder):
+    return language_id.document_languages(read_table(spark, folder, "documents"))
