@@ -46,6 +46,8 @@ UNKNOWN = "und"
 _WINDOW = 1 << 20
 _VECTORS_AT_ONCE = 4096
 _BLANK = 32
+#: Steps of a unit: prototypes add whole numbers, in any order alike.
+_STEPS = 1 << 20
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -149,7 +151,9 @@ class Profiles:
             return [UNKNOWN] * len(some), np.zeros(len(some))
         vectors = np.frombuffer(self.vectors, np.float64).reshape(-1, self.dimensions)
         found = bundles(some, self.dimensions)
-        cosines = _unit(found) @ vectors.T
+        units = _unit(found)
+        # Row by row: a product of matrices would round by what else is in them.
+        cosines = np.stack([(units * v).sum(axis=1) for v in vectors], axis=1)
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(some)), best], 0.0, 1.0)
         spoken = found.any(axis=1)
@@ -192,7 +196,8 @@ def train(
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                units, languages = _unit(bundles(texts(part, "text"), dimensions)), part.column("lang").to_pylist()
+                units = np.rint(_STEPS * _unit(bundles(texts(part, "text"), dimensions))).astype(np.int64)
+                languages = part.column("lang").to_pylist()
                 for language in set(languages):
                     mine = units[[x == language for x in languages]].sum(axis=0)
                     sums[language] = sums.get(language, 0) + mine
@@ -203,9 +208,7 @@ def train(
         )
 
     def add(table: pa.Table) -> pa.Table:
-        # In an order of their own, so that sums are the same in every run.
-        parts = sorted(x.as_py() for x in table.column("vector"))
-        total = np.sum([np.frombuffer(x, np.float64) for x in parts], axis=0)
+        total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("vector")], axis=0)
         return pa.table({"lang": table.column("lang")[:1], "vector": pa.array([total.tobytes()], pa.binary())})
 
     schema = "lang string, vector binary"
@@ -213,7 +216,8 @@ def train(
         examples.select("lang", "text").mapInArrow(bundle, schema).groupBy("lang").applyInArrow(add, schema).collect()
     )
     rows = sorted(rows, key=lambda r: r.lang)
-    vectors = np.stack([np.frombuffer(r.vector, np.float64) for r in rows]) if rows else np.zeros((0, dimensions))
+    sums = [np.frombuffer(r.vector, np.int64) for r in rows]
+    vectors = np.stack(sums).astype(np.float64) if rows else np.zeros((0, dimensions))
     kept = vectors.any(axis=1)  # a language whose texts have no letter is not learned
     return Profiles(
         tuple(r.lang for r, k in zip(rows, kept) if k), _unit(vectors[kept]).tobytes(), dimensions

@@ -85,6 +85,16 @@ def test_ties_and_long_texts(spark):
     assert profiles.predict(["aaa " * 400_000])[0] == ["p"]
 
 
+def test_results_do_not_depend_on_batches(spark):
+    docs = read_table(spark, SF, "documents")
+    profiles = lid.train(docs)
+    assert lid.train(docs.repartition(7)) == profiles
+    some = [r.text for r in docs.limit(40).collect()]
+    names, scores = profiles.predict(some)
+    alone = [profiles.predict([x]) for x in some]
+    assert names == [x[0][0] for x in alone] and scores.tolist() == [x[1][0] for x in alone]
+
+
 def test_copies_teach_once_and_the_limit_holds(spark):
     rows = [(i, "same text here", "en") for i in range(50)] + [(99, "other words there", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
