@@ -15,6 +15,7 @@ from plumbline.llm import (
     language_id,
     mixing,
     packing,
+    prefix_trie,
     simhash,
     token_counts,
     token_files,
@@ -108,3 +109,8 @@ def op10_exact_dedup(spark, folder):
 @query
 def op11_language_id(spark, folder):
     return language_id.document_languages(read_table(spark, folder, "documents"))
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(read_table(spark, folder, "conversations"))
