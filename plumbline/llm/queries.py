@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    conversation_repair,
     exact_dedup,
     html_text,
     language_id,
@@ -111,6 +112,11 @@ def op11_language_id(spark, folder):
     return language_id.document_languages(read_table(spark, folder, "documents"))
 
 
+@query
+def op12_conversation_repair(spark, folder):
+    return conversation_repair.repaired_conversations(read_table(spark, folder, "conversations"))
+
+
 @query
 def op13_prefix_trie(spark, folder):
     return prefix_trie.conversation_trie(read_table(spark, folder, "conversations"))
