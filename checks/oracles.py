@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import re
 
-from checks.views import CATALOGUE_SQL, DIRTY_DOCUMENTS_SQL, DIRTY_EVENTS_SQL, UPDATES_SQL
+from checks.views import (
+    CATALOGUE_SQL,
+    DIRTY_DOCUMENTS_SQL,
+    DIRTY_EVENTS_SQL,
+    NOT_LATIN,
+    SCRIPTS,
+    UPDATES_SQL,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -278,6 +285,33 @@ query(
 SELECT sector, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS text_length,
        CAST(sum(n_chars) AS BIGINT) AS sum_chars FROM sector_rows GROUP BY sector""",
 )
+query(
+    "s06_split_parse",
+    *SECTOR_CTES,
+    select="""
+SELECT sector, count(*) AS n_rows, count(*) AS n_places, CAST(sum(length(text)) AS BIGINT) AS text_length,
+       min(md5(text)) AS least_digest, max(md5(text)) AS largest_digest,
+       CAST(sum(n_chars) AS BIGINT) AS sum_chars FROM sector_rows GROUP BY sector""",
+)
+_PAGES = " ".join(f"WHEN {i} THEN '{page}'" for i, page in enumerate(SCRIPTS))
+query(
+    "s04_code_pages",
+    f"""
+coded AS (
+  SELECT doc_id, CASE WHEN lang <> 'en' THEN 'windows-1252' ELSE CASE doc_id % {len(SCRIPTS)} {_PAGES} END END AS page,
+         CASE WHEN lang <> 'en' THEN regexp_replace(text, '{NOT_LATIN}', '', 'g')
+              ELSE regexp_replace(lower(text), '[^a-z ]', '', 'g') END AS text
+  FROM documents WHERE lang IS NOT NULL)""",
+    f"""
+kept AS (
+  SELECT doc_id, page,
+         CASE WHEN text = '' OR (page = 'windows-1252' AND text IN {NULL_TOKENS}) THEN NULL ELSE text END AS text
+  FROM coded)""",
+    select="""
+SELECT page, page AS encoding, count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS sum_ids,
+       CAST(sum(length(text)) AS BIGINT) AS text_length, min(md5(text)) AS least_digest,
+       max(md5(text)) AS largest_digest FROM kept GROUP BY page""",
+)
 query(
     "s07_null_tokens",
     *SECTOR_CTES,

@@ -17,7 +17,7 @@ from plumbline.operators import profile
 from plumbline.plans import audit, compliance, files, portfolio, reports
 from plumbline.session import new_table_path, settle
 from plumbline.sources import catalogue as catalogues
-from plumbline.sources import results
+from plumbline.sources import code_pages, delimited, results
 
 AUDIT_DATE = "2026-06-03"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,76 @@ def s06_delimited_parse(spark, folder):
     )
 
 
+@query
+def s06_split_parse(spark, folder):
+    """Records of files that many tasks read in runs of 64 KiB, quoted line ends and all."""
+    files_ = loaded_files(spark, folder).files
+    cells = delimited.read_cells(spark, files_, run_bytes=1 << 16)
+    text = F.get("cells", F.lit(1))
+    return (
+        cells.join(files_.select("dataset_id", "sector"), "dataset_id")
+        .groupBy("sector")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_distinct("dataset_id", "row_id").alias("n_places"),
+            F.sum(F.length(text)).alias("text_length"),
+            F.min(F.md5(text)).alias("least_digest"),
+            F.max(F.md5(text)).alias("largest_digest"),
+            F.sum(F.get("cells", F.lit(3)).cast("long")).alias("sum_chars"),
+        )
+    )
+
+
+def _coded_texts(spark, folder) -> DataFrame:
+    """(page, doc_id, text): Latin texts, and English ones in letters of other scripts."""
+    docs = v.table(spark, folder, "documents")
+    latin = F.regexp_replace("text", v.NOT_LATIN, "")
+    page = F.when(F.col("lang") != "en", "windows-1252")
+    text = F.when(F.col("lang") != "en", latin)
+    plain = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
+    for i, (name, letters) in enumerate(v.SCRIPTS.items()):
+        page = page.when(F.col("doc_id") % len(v.SCRIPTS) == i, name)
+        text = text.when(F.col("doc_id") % len(v.SCRIPTS) == i, F.translate(plain, v.ALPHABET, letters))
+    return docs.where("lang IS NOT NULL").select(page.alias("page"), "doc_id", text.alias("text"))
+
+
+@query
+def s04_code_pages(spark, folder):
+    """Documents written in several code pages, recognised and read back."""
+    root, rows = new_table_path(spark, "coded-files"), settle(_coded_texts(spark, folder), "coded-texts")
+    pages = ["windows-1252", *v.SCRIPTS]
+    with delimited._legacy_charsets(spark):
+        for page in pages:
+            part = rows.where(F.col("page") == page).select("doc_id", "text").repartition(2)
+            (
+                part.write.option("header", True)
+                .option("escape", '"')
+                .option("ignoreLeadingWhiteSpace", False)
+                .option("ignoreTrailingWhiteSpace", False)
+                .option("encoding", code_pages.JVM_CHARSETS[page])
+                .csv(f"{root}/{page}")
+            )
+    found = catalogues.scan_catalogue(spark, root, [(x, x, x.upper()) for x in pages])
+    sniffed = delimited.sniff_files(spark, found)
+    cells = delimited.read_cells(spark, sniffed)
+    text = F.get("cells", F.lit(1))
+    back = text
+    for page, letters in v.SCRIPTS.items():
+        back = F.when(F.col("encoding") == page, F.translate(text, letters, v.ALPHABET)).otherwise(back)
+    return (
+        cells.join(sniffed.select("dataset_id", "sector", "encoding"), "dataset_id")
+        .withColumn("back", back)
+        .groupBy(F.col("sector").alias("page"), "encoding")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.get("cells", F.lit(0)).cast("long")).alias("sum_ids"),
+            F.sum(F.length("back")).alias("text_length"),
+            F.min(F.md5("back")).alias("least_digest"),
+            F.max(F.md5("back")).alias("largest_digest"),
+        )
+    )
+
+
 @query
 def s07_null_tokens(spark, folder):
     loaded = loaded_files(spark, folder)

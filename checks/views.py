@@ -134,3 +134,15 @@ def document_updates(spark: SparkSession, folder: str) -> DataFrame:
             "AS last_update",
         )
     )
+
+
+# Letters of other scripts for those of the English alphabet, one for one.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = {
+    "windows-1251": "абвгдежзийклмнопрстуфхцчшщ",
+    "windows-1256": "ابتثجحخدذرزسشصضطظعغفقكلمنه",
+    "gb18030": "的一是不了人我在有他这中大来上个国和地到说们为子出也",
+    "shift_jis": "あいうえおかきくけこさしすせそたちつてとなにぬねのは",
+}
+# All but printable ASCII and the letters above it in the first 256 characters.
+NOT_LATIN = r"[^\x20-\x7E\x{C0}-\x{FF}]"

@@ -32,15 +32,17 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the table.
 
     Used where several consumers need the same intermediate rows: the work is
     done once, the lineage is short, the size is known to the planner, and a
-    lost executor costs a re-read rather than a recomputation.
+    lost executor costs a re-read rather than a recomputation. With ``by``,
+    rows of one value of that column are read without the others.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

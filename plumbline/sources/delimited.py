@@ -2,9 +2,10 @@
 
 Two passes. The first looks at each file's bytes inside the scan task and
 keeps only a small record per file: encoding, delimiter, header, digest. The
-second hands Spark's CSV reader the files grouped by what the first pass
-found, and yields every record as an array of cell texts, since files differ
-in width.
+second cuts files into records, many tasks a file, and has Spark's CSV parser
+read them, grouped by what the first pass found; it yields every record as an
+array of cell texts, since files differ in width. Files in UTF-16, and those
+whose lines end in a carriage return alone, go to the CSV reader whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from plumbline.functions.cells import is_sentinel, numeric_like
 from plumbline.operators.matrix import standardise
 from plumbline.operators.profile import classify, date_share, distinct_texts, long_texts
 from plumbline.session import settle
+from plumbline.sources.code_pages import JVM_CHARSETS, NO_TEXT, pages_of
+from plumbline.sources.split_records import split_records
 from plumbline.sources.streamed import STREAMED_BYTES, streamed_files
 
 _HEAD_BYTES = 65_536
@@ -31,7 +34,7 @@ _VALUE_BYTES = 2**31 - 1024
 # One record: text outside quotes up to a line end, quoted runs taken whole.
 _FIRST_RECORD = r'^(?:[ \t]*\r?\n)*+([^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+)(\r?\n|\r|\z)'
 _QUOTED = r'"[^"]*"'
-_CHARSETS = {"windows-1256": "windows-1256", "utf-16": "UTF-16"}
+_CHARSETS = {**JVM_CHARSETS, "utf-16": "UTF-16"}
 # How a delimited reader spells booleans.
 _TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
@@ -54,11 +57,10 @@ def _legacy_charsets(spark: SparkSession):
 def _decoded(content: Column, encoding: Column) -> Column:
     """Text of some bytes; a character cut off at the end turns into U+FFFD."""
     unicode = F.make_valid_utf8(content.cast("string"))
-    return (
-        F.when(encoding == "windows-1256", F.decode(content, "windows-1256"))
-        .when(encoding == "utf-16", F.decode(content, "UTF-16"))
-        .otherwise(F.regexp_replace(unicode, "^\ufeff", ""))
-    )
+    text = F.regexp_replace(unicode, "^\ufeff", "")
+    for name, charset in _CHARSETS.items():
+        text = F.when(encoding == name, F.decode(content, charset)).otherwise(text)
+    return text
 
 
 def _fields(record: Column, delimiter: str) -> Column:
@@ -94,10 +96,11 @@ def sniff_files(
 ) -> DataFrame:
     """Encoding, delimiter, header and digest of every catalogue file.
 
-    Encoding: byte order mark of UTF-8 or UTF-16, then valid UTF-8, then
-    windows-1256, which decodes any bytes. Delimiter: the first of comma, semicolon, tab and pipe
-    that gives the header at least two fields, else comma. A file without a
-    header record does not load. Contents stay inside the scan task; those of
+    Encoding: byte order mark of UTF-8 or UTF-16, then valid UTF-8, then the
+    code page that the first 65,536 bytes speak for; windows-1256 if they are
+    all ASCII. Bytes that are text in no code page do not load. Delimiter: the
+    first of comma, semicolon, tab and pipe that gives the header at least two
+    fields, else comma. A file without a header record does not load. Contents stay inside the scan task; those of
     ``streamed_bytes`` and more pass through it in bounded runs.
     """
     folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
@@ -122,10 +125,12 @@ def sniff_files(
             F.when(mark, "utf-8-sig")
             .when(F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF"), "utf-16")
             .when(F.is_valid_utf8(content.cast("string")), "utf-8")
-            .otherwise("windows-1256")
         )
-        looked = files.select(
-            "source", F.sha2(content, 256).alias("sha256"), encoding.alias("encoding"), "content"
+        unknown = F.when(F.col("known").isNull(), F.substring("content", 1, _HEAD_BYTES))
+        looked = (
+            files.select("source", F.sha2(content, 256).alias("sha256"), encoding.alias("known"), "content")
+            .withColumn("page", F.pandas_udf(pages_of, T.StringType())(unknown))
+            .select("source", "sha256", F.coalesce("known", "page").alias("encoding"), "content")
         )
         if streamed is not None:
             looked = looked.unionByName(streamed)
@@ -136,18 +141,22 @@ def sniff_files(
         header = F.when(closed | short, head).otherwise(
             F.regexp_extract(_decoded(F.col("content"), F.col("encoding")), _FIRST_RECORD, 1)
         )
-        seen = looked.select("source", "sha256", "encoding", header.alias("header"))
+        first_end = F.regexp_extract(_decoded_head(), r"(\r\n|\n|\r)", 1)
+        seen = looked.select(
+            "source", "sha256", "encoding", header.alias("header"), first_end.alias("line_end")
+        )
         width = [F.when(_fields(F.col("header"), sep) >= 2, sep) for sep in DELIMITERS]
         delimiter = F.coalesce(*width, F.lit(","))
         seen = seen.withColumn("delimiter", delimiter)
         seen = seen.withColumn("column_names", _header_names(F.col("header"), F.col("delimiter")))
-        empty = F.coalesce(F.trim("header"), F.lit("")) == ""
+        no_text = F.col("encoding") == NO_TEXT
+        empty = (F.coalesce(F.trim("header"), F.lit("")) == "") | no_text
         found = catalogue.join(seen, "source", "left").select(
             *catalogue.columns,
             F.when(F.col("size_bytes") == 0, F.sha2(F.lit(""), 256))
             .otherwise(F.col("sha256"))
             .alias("sha256"),
-            "encoding",
+            F.when(~no_text, F.col("encoding")).alias("encoding"),
             F.when(~empty, F.col("delimiter")).alias("delimiter"),
             F.when(~empty, F.col("column_names")).alias("column_names"),
             (~empty).alias("load_ok"),
@@ -155,8 +164,10 @@ def sniff_files(
                 (F.col("size_bytes") >= _VALUE_BYTES) & F.col("sha256").isNull(),
                 "file cannot be cut into runs of bytes",
             )
+            .when(no_text, "bytes are text in no known encoding")
             .when(empty, "no columns to parse from file")
             .alias("error"),
+            F.when(~empty, F.col("line_end")).alias("line_end"),
         )
         return settle(found, "sniffed")
 
@@ -165,13 +176,18 @@ def _decoded_head() -> Column:
     return _decoded(F.col("head"), F.col("encoding"))
 
 
-def read_cells(spark: SparkSession, sniffed: DataFrame) -> DataFrame:
+def read_cells(
+    spark: SparkSession, sniffed: DataFrame, run_bytes: int | None = None
+) -> DataFrame:
     """(dataset_id, row_id, cells array<string>) of every record that loads.
 
-    Files sharing encoding, delimiter and width are read together. Quoted
-    line breaks stay inside a cell, blank lines vanish, short records are
-    padded with nulls and records longer than the header are dropped. Null
-    tokens become null. ``row_id`` counts records from the start of the file.
+    Quoted line breaks stay inside a cell, blank lines vanish, short records
+    are padded with nulls and records longer than the header are dropped. Null
+    tokens become null. ``row_id`` counts records from the start of the file,
+    dropped ones too. A task reads some ``run_bytes`` of a file, or what
+    ``spark.sql.files.maxPartitionBytes`` says. On the driver are the folders
+    and the different (encoding, delimiter, width), and the paths of files
+    that must be read whole.
     """
     loaded = sniffed.where("load_ok").select(
         "dataset_id",
@@ -180,56 +196,125 @@ def read_cells(spark: SparkSession, sniffed: DataFrame) -> DataFrame:
         "encoding",
         "delimiter",
         F.size("column_names").alias("width"),
+        (F.col("line_end") == "\r\n").alias("wide_end"),
+        ((F.col("encoding") == "utf-16") | (F.col("line_end") == "\r")).alias("alone"),
     )
-    groups = defaultdict(list)
-    for row in loaded.collect():
+    loaded = settle(loaded, "loaded-files")
+    kinds = ["encoding", "delimiter", "width"]
+    shared, alone = loaded.where("NOT alone"), loaded.where("alone")
+    groups = sorted(tuple(r) for r in shared.select(*kinds).distinct().collect())
+    parts = []
+    if groups:
+        folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
+        folders = sorted(r[0] for r in shared.select(folder).distinct().collect())
+        parts += _split_parts(spark, folders, shared, groups, run_bytes)
+    paths = defaultdict(list)
+    for row in alone.collect():
         path = re.sub(r"([*?\[\]{}\\])", r"\\\1", row["file_path"])
-        groups[row["encoding"], row["delimiter"], row["width"]].append(path)
-    if not groups:
+        paths[tuple(row[k] for k in kinds)].append(path)
+    with _legacy_charsets(spark):
+        whole = [_read_group(spark, paths[k], *k) for k in sorted(paths)]
+        if whole:
+            read = reduce(DataFrame.unionByName, whole)
+            records = settle(read.join(alone.select("dataset_id", "source"), "source"), "records")
+            starts = records.groupBy("dataset_id").agg(F.min("place").alias("start"))
+            parts.append(
+                records.join(starts, "dataset_id").select(
+                    "dataset_id", (F.col("place") - F.col("start")).alias("row_id"), "cells", "keep"
+                )
+            )
+    if not parts:
         raise ValueError("no file of the catalogue could be loaded")
+    return reduce(DataFrame.unionByName, parts).where("keep").select("dataset_id", "row_id", "cells")
+
+
+@contextmanager
+def _run_bytes(spark: SparkSession, most: int | None):
+    """Runs of at most ``most`` bytes; for planning only."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {name: spark.conf.get(name) for name in names}
+    if most is not None:
+        spark.conf.set(names[0], str(most))
+        spark.conf.set(names[1], str(min(most, int(before[names[1]].rstrip("b")))))
+    try:
+        yield
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
+
+
+def _split_parts(spark, folders, shared, groups, run_bytes) -> list[DataFrame]:
+    """Parsed records, a frame for each kind of file; the records are cut for all of them at once."""
+    with _run_bytes(spark, run_bytes):
+        records = split_records(spark, folders, shared.select("source", "delimiter", "wide_end"))
+    kind = F.lit(None).cast("int")
+    for i, (encoding, delimiter, width) in enumerate(groups):
+        same = (F.col("encoding") == encoding) & (F.col("delimiter") == delimiter) & (F.col("width") == width)
+        kind = F.when(same, i).otherwise(kind)
     with _legacy_charsets(spark):
-        parts = [
-            _read_group(spark, paths, encoding, delimiter, width)
-            for (encoding, delimiter, width), paths in sorted(groups.items())
-        ]
-        records = reduce(DataFrame.unionByName, parts)
-        names = loaded.select("dataset_id", "source")
-        records = settle(records.join(names, "source"), "records")
-    starts = records.groupBy("dataset_id").agg(F.min("place").alias("start"))
-    return (
-        records.where("keep")
-        .join(starts, "dataset_id")
-        .select("dataset_id", (F.col("place") - F.col("start")).alias("row_id"), "cells")
-    )
+        text = _decoded(F.col("record"), F.col("encoding"))
+        text = F.when(F.col("wide_end"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+        texts = records.where("row_id > 0").join(shared.withColumn("kind", kind), "source")
+        held = settle(
+            texts.select("dataset_id", (F.col("row_id") - 1).alias("row_id"), text.alias("text"), "kind"),
+            "record-texts",
+            by="kind",
+        )
+    return [
+        _parsed(held.where(F.col("kind") == i), delimiter, width) for i, (_, delimiter, width) in enumerate(groups)
+    ]
 
 
-def _read_group(spark, paths, encoding, delimiter, width) -> DataFrame:
+def _schema(width: int) -> T.StructType:
+    names = [*(f"c{i}" for i in range(width)), "raw"]
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _options(delimiter: str) -> dict[str, str]:
+    return {
+        "sep": delimiter,
+        "quote": '"',
+        "escape": '"',
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": "raw",
+    }
+
+
+def _kept_cells(width: int, delimiter: str) -> list[Column]:
+    """``cells`` and whether a record stays, from columns c0 … and raw."""
     names = [f"c{i}" for i in range(width)]
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names] + [T.StructField("raw", T.StringType())]
-    )
+    # Where both kinds of line end occur, the carriage return of the other
+    # kind stays on the last cell.
+    held = [F.col(n) for n in names[:-1]] + [F.regexp_replace(names[-1], r"\r$", "")]
+    cells = F.array(*[F.when(~x.isin(NULL_TOKENS), x) for x in held])
+    whole = F.col("raw").isNull() | (_fields(F.col("raw"), delimiter) <= width)
+    return [cells.alias("cells"), whole.alias("keep")]
+
+
+def _parsed(texts: DataFrame, delimiter: str, width: int) -> DataFrame:
+    """(dataset_id, row_id, cells, keep) of single records.
+
+    Of a last cell with quotes where none belong, the parser keeps one more
+    than it would before a line end.
+    """
+    fields = F.from_csv("text", _schema(width).simpleString()[7:-1].replace(":", " "), _options(delimiter))
+    found = texts.select("dataset_id", "row_id", fields.alias("r")).select("dataset_id", "row_id", "r.*")
+    return found.select("dataset_id", "row_id", *_kept_cells(width, delimiter))
+
+
+def _read_group(spark, paths, encoding, delimiter, width) -> DataFrame:
     lines = (
-        spark.read.schema(schema)
+        spark.read.schema(_schema(width))
         .option("header", True)
         .option("multiLine", True)
-        .option("sep", delimiter)
         .option("encoding", _CHARSETS.get(encoding, "UTF-8"))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "raw")
+        .options(**_options(delimiter))
         .csv(paths)
     )
-    # The reader settles on one line end per file; where both kinds occur, the
-    # carriage return of the other kind stays on the last cell.
-    held = [F.col(n) for n in names[:-1]] + [F.regexp_replace(names[-1], r"\r$", "")]
-    cells = F.array(*[F.when(~x.isin(NULL_TOKENS), x) for x in held])
-    whole = F.col("raw").isNull() | (_fields(F.col("raw"), delimiter) <= width)
     return lines.select(
         F.col("_metadata.file_path").alias("source"),
         F.monotonically_increasing_id().alias("place"),
-        cells.alias("cells"),
-        whole.alias("keep"),
+        *_kept_cells(width, delimiter),
     )
 
 

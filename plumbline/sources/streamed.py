@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import settle
+from plumbline.sources.code_pages import NO_TEXT, code_page
 
 # Executors need no installed copy of this package: kernels travel with tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,7 +88,9 @@ class _File:
             except UnicodeDecodeError:
                 self.valid = False
         mark = surplus < 0
-        encoding = "utf-8-sig" if mark else "utf-16" if self._wide() else "utf-8" if self.valid else "windows-1256"
+        encoding = "utf-8-sig" if mark else "utf-16" if self._wide() else "utf-8"
+        if encoding == "utf-8" and not self.valid:
+            encoding = code_page(bytes(self.head)) or NO_TEXT
         whole = len(self.head) == self.given or self.closed or self._is_closed()
         row = {
             "source": [self.source],
