@@ -66,3 +66,35 @@ def test_scores_that_do_not_fit_fail(spark, rows):
 def test_nothing(spark):
     assert run(spark, [(1, None)]) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+@pytest.mark.parametrize("width, length", [(1, 1e8), (2, 1e6), (8, 1e6), (8, 1e4)])
+def test_one_long_vector_among_short_ones(spark, width, length):
+    """A pivot far away tells nothing of the others; no candidate may be lost by its rounding."""
+    rng = random.Random(width)
+    rows = [(i, [round(i / 300 + rng.gauss(0, 0.02), 4)] + [round(rng.gauss(0, 0.02), 4) for _ in range(width - 1)]) for i in range(900)]
+    rows.append((901, [length] + [0.0] * (width - 1)))
+    assert run(spark, rows, block_rows=100) == brute(rows, 20)
+
+
+def test_blocks_out_of_reach_are_not_visited(spark, monkeypatch):
+    """Groups of vectors in different directions: a query visits its own and few others."""
+    rng = random.Random(4)
+    rows = [(i, [20.0 * (i % 6 == j) + round(rng.gauss(0, 0.3), 3) for j in range(6)]) for i in range(1200)]
+    seen = []
+    routes = topk._routes
+
+    def counted(queries, table, p2, width):
+        found = routes(queries, table, p2, width)
+        seen.append((found.count(), queries.count() * table.select("block").distinct().count()))
+        return found
+
+    monkeypatch.setattr(topk, "_routes", counted)
+    assert run(spark, rows, block_rows=32) == brute(rows, 20)
+    assert seen[0][0] < 0.4 * seen[0][1]
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    got = run(spark, rows, k=3)
+    assert [(r[2], r[3]) for r in got] == [(2, 192 * 64), (1, 128 * 64), (1, 128 * 64)]
