@@ -3,8 +3,10 @@
 A document is the set of its terms: lower-case words and the stems they begin
 with. The machine scores every term and every pair of terms, the latter
 through short factor vectors, so that a word can weigh more beside another
-one, such as an insult beside the mention of a group. It is fitted to a
-bounded sample of labelled documents; scoring reads whole texts.
+one, such as an insult beside the mention of a group. A term has a weight of
+its own if it alone says something about the label, and factors if a pair with
+it says more than its two terms do. The machine is fitted to a bounded sample
+of labelled documents; scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ MAX_LABELLED = 12_000
 #: Terms whose presence says less about the label have no weight: the least
 #: log-likelihood ratio (twice the log of the odds that it says something).
 MIN_EVIDENCE = 14.0
+#: The same for what a pair says beyond its terms, of millions of pairs.
+MIN_PAIR_EVIDENCE = 40.0
+#: Pairs are sought among this many terms, those of the most toxic documents.
+PAIR_TERMS = 2048
 HASH_BITS = 26
 STEM_LENGTHS = (4, 5)
 FACTORS = 4
 EPOCHS = 60
 LEARNING_RATE = 0.4
-LINEAR_DECAY, FACTOR_DECAY = 1e-4, 1e-3
+LINEAR_DECAY, FACTOR_DECAY = 1e-4, 1e-5
+FIRST_FACTORS = 0.2
 #: Term sets that agree in all minima of one of the rows of hash orders count
 #: as copies; of copies with one label, one is learned from.
 COPY_ROWS, COPY_MINIMA = 2, 6
@@ -115,30 +122,76 @@ def evidence(held_by: np.ndarray, held_by_toxic: np.ndarray, toxic: np.ndarray)
     return 2 * total
 
 
+def _information(cells: list[tuple[np.ndarray, np.ndarray]], share: float) -> np.ndarray:
+    """Log-likelihood ratio of cells (documents, toxic ones) against one share of toxic ones."""
+    total = 0.0
+    for n, ones in cells:
+        for seen, expected in ((ones, n * share), (n - ones, n * (1 - share))):
+            total = total + np.where(seen > 0.5, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * total
+
+
+def paired_terms(place: np.ndarray, rows: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which of the terms belong to a pair that says more than its two terms.
+
+    ``place`` and ``rows`` are terms and the documents that hold them. What a
+    pair says is the log-likelihood ratio of the label in the four cases of
+    its terms being there or not; of that the ratios of both terms are taken.
+    """
+    n, ones = len(toxic), toxic.sum()
+    share = ones / n
+    in_toxic = np.bincount(place, toxic[rows], n_terms)
+    candidates = np.sort(np.lexsort((np.arange(n_terms), -in_toxic))[:PAIR_TERMS])
+    column = np.full(n_terms, -1)
+    column[candidates] = np.arange(len(candidates))
+    held = column[place] >= 0
+    table = np.zeros((n, len(candidates)), np.float32)
+    table[rows[held], column[place[held]]] = 1
+    alone = evidence(table.sum(0, dtype=np.float64), table[toxic > 0].sum(0, dtype=np.float64), toxic)
+    each, each_toxic = table.sum(0, dtype=np.float64), table[toxic > 0].sum(0, dtype=np.float64)
+    paired = np.zeros(n_terms, bool)
+    for at in range(0, len(candidates), 256):
+        part = slice(at, at + 256)
+        both = (table[:, part].T @ table).astype(np.float64)
+        both_toxic = (table[toxic > 0][:, part].T @ table[toxic > 0]).astype(np.float64)
+        first = (each[part, None] - both, each_toxic[part, None] - both_toxic)
+        second = (each[None] - both, each_toxic[None] - both_toxic)
+        neither = (n - both - first[0] - second[0], ones - both_toxic - first[1] - second[1])
+        more = _information([(both, both_toxic), first, second, neither], share) - alone[part, None] - alone[None]
+        more[np.arange(len(more)), at + np.arange(len(more))] = 0
+        i, j = np.nonzero(more >= MIN_PAIR_EVIDENCE)
+        paired[candidates[at + i]] = paired[candidates[j]] = True
+    return paired
+
+
 def fit(documents: list[np.ndarray], toxic: np.ndarray) -> Machine:
-    """Fit by mini-batch AdaGrad on the logistic loss; repeatable for equal input."""
-    empty = Machine(-20.0, b"", b"", b"")
+    """Fit by mini-batch AdaGrad on the logistic loss; repeatable for equal input.
+
+    If no term says anything, every score is the share of toxic examples.
+    """
     chosen = without_copies(documents, toxic)
     documents, toxic = [documents[i] for i in chosen], toxic[chosen]
     if not len(documents) or not toxic.any():
-        return empty
+        return Machine(-20.0, b"", b"", b"")
+    share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
+    empty = Machine(float(np.log(share / (1 - share))), b"", b"", b"")
     flat = np.concatenate(documents)
     terms = np.unique(flat)
     place = np.searchsorted(terms, flat).astype(np.int32)
     del flat
     rows = np.repeat(np.arange(len(documents), dtype=np.int32), [len(d) for d in documents])
-    kept = evidence(np.bincount(place), np.bincount(place, toxic[rows]), toxic) >= MIN_EVIDENCE
+    paired = paired_terms(place, rows, toxic, len(terms))
+    kept = paired | (evidence(np.bincount(place), np.bincount(place, toxic[rows]), toxic) >= MIN_EVIDENCE)
     if not kept.any():
         return empty
-    new_place = np.cumsum(kept) - 1
+    new_place, paired = np.cumsum(kept) - 1, paired[kept]
     use = kept[place]
     place, rows, terms = new_place[place[use]], rows[use], terms[kept]
     sizes = np.bincount(rows, minlength=len(documents))
     ends = np.cumsum(sizes)
     rng = np.random.default_rng(SEED)
-    w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
-    share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3))
-    bias = float(np.log(share / (1 - share)))
+    w, v = np.zeros(len(terms)), rng.normal(0, FIRST_FACTORS, (len(terms), FACTORS)) * paired[:, None]
+    bias = empty.bias
     gw, gv, gb = np.full(len(terms), 1e-2), np.full((len(terms), FACTORS), 1e-2), 1e-2
     for _ in range(EPOCHS):
         order = rng.permutation(len(documents))
@@ -158,6 +211,7 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray) -> Machine:
             dv = np.stack(
                 [np.bincount(at_local, each[:, f], len(local)) for f in range(FACTORS)], axis=1
             ) / len(chosen) + FACTOR_DECAY * v[local]
+            dv *= paired[local, None]
             gw[local] += dw**2
             gv[local] += dv**2
             gb += g.mean() ** 2
@@ -217,7 +271,8 @@ def train(
     """Fit on labelled documents that are not held out, ``max_labelled`` at most.
 
     Of several labels of an id the largest counts; null labels and ids do not.
-    Without a toxic example every score is 0. One task holds the sample's
+    Without a toxic example every score is next to 0; where no term says
+    anything, it is the share of toxic examples. One task holds the sample's
     term sets; of the texts it sees none.
     """
     marked = (

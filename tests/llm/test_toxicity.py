@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.1"
 
 
 def test_machine_learns_pairs():
-    """Neither word of a pair tells alone: only both together are toxic."""
+    """Each word doubles the odds, both together are toxic."""
     rng = random.Random(1)
     documents, toxic = [], []
     for _ in range(3000):
@@ -31,6 +31,75 @@ def test_machine_learns_pairs():
     assert z([1, 2]) > 0 > max(z([1]), z([2]), z([]))
 
 
+def _mixed(n, rule, seed=1):
+    """Documents of random words with words 1 and 2 in half of them, labelled by ``rule``."""
+    rng = random.Random(seed)
+    documents, toxic = [], []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        documents.append(np.unique(rng.sample(range(100, 400), 10) + [1] * a + [2] * b).astype(np.int32))
+        toxic.append(float(rule(a, b)))
+    return documents, np.array(toxic)
+
+
+def _score(machine, terms):
+    """The score by a plain sum over all pairs."""
+    place, w, v = machine.arrays()
+    at = dict(zip(place.tolist(), range(len(place))))
+    known = [at[t] for t in terms if t in at]
+    z = machine.bias + sum(float(w[i]) for i in known)
+    for n, i in enumerate(known):
+        for j in known[n + 1 :]:
+            z += float(np.dot(v[i].astype(np.float64), v[j].astype(np.float64)))
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a != b, lambda a, b: a == b])
+def test_pairs_whose_words_say_nothing_alone(rule):
+    documents, toxic = _mixed(3000, rule)
+    machine = toxicity.fit(documents, toxic)
+    held, truth = _mixed(600, rule, seed=2)
+    right = np.mean([(_score(machine, d) >= 0.5) == t for d, t in zip(held, truth)])
+    assert right > 0.99
+    without = toxicity.Machine(machine.bias, machine.terms, machine.linear, b"\0" * len(machine.factors))
+    assert np.mean([(_score(without, d) >= 0.5) == t for d, t in zip(held, truth)]) < 0.8
+
+
+def test_insult_beside_a_mention():
+    """An insult is toxic only beside the mention of a group, which is common in clean texts too."""
+    rng = random.Random(7)
+    documents, toxic = [], []
+    for _ in range(4000):
+        insult, mention = rng.random() < 0.1, rng.random() < 0.4
+        words = rng.sample(range(100, 2000), 20)
+        documents.append(np.unique(words + [1] * insult + [2] * mention).astype(np.int32))
+        toxic.append(float(insult and mention))
+    machine = toxicity.fit(documents, np.array(toxic))
+    assert _score(machine, [1, 2]) > 0.8
+    assert max(_score(machine, x) for x in ([1], [2], [], [150])) < 0.3
+
+
+def test_scorer_is_the_sum_over_pairs():
+    words = ["insult", "group", "good", "day", "other", "insulting"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(words, rng.randrange(7)) + [f"w{i}x{k}" for k in range(12)]) for i in range(1500)]
+    labels = np.array([float("insult" in x.split() and "group" in x.split()) for x in texts])
+    machine = toxicity.fit([toxicity.document_terms(x) for x in texts], labels)
+    assert np.frombuffer(machine.factors, np.float32).any()
+    score = toxicity.Scorer(machine)
+    for text in [*texts[:100], "", "unknown words"]:
+        assert score(text) == pytest.approx(_score(machine, toxicity.document_terms(text).tolist()), abs=1e-12)
+
+
+def test_labels_without_evidence_give_the_base_rate():
+    documents = [np.array([i + 1], np.int32) for i in range(100)]
+    for share in (0.25, 1.0):
+        labels = (np.arange(100) < 100 * share).astype(float)
+        machine = toxicity.fit(documents, labels)
+        assert _score(machine, [5]) == _score(machine, []) == pytest.approx(min(share, 0.999))
+    assert _score(toxicity.fit(documents, np.zeros(100)), [5]) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     docs, labels = read_table(spark, FOLDER, "documents"), read_table(spark, FOLDER, "labels")
