@@ -82,7 +82,7 @@ def test_insult_beside_a_mention():
 def test_scorer_is_the_sum_over_pairs():
     words = ["insult", "group", "good", "day", "other", "insulting"]
     rng = random.Random(3)
-    texts = [" ".join(rng.sample(words, rng.randrange(7)) + [f"w{i}x{k}" for k in range(12)]) for i in range(1500)]
+    texts = [" ".join([w for w in words if rng.random() < 0.5] + [f"w{i}x{k}" for k in range(12)]) for i in range(1500)]
     labels = np.array([float("insult" in x.split() and "group" in x.split()) for x in texts])
     machine = toxicity.fit([toxicity.document_terms(x) for x in texts], labels)
     assert np.frombuffer(machine.factors, np.float32).any()
