@@ -4,7 +4,13 @@ A page is a row of words and tags. Words score positive and tags negative;
 the run with the largest sum is the main text, found in one linear scan. What
 a word gains and each tag costs is learned from labelled pages, those that
 mark their own article: a tag that occurs around articles more than in them
-costs more.
+costs more, though tags that articles use as well, such as those of lists and
+tables, never cost more than a few words. Where a page marks its own article,
+the run covers it whole.
+
+Every row of pages has a result of its own: repeated rows have it repeated, and
+columns that happen to be named like those of the result do not matter. Null
+and empty pages have an empty text; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ UNKNOWN_TAG_COST = 1.0
 MOST_WORDS = 0.75
 #: Words that each tag of an element costs if a part of its class, id or role is a mark.
 PART_MARK_WORDS = 5
+#: Words that a tag of articles and menus alike costs at most; both of an
+#: element's tags are as dear as the words that a menu's entry holds.
+CONTENT_TAG_WORDS = 1.5
 
 # Element names of the public HTML standard.
 LABEL_ELEMENTS = ["article", "main"]
@@ -47,6 +56,10 @@ INLINE_ELEMENTS = [
     "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub",
     "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
 ]
+CONTENT_ELEMENTS = [
+    "a", "blockquote", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
+    "li", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+]
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 HEADING_ELEMENTS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # Whole words of class, id and role that mark what is not the article.
@@ -83,6 +96,7 @@ _NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _LEFT_OUT, _MARKS = set(LEFT_OUT_ELEMENTS), set(LEFT_OUT_MARKS)
 _WHOLE = _MARKS | set(LEFT_OUT_WHOLE_MARKS)
 _INLINE, _VOID = set(INLINE_ELEMENTS), set(VOID_ELEMENTS)
+_CONTENT = set(CONTENT_ELEMENTS)
 _UNMARKED = {"html", "body", *LABEL_ELEMENTS, *HEADING_ELEMENTS, *INLINE_ELEMENTS}
 
 
@@ -138,8 +152,9 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str, int]]
     A tag is ``name`` or ``/name`` and has no text; a text has the tag ``""``
     and ``n`` words. With ``leave_out``, elements that never belong to it go
     with all they hold, if they end, unless they hold the page's article or
-    most of its words; their own tags stay and count. ``n`` of a tag is 1 if
-    a part of a mark speaks against its element, else 0.
+    most of its words, or are the article's own header with its title; their
+    own tags stay and count. ``n`` of a tag is 1 if a part of a mark speaks
+    against its element, 2 if the element is the page's article, else 0.
     """
     found: list[tuple[str, str, str]] = []
     embedded, skipped_to = embedded_ends(page), 0
@@ -171,6 +186,9 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str, int]]
         return [(tag, text, n) for (tag, text, _), n in zip(found, words)]
     up_to = [0, *itertools.accumulate(words)]
     centres = _centres(found, ends, up_to)
+    if centres:
+        words[centres[0]] = words[ends[centres[0]]] = 2
+    titles = [0, *itertools.accumulate(tag in HEADING_ELEMENTS for tag, _, _ in found)]
     out, i = [], 0
     while i < len(found):
         tag, text, rest = found[i]
@@ -181,7 +199,8 @@ def page_tokens(page: str, leave_out: bool = True) -> list[tuple[str, str, int]]
                 words[i] = words[ends[i]] = 1
             if skip:
                 most = up_to[ends[i]] - up_to[i] > MOST_WORDS * up_to[-1]
-                skip = not most and not any(i < c < ends[i] for c in centres)
+                titled = tag == "header" and titles[ends[i]] > titles[i] and any(c < i < ends[c] for c in centres)
+                skip = not (most or titled or any(i < c < ends[i] for c in centres))
         out.append((tag, text, words[i]))
         i = ends[i] if skip else i + 1
     return out
@@ -289,12 +308,20 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if not tag:
             return gain * n
         cost = weights.get(tag, -TAG_COST_LEAST if tag in _INLINE else -UNKNOWN_TAG_COST)
+        if tag in _CONTENT:
+            cost = max(cost, -gain * CONTENT_TAG_WORDS)
         return cost - gain * PART_MARK_WORDS * n
 
     scores = np.array([score(tag.lstrip("/"), n) for tag, _, n in tokens])
-    for i, (tag, _, _) in enumerate(tokens):
+    own = []
+    for i, (tag, _, n) in enumerate(tokens):
         if tag.lstrip("/") in LABEL_ELEMENTS:
             scores[i] = 0.0  # the label itself says nothing of pages without it
+            if n == 2:
+                own.append(i)
+    if len(own) == 2:
+        # Both tags gain what outweighs all between them and the rest of the page.
+        scores[own] = np.abs(scores).sum()
     start, end = best_run(scores)
     while 0 < start < end and _within_block(tokens[start - 1][0]):  # blocks are taken whole
         start -= 1

@@ -114,6 +114,58 @@ def test_weights_from_labelled_pages(spark):
     assert html_text.page_texts(pages.where("page_id > 3")).count() == 0
 
 
+def words(n, start=0):
+    return " ".join(f"word{start + i}" for i in range(n))
+
+
+MENU = "<nav><ul>" + "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(6)) + "</ul></nav>"
+SIDE = "<ul>" + "".join(f"<li><a href='/{i}'>see {i}</a></li>" for i in range(8)) + "</ul>"
+SHAPES = {
+    "list of three": (f"<h1>Title</h1><p>{words(40)}</p><ul><li>one thing</li><li>two things</li><li>three</li></ul><p>{words(40, 50)}</p>",
+                      ["Title", words(40), "one thing", "two things", "three", words(40, 50)]),
+    "list of eight": (f"<p>{words(60)}</p><ol>{''.join(f'<li>item {i}</li>' for i in range(8))}</ol><p>{words(60, 70)}</p>",
+                      [words(60), *(f"item {i}" for i in range(8)), words(60, 70)]),
+    "paragraphs in divs": ("".join(f"<div><div><p>{words(25, 30 * i)}</p></div></div>" for i in range(6)),
+                           [words(25, 30 * i) for i in range(6)]),
+    "links": ("<h2>On links</h2>" + "".join(f"<p>{words(12, 20 * i)} <a href='x'>link {i}</a></p>" for i in range(6)) + f"<p>{words(40, 200)}</p>",
+              ["On links", *(f"{words(12, 20 * i)} link {i}" for i in range(6)), words(40, 200)]),
+    "table": (f"<p>{words(30)}</p><table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table><p>{words(30, 40)}</p>",
+              [words(30), "a", "b", "c", "d", words(30, 40)]),
+    "own header": (f"<header><h1>The title</h1><p>by someone</p></header><p>{words(30)}</p>", ["The title", "by someone", words(30)]),
+    "figure": (f"<p>{words(30)}</p><figure><img src=x><figcaption>What is seen</figcaption></figure><blockquote>said</blockquote><p>{words(30, 40)}</p>",
+               [words(30), "What is seen", "said", words(30, 40)]),
+    "few words": ("<p>short</p>", ["short"]),
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Weights of the given pages, where lists and links occur in menus only."""
+    return html_text.learn_weights(read_table(spark, FOLDER, "pages"))
+
+
+@pytest.mark.parametrize("label", ["article", "main"])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_whole_articles_of_many_shapes(learned, shape, label):
+    inner, blocks = SHAPES[shape]
+    page = f"<html><head><title>T</title></head><body>{MENU}<div>{SIDE}</div><{label}>{inner}</{label}><div>{SIDE}</div><footer>f</footer></body></html>"
+    assert html_text.main_text(page, learned).split("\n\n") == blocks
+
+
+@pytest.mark.parametrize("shape", ["list of eight", "paragraphs in divs", "links", "table", "figure"])
+def test_articles_without_a_label(learned, shape):
+    inner, blocks = SHAPES[shape]
+    page = f"<html><body>{MENU}<div>{SIDE}</div><div class='content'>{inner}</div><div>{SIDE}</div><footer>f</footer></body></html>"
+    assert html_text.main_text(page, learned).split("\n\n") == blocks
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{STORY}</p></article>")] * 3 + [(1, "u", None)], PAGES)
+    pages = pages.selectExpr("*", "'x' AS text", "1 AS n_chars", "'y' AS _page")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.page_texts(pages).collect())
+    assert got == [(1, "", 0)] + [(1, STORY, len(STORY))] * 3
+
+
 # Archives -----------------------------------------------------------------
 
 
