@@ -180,16 +180,21 @@ def train(
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     digest = F.md5("text")
     smallest_first = Window.partitionBy("lang").orderBy("digest")
-    chosen = settle(
+    limits = settle(
         known.select("lang", digest.alias("digest"))
         .distinct()
         .withColumn("place", F.row_number().over(smallest_first))
         .where(F.col("place") <= max_texts)
-        .drop("place"),
-        "language-examples",
+        .groupBy("lang")
+        .agg(F.max("digest").alias("limit")),
+        "language-limits",
     )
+    # One row for each language, as the prototypes have.
     examples = (
-        known.withColumn("digest", digest).join(chosen, ["lang", "digest"]).dropDuplicates(["lang", "digest"])
+        known.withColumn("digest", digest)
+        .join(F.broadcast(limits), "lang")
+        .where(F.col("digest") <= F.col("limit"))
+        .dropDuplicates(["lang", "digest"])
     )
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
