@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.defaults import EPS_FALLBACK, EPS_MULTIPLIER, EPS_PERCENTILE
 from plumbline.operators.components import components
+from plumbline.operators.quantiles import exact_percentiles
 from plumbline.session import settle
 
 # Executors need no installed copy of this package: kernels travel with tasks.
@@ -333,13 +334,15 @@ def calibrate_eps(
     eps_fallback: float = EPS_FALLBACK,
 ) -> DataFrame:
     """(dataset_id, minpts, eps): scaled percentile of the k-distances over all rows."""
-    weighed = neighbours.join(
-        vectors.select("dataset_id", "vec_id", "weight", "minpts"), ["dataset_id", "vec_id"]
+    weighed = neighbours.join(vectors.select("dataset_id", "vec_id", "weight"), ["dataset_id", "vec_id"])
+    found = exact_percentiles(
+        weighed.select("dataset_id", F.col("k_distance").alias("x"), "weight"), ["dataset_id"], [eps_percentile], "weight"
     )
-    base = F.percentile("k_distance", eps_percentile, F.col("weight")) * F.lit(eps_multiplier)
+    base = F.get("percentiles", F.lit(0)) * F.lit(eps_multiplier)
+    minpts = vectors.groupBy("dataset_id").agg(F.first("minpts").alias("minpts"))
     return (
-        weighed.groupBy("dataset_id")
-        .agg(F.first("minpts").alias("minpts"), base.alias("base"))
+        minpts.join(found, "dataset_id")
+        .withColumn("base", base)
         .select(
             "dataset_id",
             "minpts",
