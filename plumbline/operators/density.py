@@ -14,15 +14,20 @@ Three facts keep the job small:
 The neighbour search cuts every dataset into spatial blocks, axis by axis and
 as often as it takes to make them small, finds neighbours inside each block,
 and sends a point on to another block only if that block's bounding box is
-closer than the point's current minPts-th neighbour.
+closer than the point's current minPts-th neighbour. The boxes form the tree
+that the cuts made; points descend it level by level, by joins, so no task
+holds a dataset's boxes, and points that their own box surrounds stay at home.
 """
 
 from __future__ import annotations
 
 import sys
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +44,8 @@ _BLOCK = 1024
 _SLACK = 1 + 1e-9
 
 _NEAR = "dataset_id string, vec_id string, minpts int, dist double, id string, weight long"
-_LOCAL = f"{_NEAR}, target long"
-_PART = "dataset_id string, vec_id string, block long, part string, visits array<long>"
+_LOCAL = f"{_NEAR}, leaves boolean"
+_PART = "dataset_id string, vec_id string, block long, part string, leaves boolean"
 _LINK = "dataset_id string, part string, other string"
 #: Pieces that a large block falls into at a time.
 _CUTS = 8
@@ -53,15 +58,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least distance from every point to every box."""
-    total = np.zeros((len(points), len(low)))
-    for axis in range(points.shape[1]):
-        x = points[:, axis, None]
-        total += np.maximum(np.maximum(low[None, :, axis] - x, x - high[None, :, axis]), 0) ** 2
-    return np.sqrt(total)
-
-
 def _nearest(queries, points, weights, count) -> tuple[np.ndarray, np.ndarray]:
     """Positions and distances of the ``count`` nearest points, sorted per query."""
     dist = _distances(queries, points)
@@ -72,26 +68,39 @@ def _nearest(queries, points, weights, count) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(chosen, order, axis=1), np.take_along_axis(picked, order, axis=1)
 
 
-def _targets(points, reach, own, boxes, only_later=False) -> tuple[np.ndarray, np.ndarray]:
-    """(point position, block) for every other block whose box is within reach."""
-    low = np.array([b["low"] for b in boxes], dtype=float)
-    high = np.array([b["high"] for b in boxes], dtype=float)
-    number = np.array([b["block"] for b in boxes])
-    hit = _box_distances(points, low, high) <= (reach * _SLACK)[:, None]
-    hit &= number[None, :] > own if only_later else number[None, :] != own
-    row, column = np.nonzero(hit)
-    return row, number[column]
+def _may_leave(points: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which points of a block could have others within reach outside its bounds.
+
+    Blocks are cut apart, so what a block's bounds surround is in no other.
+    """
+    room = np.minimum(points - points.min(axis=0), points.max(axis=0) - points).min(axis=1)
+    return reach * _SLACK >= room
+
+
+def _in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose box (low, high) is within ``reach`` of their features."""
+    for batch in batches:
+        lists = [batch.column(c) for c in ("features", "low", "high")]
+        widths = np.diff(lists[0].offsets.to_numpy())
+        reach, kept = batch.column("reach").to_numpy(), np.zeros(batch.num_rows, bool)
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            at = pa.array(rows)
+            x, low, high = (c.take(at).flatten().to_numpy().reshape(-1, width) for c in lists)
+            away = np.maximum(np.maximum(low - x, x - high), 0)
+            kept[rows] = np.sqrt((away**2).sum(axis=1)) <= reach[rows] * _SLACK
+        yield batch.filter(pa.array(kept))
 
 
 def _features(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["features"].to_numpy())
 
 
-def _search_block(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-    """Neighbours inside one block, and the other blocks each point must visit.
+def _search_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Neighbours inside one block, and the points that may have some outside.
 
-    A visit row carries the point's reach, the distance at which the weights
-    found so far add up to minPts, in place of a neighbour.
+    For those, a row that ``leaves`` carries the point's reach, the distance
+    at which the weights found so far add up to minPts, in place of a neighbour.
     """
     points, weights = _features(block), block["weight"].to_numpy()
     ids, minpts = block["vec_id"].to_numpy(), int(block["minpts"].iloc[0])
@@ -99,7 +108,6 @@ def _search_block(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
     enough = np.cumsum(weights[chosen], axis=1) >= minpts
     rows = np.arange(len(points))
     reach = np.where(enough.any(axis=1), dist[rows, enough.argmax(axis=1)], np.inf)
-    row, target = _targets(points, reach, int(block["block"].iloc[0]), boxes["boxes"].iloc[0])
     near = pd.DataFrame(
         {
             "vec_id": np.repeat(ids, chosen.shape[1]),
@@ -108,13 +116,14 @@ def _search_block(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
             "weight": weights[chosen.ravel()],
         }
     )
-    visits = pd.DataFrame({"vec_id": ids[row], "dist": reach[row], "target": target})
-    found = pd.concat([near, visits.astype({"target": object})], ignore_index=True)
+    near["leaves"] = False
+    out = _may_leave(points, reach)
+    leaving = pd.DataFrame({"vec_id": ids[out], "dist": reach[out], "leaves": True})
+    found = pd.concat([near, leaving], ignore_index=True) if out.any() else near
     found["dataset_id"], found["minpts"] = block["dataset_id"].iloc[0], minpts
-    found["target"] = found["target"].astype("Int64")
     found["weight"] = found["weight"].astype("Int64")
     found["id"] = found["id"].astype(object).where(found["id"].notna(), None)
-    return found[["dataset_id", "vec_id", "minpts", "dist", "id", "weight", "target"]]
+    return found[["dataset_id", "vec_id", "minpts", "dist", "id", "weight", "leaves"]]
 
 
 def _search_visitors(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +153,7 @@ def _search_visitors(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFram
     return pd.concat(parts, ignore_index=True)[columns]
 
 
-def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+def _local_parts(block: pd.DataFrame) -> pd.DataFrame:
     """Connected parts of one block's core points under the eps relation."""
     points, ids = _features(block), block["vec_id"].to_numpy()
     eps, own = float(block["eps"].iloc[0]), int(block["block"].iloc[0])
@@ -158,17 +167,13 @@ def _local_parts(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         while frontier.any():
             part[frontier] = seed
             frontier = linked[frontier].any(axis=0) & (part < 0)
-    reach = np.full(len(points), eps)
-    row, target = _targets(points, reach, own, boxes["boxes"].iloc[0], only_later=True)
-    visits = pd.Series(target).groupby(row).agg(list)
-    empty: list[int] = []
     return pd.DataFrame(
         {
             "dataset_id": block["dataset_id"].iloc[0],
             "vec_id": ids,
             "block": own,
             "part": ids[part],
-            "visits": [visits.get(i, empty) for i in range(len(points))],
+            "leaves": _may_leave(points, np.full(len(points), eps)),
         }
     )
 
@@ -210,19 +215,19 @@ def weighted_vectors(matrix: DataFrame) -> DataFrame:
         "distinct-vectors",
     )
     return _spatial_blocks(vectors).select(
-        "dataset_id", "vec_id", "block", "minpts", "weight", "features"
+        "dataset_id", "vec_id", "block", "path", "minpts", "weight", "features"
     )
 
 
 def _spatial_blocks(vectors: DataFrame) -> DataFrame:
-    """``vectors`` with the number of their block.
+    """``vectors`` with the number of their block and those it was cut from, as ``path``.
 
     Round by round, blocks that are still large are cut at the eighths of one
     axis, each axis in turn. Edges come from mergeable sketches and only
     affect speed: pruning uses the blocks' true bounds.
     """
     key = ["dataset_id", "block"]
-    placed = vectors.withColumn("block", F.lit(0).cast("long"))
+    placed = vectors.withColumn("block", F.lit(0).cast("long")).withColumn("path", F.array("block"))
     unchanged, level = 0, 0
     while True:
         x = F.get("features", F.lit(level) % F.size("features"))
@@ -249,58 +254,92 @@ def _spatial_blocks(vectors: DataFrame) -> DataFrame:
             F.col("edges").isNotNull(), F.xxhash64("block", F.lit(level), above)
         ).otherwise(F.col("block"))
         placed = settle(
-            placed.join(large.select(*key, "edges"), key, "left").withColumn("block", cut).drop("edges"),
+            placed.join(large.select(*key, "edges"), key, "left")
+            .withColumn("path", F.when(F.col("edges").isNotNull(), F.array_append("path", cut)).otherwise(F.col("path")))
+            .withColumn("block", F.element_at("path", -1))
+            .drop("edges"),
             "placed-vectors",
         )
         level += 1
 
 
-def _block_boxes(vectors: DataFrame) -> DataFrame:
-    """One row per block carrying the bounds of every block of its dataset."""
-    boxes = (
-        vectors.select("dataset_id", "block", F.posexplode("features").alias("axis", "x"))
-        .groupBy("dataset_id", "block", "axis")
+def box_tree(vectors: DataFrame) -> DataFrame:
+    """(dataset_id, depth, parent, node, leaf, low, high): bounds of all blocks and what they were cut from."""
+    key = ["dataset_id", "depth", "parent", "node", "leaf"]
+    sides = (
+        vectors.select("dataset_id", "path", F.posexplode("features").alias("axis", "x"))
+        .groupBy("dataset_id", "path", "axis")
         .agg(F.min("x").alias("low"), F.max("x").alias("high"))
-        .groupBy("dataset_id", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("sides"))
-        .groupBy("dataset_id")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "block",
-                    F.col("sides")["low"].alias("low"),
-                    F.col("sides")["high"].alias("high"),
-                )
-            ).alias("boxes")
+    )
+    depths = F.sequence(F.lit(2), F.size("path"))
+    nodes = sides.where(F.size("path") > 1).select("*", F.explode(depths).alias("depth"))
+    return settle(
+        nodes.select(
+            "dataset_id",
+            F.col("depth") - 1,
+            F.element_at("path", F.col("depth") - 1).alias("parent"),
+            F.element_at("path", F.col("depth")).alias("node"),
+            (F.col("depth") == F.size("path")).alias("leaf"),
+            "axis",
+            "low",
+            "high",
         )
+        .toDF(*key, "axis", "low", "high")
+        .groupBy(*key, "axis")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("sides"))  # one per axis
+        .select(*key, F.col("sides")["low"].alias("low"), F.col("sides")["high"].alias("high")),
+        "box-tree",
     )
-    return boxes.select("dataset_id", F.explode("boxes.block").alias("block"), "boxes")
+
+
+def _visits(points: DataFrame, tree: DataFrame) -> DataFrame:
+    """``points`` once for every block within their reach, as ``target``; maybe their own.
+
+    ``points`` have dataset_id, features and reach. A level of the tree is a
+    join on the node that a point has come to, so a point meets the children
+    of the nodes in its reach only.
+    """
+    depth = tree.agg(F.max("depth")).first()[0] or 0
+    names = points.columns
+    now, found = points.withColumn("at", F.lit(0).cast("long")), None
+    for level in range(1, depth + 1):
+        children = tree.where(F.col("depth") == level).select(
+            "dataset_id", F.col("parent").alias("at"), "node", "leaf", "low", "high"
+        )
+        met = now.join(children, ["dataset_id", "at"]).select(*names, "node", "leaf", "low", "high")
+        near = settle(met.mapInArrow(_in_reach, met.schema).drop("low", "high"), "boxes-in-reach")
+        leaves = near.where("leaf").drop("leaf").withColumnRenamed("node", "target")
+        found = leaves if found is None else found.unionByName(leaves)
+        now = near.where("NOT leaf").drop("leaf").withColumnRenamed("node", "at")
+    if found is None:
+        empty = points.withColumn("target", F.lit(None).cast("long")).schema
+        return points.sparkSession.createDataFrame([], empty)
+    return found
 
 
 def nearest_neighbours(vectors: DataFrame) -> DataFrame:
     """(dataset_id, vec_id, near, k_distance): sorted neighbours of each vector,
     itself first, and the distance of the minPts-th point counting weights."""
     key = ["dataset_id", "block"]
-    blocks = vectors.groupBy(*key)
-    local = settle(
-        blocks.cogroup(_block_boxes(vectors).groupBy(*key)).applyInPandas(_search_block, _LOCAL),
-        "neighbours",
+    held = vectors.drop("path")
+    blocks = held.groupBy(*key)
+    local = settle(blocks.applyInPandas(_search_block, _LOCAL), "neighbours")
+    leaving = (
+        local.where("leaves")
+        .select("dataset_id", "vec_id", F.col("dist").alias("reach"))
+        .join(vectors.select("dataset_id", "vec_id", "block", "features"), ["dataset_id", "vec_id"])
     )
-    positions = vectors.select("dataset_id", "vec_id", F.col("features").alias("features"))
     travelling = (
-        local.where("target is not null")
-        .select(
-            "dataset_id",
-            "vec_id",
-            F.col("dist").alias("reach"),
-            F.col("target").alias("block"),
-        )
-        .join(positions, ["dataset_id", "vec_id"])
+        _visits(leaving, box_tree(vectors))
+        .where("target <> block")
+        .select("dataset_id", "vec_id", "reach", F.col("target").alias("block"), "features")
     )
     visited = travelling.groupBy(*key).cogroup(blocks).applyInPandas(_search_visitors, _NEAR)
     merged = (
-        local.where("target is null")
-        .drop("target")
+        local.where("NOT leaves")
+        .drop("leaves")
         .unionByName(visited)
         .groupBy("dataset_id", "vec_id")
         .agg(
@@ -421,20 +460,18 @@ class DensityNoise:
         core = (
             self.vectors.join(self.flags.where("core"), ["dataset_id", "vec_id"])
             .join(self.eps.select("dataset_id", "eps"), "dataset_id")
-            .select("dataset_id", "vec_id", "block", "eps", "features")
+            .select("dataset_id", "vec_id", "block", "path", "eps", "features")
         )
         core = settle(core, "core")
-        boxes = _block_boxes(core).groupBy(*key)
-        parts = settle(
-            core.groupBy(*key).cogroup(boxes).applyInPandas(_local_parts, _PART), "parts"
+        parts = settle(core.drop("path").groupBy(*key).applyInPandas(_local_parts, _PART), "parts")
+        placed = core.drop("path").join(parts.drop("block"), ["dataset_id", "vec_id"])
+        leaving = placed.where("leaves").select(
+            "dataset_id", "block", "eps", F.col("eps").alias("reach"), "features", "part"
         )
-        placed = core.join(parts.drop("block"), ["dataset_id", "vec_id"])
-        visitors = placed.select(
-            F.col("dataset_id").alias("dataset_id"),
-            F.col("eps").alias("eps"),
-            F.col("features").alias("features"),
-            F.col("part").alias("part"),
-            F.explode("visits").alias("block"),
+        visitors = (
+            _visits(leaving, box_tree(core))
+            .where("target > block")
+            .select("dataset_id", "eps", "features", "part", F.col("target").alias("block"))
         )
         links = (
             visitors.groupBy(*key)
