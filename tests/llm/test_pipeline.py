@@ -27,7 +27,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_queries_are_registered():
-    assert {int(re.match(r"op(\d+)_", name)[1]) for name in LLM_QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", name)[1]) for name in LLM_QUERIES} == set(range(1, 14))
 
 
 def test_simhash_query_on_the_whole_table(spark):
