@@ -12,6 +12,7 @@ from checks.views import (
     SCRIPTS,
     UPDATES_SQL,
 )
+from plumbline.operators.isolation import least_prime, lots_wanted
 
 ORACLES: dict[str, str] = {}
 
@@ -645,14 +646,31 @@ def forest(matrix: str, trees: int = 100, sample: int = 256, levels: int = 8) ->
     usual = "CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649e0) - 2e0 * ({0} - 1) / {0} WHEN {0} = 2 THEN 1e0 ELSE 0e0 END"
     name = "'42:' || dataset_id || '/' || tree || '/' || node"
     key = "dataset_id, tree, node"
+    wanted, prime = lots_wanted(sample), least_prime(trees)
     parts = [
         f"""
+shares AS (
+  SELECT dataset_id, least(1e0, {wanted}e0 / any_value(n)) AS share FROM {matrix} GROUP BY dataset_id),
+chances AS MATERIALIZED (
+  SELECT dataset_id, k, CASE WHEN share = 1 THEN 0e0 ELSE sum(exp(
+           lgamma({trees} + 1) - lgamma(k + 1) - lgamma({trees} - k + 1)
+           + k * ln(share) + ({trees} - k) * ln(CASE WHEN share < 1 THEN 1 - share ELSE 1 END)))
+         OVER (PARTITION BY dataset_id ORDER BY k) END AS upto
+  FROM shares, range(0, {trees}) r(k)),
+digests AS (
+  SELECT dataset_id, row_id, a, b, n, md5('42/' || row_id) AS d FROM {matrix}),
+numbers AS MATERIALIZED (
+  SELECT dataset_id, row_id, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, count(*) AS number,
+         any_value(CAST('0x' || substr(d, 14, 7) AS BIGINT) % {prime}) AS first,
+         any_value(1 + CAST('0x' || substr(d, 21, 7) AS BIGINT) % ({prime} - 1)) AS step
+  FROM digests JOIN chances USING (dataset_id)
+  WHERE upto <= CAST('0x' || substr(d, 1, 13) AS BIGINT) / 4503599627370496e0
+  GROUP BY dataset_id, row_id),
 lots AS MATERIALIZED (
-  SELECT dataset_id, t AS tree, a, b, least({sample}, n) AS psi,
-         md5('42:' || t || ':' || row_id) AS lot
-  FROM {matrix}, range(0, {trees}) r(t)
-  WHERE CAST('0x' || substr(md5('42/' || (t // 8) || ':' || row_id), 1 + 4 * (t % 8), 4) AS INTEGER)
-        < least(65536, ceil(65536e0 * 4 * {sample} / n))),
+  SELECT dataset_id, (first + j * step) % {prime} AS tree, a, b, least({sample}, n) AS psi,
+         md5('42:' || (first + j * step) % {prime} || ':' || row_id) AS lot
+  FROM numbers, range(0, {prime}) r(j) WHERE (first + j * step) % {prime} < {trees}
+  QUALIFY row_number() OVER (PARTITION BY dataset_id, row_id ORDER BY j) <= number),
 points0 AS MATERIALIZED (
   SELECT dataset_id, tree, CAST(1 AS BIGINT) AS node, a, b, psi FROM lots
   QUALIFY row_number() OVER (PARTITION BY dataset_id, tree ORDER BY lot) <= {sample}),

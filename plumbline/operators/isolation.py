@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,6 @@ _FOREST = (
     "dataset_id string, depth int, psi int, feature array<int>, cut array<double>, "
     "path array<double>"
 )
-_DRAWN = 65_536  # values of four hexadecimal digits, the lot of a row for one tree
-_SPARE = 4  # lots to expect per row wanted
 _SCORES = "dataset_id string, row_id string, score double"
 
 
@@ -114,39 +113,79 @@ def _score(points: np.ndarray, depth: int, psi: int, feature, cut, path) -> np.n
     return np.power(2.0, -scores / usual) if usual > 0 else np.full(len(points), 0.5)
 
 
+def lots_wanted(sample: int) -> int:
+    """Draws a tree should expect so that fewer than ``sample`` have a chance below 1e-18."""
+    return int(np.ceil(sample + 42 + np.sqrt(83 * sample + 1722)))
+
+
+def least_prime(at_least: int) -> int:
+    """The smallest prime that is not below ``at_least``."""
+    return next(p for p in range(max(at_least, 2), 2 * at_least + 3) if all(p % d for d in range(2, int(p**0.5) + 1)))
+
+
+def _trees_upto(share: Column, trees: int) -> Column:
+    """For k below ``trees``, the chance that at most k trees draw a row."""
+    ways = F.array(*[F.lit(lgamma(trees + 1) - lgamma(k + 1) - lgamma(trees - k + 1)) for k in range(trees)])
+
+    def chance(k: Column) -> Column:
+        return F.exp(F.get(ways, k) + k * F.log(share) + (trees - k) * F.log(1 - share))
+
+    sums = F.aggregate(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        F.array().cast("array<double>"),
+        lambda seen, k: F.concat(seen, F.array(F.coalesce(F.get(seen, k - 1), F.lit(0.0)) + chance(k))),
+    )
+    return F.when(share < 1, sums).otherwise(F.array_repeat(F.lit(0.0), trees))
+
+
 def tree_rows(
     matrix: DataFrame, *, trees: int = TREES, sample: int = TREE_SAMPLE, seed: int = SEED
 ) -> DataFrame:
     """(dataset_id, tree, row_id, features): the rows every tree grows from.
 
     Each tree draws ``sample`` rows of its dataset, or all if there are no
-    more. A row's lots, four digits of a digest per tree, thin the rows inside
-    the scan to some four times the number wanted; of these the smallest
-    digests of tree and row are drawn.
+    more. One digest per row says by the inverse binomial distribution how
+    many trees draw a row, and rows drawn by none end there, inside the scan.
+    For the others it starts a walk over the trees, modulo a prime, whose
+    first stops are the trees. So a tree holds some 450 rows of a large
+    dataset, and of them takes the ``sample`` smallest digests of tree and row.
     """
-    limit = F.least(
-        F.lit(float(_DRAWN)), F.ceil(F.lit(float(_DRAWN * _SPARE * sample)) / F.col("n_records"))
-    )
-
-    def taken(block: Column) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}/"), block.cast("string"), F.lit(":"), F.col("row_id")))
+    share = F.least(F.lit(1.0), F.lit(float(lots_wanted(sample))) / F.col("n_records"))
+    prime = least_prime(trees)
 
-        def drawn(lots: Column) -> Column:
-            return F.filter(
-                F.sequence(block * 8, F.least(block * 8 + 7, F.lit(trees - 1))),
-                lambda t: F.conv(lots.substr(t % 8 * 4 + 1, F.lit(4)), 16, 10).cast("int") < limit,
-            )
+    def digits(start: int, length: int) -> Column:
+        return F.conv(F.substring("digest", start, length), 16, 10).cast("long")
 
-        return F.get(F.transform(F.array(digest), drawn), F.lit(0))
-
-    blocks = F.sequence(F.lit(0), F.lit((trees - 1) // 8))
-    lots = matrix.select(
-        "dataset_id", "row_id", "features", F.explode(F.flatten(F.transform(blocks, taken))).alias("tree")
+    lots = (
+        matrix.select("dataset_id", "row_id", "features", "n_records")
+        .withColumn("digest", F.md5(F.concat(F.lit(f"{seed}/"), F.col("row_id"))))
+        .withColumn("u", digits(1, 13) / F.lit(float(2**52)))
+        .where((share >= 1) | (F.col("u") >= F.exp(trees * F.log(1 - share))))
+        .select(
+            "dataset_id",
+            "row_id",
+            "features",
+            "u",
+            (digits(14, 7) % prime).alias("first"),
+            (1 + digits(21, 7) % (prime - 1)).alias("step"),
+        )
+    )
+    sizes = matrix.groupBy("dataset_id").agg(F.max("n_records").alias("n_records"))
+    chances = sizes.select("dataset_id", _trees_upto(share, trees).alias("upto"))
+    number = F.size(F.filter("upto", lambda c: c <= F.col("u")))
+    stops = F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(prime - 1), F.col("number") - 1 + F.lit(prime - trees))),
+        lambda j: ((F.col("first") + j * F.col("step")) % prime).cast("int"),
     )
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), F.col("row_id")))
     first = Window.partitionBy("dataset_id", "tree").orderBy("order", "row_id")
     return (
-        lots.withColumn("order", order)
+        lots.join(chances, "dataset_id")
+        .withColumn("number", number)
+        .where("number > 0")
+        .withColumn("stops", F.slice(F.filter(stops, lambda t: t < trees), F.lit(1), F.col("number")))
+        .select("dataset_id", F.explode("stops").alias("tree"), "row_id", "features")
+        .withColumn("order", order)
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= sample)
         .drop("order", "place")

@@ -1,6 +1,7 @@
 """Matrix, forest, density and agreement against brute force and invariants."""
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pytest
@@ -148,6 +149,30 @@ def test_forest_rate_identity_and_planted_outliers(spark):
     assert got["a"].n_features == 3 and 0.3 < got["a"].anomaly_score_mean < 0.6
 
 
+def test_trees_draw_alike_from_all_rows(spark):
+    """Few rows are drawn, every tree takes its sample, no row is favoured; small datasets give all."""
+    large = spark.range(4000).selectExpr(
+        "'a' dataset_id", "CAST(id AS STRING) row_id", "array(CAST(id AS DOUBLE)) features", "4000 n_records"
+    )
+    small = spark.range(90).selectExpr(
+        "'b' dataset_id", "CAST(id AS STRING) row_id", "array(CAST(id AS DOUBLE)) features", "90 n_records"
+    )
+    both = large.unionByName(small)
+    drawn = isolation.tree_rows(both, trees=60, sample=50).toPandas()
+    sizes = drawn.groupby(["dataset_id", "tree"])["row_id"].agg(["size", "nunique"])
+    assert len(sizes) == 120 and (sizes == 50).all().all()
+    a = drawn[drawn["dataset_id"] == "a"]
+    times = a["row_id"].value_counts().reindex([str(i) for i in range(4000)], fill_value=0)
+    assert times.var() == pytest.approx(60 * (50 / 4000) * (1 - 50 / 4000), rel=0.1)
+    assert a["row_id"].astype(int).mean() == pytest.approx(1999.5, abs=70)
+    together = a.merge(a, on="row_id").query("tree_x < tree_y").groupby(["tree_x", "tree_y"]).size()
+    assert together.sum() / (60 * 59 / 2) == pytest.approx(50 * 50 / 4000, rel=0.15)
+    assert isolation.tree_rows(both, trees=1, sample=500).count() == 590
+    again = isolation.tree_rows(both.repartition(5), trees=60, sample=50).toPandas()
+    key = ["dataset_id", "tree", "row_id"]
+    assert sorted(map(tuple, drawn[key].to_numpy())) == sorted(map(tuple, again[key].to_numpy()))
+
+
 def test_forest_ignores_affine_rescaling(spark):
     df, names = points(spark, 300)
     scaled = df.select("k", "id", *[(F.col(n) * 8 - 2).alias(n) for n in names])
@@ -224,11 +249,18 @@ def test_trees_draw_the_smallest_digests(spark):
     got = {}
     for r in drawn.collect():
         got.setdefault(r.tree, set()).add(r.row_id)
-    limit = min(65_536, -(-65_536 * 4 * 64 // 3000))
+    share = isolation.lots_wanted(64) / 3000
+    chances = np.cumsum([comb(11, k) * share**k * (1 - share) ** (11 - k) for k in range(11)])
     md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    lots = {t: [] for t in range(11)}
+    for i in range(3000):
+        digest = md5(f"42/{i}")
+        number = int((chances <= int(digest[:13], 16) / 2**52).sum())
+        first, step = int(digest[13:20], 16) % 11, 1 + int(digest[20:27], 16) % 10
+        for j in range(number):
+            lots[(first + j * step) % 11].append(str(i))
     for t in range(11):
-        lots = [str(i) for i in range(3000) if int(md5(f"42/{t // 8}:{i}")[t % 8 * 4 : t % 8 * 4 + 4], 16) < limit]
-        assert got[t] == set(sorted(lots, key=lambda i: md5(f"42:{t}:{i}"))[:64])
+        assert got[t] == set(sorted(lots[t], key=lambda i: md5(f"42:{t}:{i}"))[:64])
 
 
 def test_agreement_edges(spark):
