@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from checks.partitions import partitions
 from checks.views import (
     CATALOGUE_SQL,
     DIRTY_DOCUMENTS_SQL,
@@ -452,14 +453,7 @@ SELECT dataset_id, col_name, count(DISTINCT x) AS n_distinct,
        {r("avg(length(x))", "mean_length")}
 FROM cells WHERE col_name IN ('lang', 'text') AND x IS NOT NULL GROUP BY dataset_id, col_name""",
 )
-query(
-    "p03d_class_counts",
-    DIRTY_DOCUMENTS_SQL,
-    long_cells("dirty_documents", "source", DOCUMENTS, "row_id,"),
-    CATALOGUE_SQL,
-    STATS,
-    DATE_CELLS,
-    """
+KINDS = """
 spread AS (
   SELECT dataset_id, col_idx, count(DISTINCT x) AS n_distinct, avg(length(x)) AS mean_length
   FROM cells GROUP BY dataset_id, col_idx),
@@ -470,13 +464,22 @@ kinds AS (
               THEN 'freetext' ELSE 'categorical' END AS class
   FROM stats s LEFT JOIN date_cells f USING (dataset_id, col_idx)
   LEFT JOIN spread d USING (dataset_id, col_idx))
-""",
-    select="""
+"""
+CLASS_COUNTS = """
 SELECT c.dataset_id, count(*) FILTER (WHERE class = 'numeric') AS numeric_cols,
        count(*) FILTER (WHERE class = 'categorical') AS categorical_cols,
        count(*) FILTER (WHERE class = 'date') AS date_cols,
        count(*) FILTER (WHERE class = 'freetext') AS freetext_cols
-FROM catalogue c LEFT JOIN kinds USING (dataset_id) GROUP BY c.dataset_id""",
+FROM catalogue c LEFT JOIN kinds USING (dataset_id) GROUP BY c.dataset_id"""
+query(
+    "p03d_class_counts",
+    DIRTY_DOCUMENTS_SQL,
+    long_cells("dirty_documents", "source", DOCUMENTS, "row_id,"),
+    CATALOGUE_SQL,
+    STATS,
+    DATE_CELLS,
+    KINDS,
+    select=CLASS_COUNTS,
 )
 query(
     "p04_date_likeness",
@@ -944,6 +947,51 @@ FROM parts GROUP BY candidate""",
 )
 
 
+_MEASURES = [
+    "completeness",
+    "consistency",
+    "uniqueness",
+    "accuracy",
+    "timeliness",
+    "three_dim_composite",
+    "full_composite",
+    "if_anomaly_rate",
+    "db_noise_rate",
+]
+CLUSTERED = [*SCORES, PROFILES.replace("profiles AS (", "profiles AS MATERIALIZED ("), partitions()]
+query(
+    "a11_quality_clusters",
+    *CLUSTERED,
+    DATE_CELLS,
+    KINDS,
+    f"class_counts AS ({CLASS_COUNTS})",
+    select=f"""
+SELECT s.dataset_id, sector, file_name, {", ".join(r(c, c) for c in _MEASURES)},
+       drl_band, if_applicable, db_applicable, rows, cols, total_cells, n_nulls,
+       numeric_cols, categorical_cols, date_cols, freetext_cols, cluster
+FROM scores s JOIN class_counts USING (dataset_id) JOIN labels USING (dataset_id) JOIN chosen USING (k)""",
+)
+query(
+    "a13_cluster_meta",
+    *CLUSTERED,
+    select=f"""
+SELECT k AS k_selected, {r("silhouette", "silhouette")}, (SELECT count(*) FROM candidates) AS n_candidates
+FROM chosen""",
+)
+query(
+    "r06_selection_series",
+    *CLUSTERED,
+    select=f"SELECT k, {r('inertia', 'inertia')}, {r('silhouette', 'silhouette')} FROM candidates",
+)
+query(
+    "r07_centroids",
+    *CLUSTERED,
+    select=" UNION ALL ".join(
+        f"SELECT cluster, '{name}' AS feature, {r('c' + axis, 'value')} FROM centroids"
+        for axis, name in (("x", "completeness"), ("y", "consistency"), ("z", "uniqueness"))
+    ),
+)
+
 
 def _power(name: str, matrix: str, steps: int = 600) -> str:
     """The leading eigenvector (a, b, c) of a symmetric 3 x 3 matrix, its sign

@@ -107,6 +107,7 @@ def document_audit(spark, folder) -> audit.Audit:
         anomaly_scores=forest_scores,
         noise=noise,
         catalogue=names,
+        cluster_method="digests",
     )
 
 
@@ -858,8 +859,8 @@ def a10_profile_vectors(spark, folder):
 
 @query
 def a11_quality_clusters(spark, folder):
-    """Selected k-means partition; seeded fits have no SQL counterpart."""
-    return document_audit(spark, folder).clustered
+    """Selected k-means partition; digests seed it, so SQL replays it."""
+    return rounded(document_audit(spark, folder).clustered)
 
 
 @query
@@ -881,7 +882,7 @@ _SECTORS = ["books", "forum", "press", "web"]
 @query
 def a13_cluster_meta(spark, folder):
     meta = document_audit(spark, folder).clusters.meta()
-    return meta.select("k_selected", "silhouette", F.size("candidates").alias("n_candidates"))
+    return rounded(meta.select("k_selected", "silhouette", F.size("candidates").alias("n_candidates")))
 
 
 @query
@@ -1108,12 +1109,12 @@ def r05_histogram(spark, folder):
 
 @query
 def r06_selection_series(spark, folder):
-    return reports.selection_series(document_audit(spark, folder).clusters.meta())
+    return rounded(reports.selection_series(document_audit(spark, folder).clusters.meta()))
 
 
 @query
 def r07_centroids(spark, folder):
-    return reports.centroid_matrix(document_audit(spark, folder).clusters.meta())
+    return rounded(reports.centroid_matrix(document_audit(spark, folder).clusters.meta()))
 
 
 @query

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.defaults import CLUSTER_COUNTS, INHERENT_DIMENSIONS, MIN_CLUSTERS, RESTARTS, SEED
+from plumbline.operators.kmeans import Partition, fit_partitions, in_order, nearest
 from plumbline.session import settle
 
 # Executors need no installed copy of this package: kernels travel with tasks.
@@ -177,6 +178,36 @@ class QualityClusters:
         )
 
 
+def _sampled_partitions(
+    points: DataFrame, counts: list[int], restarts: int, seed: int, parallelism: int = 8
+) -> dict[int, Partition]:
+    """The cheapest of ``restarts`` fits of the evaluator's k-means for every k."""
+    # A fixed order makes seeds repeatable.
+    vectors = points.sortWithinPartitions("features").select(array_to_vector("features").alias("vector"), "weight")
+    vectors = vectors.persist()
+
+    def fit(task: tuple[int, int]):
+        k, restart = task
+        return KMeans(
+            k=k,
+            seed=seed + restart,
+            featuresCol="vector",
+            weightCol="weight",
+            maxIter=300,
+            tol=1e-6,
+        ).fit(vectors)
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(fit, [(k, r) for k in counts for r in range(restarts)], 1)
+    vectors.unpersist()
+    best = {}
+    for i, k in enumerate(counts):
+        model = min(models[i * restarts : (i + 1) * restarts], key=lambda m: m.summary.trainingCost)
+        centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
+        best[k] = Partition(in_order(centres), float(model.summary.trainingCost))
+    return best
+
+
 def quality_clusters(
     scores: DataFrame,
     counts: Iterable[int] = CLUSTER_COUNTS,
@@ -184,69 +215,56 @@ def quality_clusters(
     min_k: int = MIN_CLUSTERS,
     restarts: int = RESTARTS,
     seed: int = SEED,
-    parallelism: int = 8,
+    method: str = "sampled",
 ) -> QualityClusters | None:
     """k-means over quality profiles for several k, best silhouette wins.
 
-    Each k keeps the least-cost model of ``restarts`` seeded fits. The choice
-    is made among k ≥ ``min_k`` where there are any; None without candidates.
+    Each k keeps the least-cost partition of ``restarts`` seeded runs, its
+    clusters numbered in the order of their centroids. The choice is made
+    among k ≥ ``min_k`` where there are any; None without candidates.
+
+    ``method`` is ``sampled``, the ML evaluator's fits, which find the
+    published local minima, or ``digests``, where all runs advance in one job
+    per round and any engine can replay them (:mod:`kmeans`).
     """
+    if method not in ("sampled", "digests"):
+        raise ValueError(f"unknown method {method!r}")
     vectors = settle(profile_vectors(scores), "profiles")
     n_points = vectors.count()
     candidates = [k for k in counts if k < n_points]
     if not candidates:
         return None
-    # Equal profiles weigh as one point, and a fixed order makes seeds repeatable.
-    points = (
+    # Equal profiles weigh as one point.
+    points = settle(
         vectors.groupBy("features")
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        .repartitionByRange(max(1, n_points // _ROWS_PER_TASK), "features")
-        .sortWithinPartitions("features")
-        .select(array_to_vector("features").alias("vector"), "weight")
-        .persist()
+        .agg(F.min("dataset_id").alias("point_id"), F.count(F.lit(1)).cast("double").alias("weight"))
+        .repartitionByRange(max(1, n_points // _ROWS_PER_TASK), "features"),
+        "points",
     )
-
-    def fit(task: tuple[int, int]):
-        k, restart = task
-        return KMeans(
-            k=k,
-            seed=seed + restart,
-            featuresCol="vector",
-            weightCol="weight",
-            maxIter=300,
-            tol=1e-6,
-        ).fit(points)
-
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(fit, [(k, r) for k in candidates for r in range(restarts)], 1)
-    points.unpersist()
-    best = [
-        min(models[i * restarts : (i + 1) * restarts], key=lambda m: m.summary.trainingCost)
-        for i in range(len(candidates))
-    ]
-    labelled = vectors.withColumn("vector", array_to_vector("features"))
-    for k, model in zip(candidates, best, strict=True):
-        labelled = model.setPredictionCol(f"k{k}").transform(labelled)
+    if method == "sampled":
+        best = _sampled_partitions(points, candidates, restarts, seed)
+    else:
+        best = fit_partitions(points, candidates, restarts=restarts, seed=seed)
     labelled = settle(
-        labelled.select(
-            "dataset_id", "features", F.array(*[f"k{k}" for k in candidates]).alias("labels")
+        vectors.select(
+            "dataset_id",
+            "features",
+            F.array(*[nearest("features", best[k].centres) for k in candidates]).alias("labels"),
         ),
         "clusters",
     )
     measured = euclidean_silhouettes(labelled, n_points).collect()
     silhouettes = {candidates[row["candidate"]]: row["silhouette"] for row in measured}
-    inertias = {
-        k: float(model.summary.trainingCost) for k, model in zip(candidates, best, strict=True)
-    }
+    inertias = {k: best[k].cost for k in candidates}
     pool_of_k = [k for k in candidates if k >= min_k] or candidates
-    chosen = max(pool_of_k, key=lambda k: silhouettes[k])
+    chosen = max(pool_of_k, key=lambda k: (round(silhouettes[k], 9), -k))
     position = candidates.index(chosen)
     return QualityClusters(
         k_selected=chosen,
         silhouette=silhouettes[chosen],
         silhouettes=silhouettes,
         inertias=inertias,
-        centroids=[[float(x) for x in c] for c in best[position].clusterCenters()],
+        centroids=[list(c) for c in best[chosen].centres],
         feature_names=list(INHERENT_DIMENSIONS),
         labels=labelled.select("dataset_id", F.col("labels")[position].alias("cluster")),
     )

@@ -94,6 +94,7 @@ class Audit:
     anomaly_scores: DataFrame
     noise: DensityNoise
     catalogue: DataFrame
+    cluster_method: str = "sampled"
 
     def close(self) -> None:
         """Delete the tables that this application wrote in the shared folder.
@@ -120,7 +121,7 @@ class Audit:
 
     @cached_property
     def clusters(self) -> QualityClusters | None:
-        return quality_clusters(self.scores)
+        return quality_clusters(self.scores, method=self.cluster_method)
 
     @cached_property
     def clustered(self) -> DataFrame:
