@@ -947,30 +947,7 @@ FROM parts GROUP BY candidate""",
 )
 
 
-_MEASURES = [
-    "completeness",
-    "consistency",
-    "uniqueness",
-    "accuracy",
-    "timeliness",
-    "three_dim_composite",
-    "full_composite",
-    "if_anomaly_rate",
-    "db_noise_rate",
-]
 CLUSTERED = [*SCORES, PROFILES.replace("profiles AS (", "profiles AS MATERIALIZED ("), partitions()]
-query(
-    "a11_quality_clusters",
-    *CLUSTERED,
-    DATE_CELLS,
-    KINDS,
-    f"class_counts AS ({CLASS_COUNTS})",
-    select=f"""
-SELECT s.dataset_id, sector, file_name, {", ".join(r(c, c) for c in _MEASURES)},
-       drl_band, if_applicable, db_applicable, rows, cols, total_cells, n_nulls,
-       numeric_cols, categorical_cols, date_cols, freetext_cols, cluster
-FROM scores s JOIN class_counts USING (dataset_id) JOIN labels USING (dataset_id) JOIN chosen USING (k)""",
-)
 query(
     "a13_cluster_meta",
     *CLUSTERED,

@@ -859,7 +859,7 @@ def a10_profile_vectors(spark, folder):
 
 @query
 def a11_quality_clusters(spark, folder):
-    """Selected k-means partition; digests seed it, so SQL replays it."""
+    """Selected k-means partition; digests seed it. SQL replays its choice and centroids (a13, r06, r07)."""
     return rounded(document_audit(spark, folder).clustered)
 
 
