@@ -114,6 +114,23 @@ def test_a_file_is_read_by_many_tasks(spark, tmp_path):
     assert cells.select(F.col("cells")[1]).where("row_id = 41").first()[0] == 'line 41\nsecond, "quoted" line'
 
 
+def test_short_runs_share_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "all").mkdir()
+    rows = [f'{i},"line {i}\nsecond, ""quoted"" line"\n' for i in range(5_000)]
+    (tmp_path / "all" / "a.csv").write_text("n,text\n" + "".join(rows))
+    sniffed = delimited.sniff_files(spark, scan_catalogue(spark, str(tmp_path), SECTORS))
+    tasks, settle = {}, split_records.settle
+
+    def counting(df, name):
+        tasks[name] = df.rdd.getNumPartitions()
+        return settle(df, name)
+
+    monkeypatch.setattr(split_records, "settle", counting)
+    cells = delimited.read_cells(spark, sniffed, 1_000)
+    assert cells.select("row_id").distinct().count() == 5_000
+    assert tasks["quote-transitions"] <= 16 and tasks["cut-records"] <= 16  # of 200 runs
+
+
 @pytest.mark.parametrize("line, outside, inside", [
     (b"a,b", False, True), (b'"a', True, False), (b'"a","b', True, True), (b'a"b,c', False, False),
     (b'"a""', True, False), (b'"a"""', False, False), (b'x,"', True, False), (b'""', False, True), (b'"a"b,"c', True, True),
