@@ -252,3 +252,20 @@ def test_load_metadata(loaded):
     row = results.load_metadata(loaded.inventory(), "ALP-02").first()
     assert (row.encoding, row.delimiter, row.rows, row.cols) == ("utf-8", ";", 3, 3)
     assert row.loaded_at is not None
+
+
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    from checks.queries import documents_by_sector
+
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "repeat(sha2(string(id), 512), 4) AS text", "concat('src', id % 20) AS source"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = documents_by_sector(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
