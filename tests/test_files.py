@@ -269,3 +269,11 @@ def test_texts_stay_where_they_are_read(spark, tmp_path):
         assert "SortMergeJoin" not in plan and rows.count() == 3000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_coded_texts_fill_files_of_bounded_size(spark, monkeypatch):
+    from checks import queries
+
+    rows = spark.range(4000).selectExpr("IF(id < 3900, 'x', 'y') AS page", "id AS doc_id", "repeat('a', 100) AS text")
+    monkeypatch.setattr(queries, "_CODED_BYTES", 10_000)
+    assert queries._coded_files(rows) == {"x": 39, "y": 2}
