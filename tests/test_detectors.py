@@ -301,3 +301,40 @@ def test_rank_stability_constant_side(spark):
 
 def test_keys_of_a_whole_frame(spark):
     assert profile.dataset_keys(spark.range(3), None).first().dataset_id == "all"
+
+
+def test_agreement_of_repeated_and_missing_rows(spark):
+    def table(flag, rows):
+        return spark.createDataFrame(rows, f"dataset_id string, row_id string, {flag} boolean")
+
+    left = [("a", "1", True), ("a", "1", False), ("a", "2", None), ("b", "1", True), ("b", "2", False), ("c", None, True), ("c", "1", True), (None, "1", True), ("d", "1", True)]
+    right = [("a", "1", True), ("a", "1", True), ("a", "2", True), ("b", "1", None), ("b", "2", True), ("c", None, True), ("c", "1", True), (None, "1", True), ("e", "1", True)]
+    found = agreement.detector_agreement(table("anomaly", left), table("noise", right)).collect()
+    assert [(r.dataset_id, r.if_anom_count, r.dbscan_noise_count, r.overlap, r.n_records) for r in found] == [("b", 1, 1, 0, 2)]
+
+
+def test_agreement_meets_rows_once(spark):
+    flags = spark.range(100).selectExpr("'d' AS dataset_id", "string(id) AS row_id", "id % 3 = 0 AS anomaly")
+    found = agreement.detector_agreement(flags, flags.withColumnRenamed("anomaly", "noise"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Range") == 2
+
+
+def test_points_at_home_do_not_move_again(spark):
+    rng = np.random.default_rng(5)
+    rows = [("d", str(i), [float(x), float(y)]) for i, (x, y) in enumerate(rng.normal(size=(6000, 2)))]
+    df = spark.createDataFrame(rows, "dataset_id string, row_id string, features array<double>")
+    numbers = df.selectExpr("*", "6000 AS n_records", "2 AS n_features")
+    names, settle = [], density.settle
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(density, "settle", lambda frame, name, by=None: (names.append((name, frame)), settle(frame, name, by))[1])
+        noise = density.DensityNoise(numbers)
+    local = next(frame for name, frame in names if name == "neighbours")
+    assert names and "placed-vectors" not in [name for name, _ in names]  # written once, at the end
+    assert local.count() == 6000  # a row a point, with its list
+    assert local.where("leaves").count() < 3000
+    lists = [(r.vec_id, [n.dist for n in r.near]) for r in density.nearest_neighbours(noise.vectors).collect()]
+    points = np.array([r[2] for r in rows])
+    for vec, near in lists[::97]:
+        want = np.sort(np.sqrt(((points - points[int(vec)]) ** 2).sum(axis=1)))[:4]
+        assert np.allclose(near, want)
