@@ -4,6 +4,7 @@ import hashlib
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,51 @@ def test_points_at_home_do_not_move_again(spark):
     for vec, near in lists[::97]:
         want = np.sort(np.sqrt(((points - points[int(vec)]) ** 2).sum(axis=1)))[:4]
         assert np.allclose(near, want)
+
+
+def test_large_blocks_compare_few_pairs(monkeypatch):
+    """Lists inside a block and from outside are those of all pairs, at a small part of their distances."""
+    rng, made, found = np.random.default_rng(6), [0], density._Groups._found
+    n, weights = 20_000, rng.integers(1, 3, 20_000)
+    x = rng.normal(size=(n, 2))
+    block = pa.table(
+        {
+            "dataset_id": ["d"] * n,
+            "vec_id": [str(i) for i in range(n)],
+            "block": [1] * n,
+            "minpts": [4] * n,
+            "weight": weights,
+            "features": pa.array(x.tolist()),
+        }
+    )
+
+    def counted(groups, asking, which):
+        made[0] += asking.shape[0] * asking.shape[1] * groups.members.shape[1]
+        return found(groups, asking, which)
+
+    monkeypatch.setattr(density._Groups, "_found", counted)
+    rows = density._search_block(block).to_pylist()
+    assert made[0] < n * n / 50 and sorted(int(r["vec_id"]) for r in rows) == list(range(n))
+    for row in rows[::199]:
+        away = np.sqrt(((x - x[int(row["vec_id"])]) ** 2).sum(axis=1))
+        order = np.argsort(away)
+        reach = away[order][np.argmax(np.cumsum(weights[order]) >= 4)]
+        assert row["reach"] == pytest.approx(reach)
+        near = [(p["dist"], int(p["id"])) for p in row["near"] if p["dist"] <= reach]
+        assert [i for _, i in near] == [i for i in order if away[i] <= reach]
+    asking = block.slice(0, 50).append_column("reach", pa.array(np.full(50, 0.05)))
+    lists = {r["vec_id"]: [p["dist"] for p in r["near"]] for r in density._search_visitors(asking, block).to_pylist()}
+    for i in range(50):
+        away = np.sort(np.sqrt(((x - x[i]) ** 2).sum(axis=1)))
+        assert lists[str(i)] == pytest.approx([a for a in away[:4] if a <= 0.05])
+
+
+def test_blocks_are_large_and_few_points_leave_them(spark):
+    rng = np.random.default_rng(7)
+    data = [("d", str(i), [float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(40_000, 2)))]
+    df = spark.createDataFrame(data, "dataset_id string, row_id string, features array<double>")
+    vectors = density.weighted_vectors(df.selectExpr("*", "40000 AS n_records", "2 AS n_features"))
+    assert vectors.select("block").distinct().count() <= 16
+    blocks = vectors.drop("path").groupBy("dataset_id", "block")
+    leaving = blocks.applyInArrow(density._search_block, density._LOCAL).where("leaves").count()
+    assert leaving < 40_000 / 8
