@@ -387,3 +387,32 @@ def test_blocks_are_large_and_few_points_leave_them(spark):
     blocks = vectors.drop("path").groupBy("dataset_id", "block")
     leaving = blocks.applyInArrow(density._search_block, density._LOCAL).where("leaves").count()
     assert leaving < 40_000 / 8
+
+
+def test_trees_are_walked_as_by_hand():
+    rng = np.random.default_rng(8)
+    depth, psi, feature, cut, path = isolation._grow(rng.normal(size=(5, 64, 2)), 42, "k")
+    x, nodes = rng.normal(size=(5000, 2)), 2 ** (depth + 1)
+    scores = isolation._score(x, depth, psi, feature, cut, path)
+    for i in range(0, 5000, 97):
+        total = 0.0
+        for tree in range(5):
+            node = 1
+            while (axis := feature[tree * nodes + node]) >= 0:
+                node = 2 * node + int(x[i, axis] > cut[tree * nodes + node])
+            total += path[tree * nodes + node]
+        assert scores[i] == pytest.approx(2.0 ** (-total / 5 / isolation._expected_path(np.array([psi]))[0]))
+
+
+def test_no_table_of_rows_by_trees_is_walked():
+    """What is taken from the forest while rows walk is one tree's, not every tree's for every row."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    forest = isolation._grow(rng.normal(size=(100, 64, 2)), 42, "k")
+    x = rng.normal(size=(1024, 2))
+    tracemalloc.start()
+    isolation._score(x, *forest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 1024 * 100 * 8
