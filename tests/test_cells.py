@@ -135,3 +135,13 @@ def test_row_keys_at_any_width(spark):
     pair = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "-"), ("-", None)], "x string, y string")
     keys = cells.row_keys([(f.name, f.dataType) for f in pair.schema.fields])
     assert pair.select(*keys).distinct().count() == 4
+
+
+def test_long_texts_are_told_by_their_first_characters(spark):
+    gaps = [f"5 september 2024{' ' * k}12:30" for k in range(1, 80)]
+    words = [f"{'2024-01-05 10:00'}{' ' * k}january" for k in range(40, 60)]
+    texts = [*gaps, *words, "2024-01-05 " * 20, "1" * 70, "x" * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r.t for r in df.where(date_like(F.col("t"))).collect()}
+    assert found == set(gaps)
+    assert "left(trim(t), 64)" in str(date_like(F.col("t")))
