@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 #: Documents and bytes a Python kernel takes at once.
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
+#: Those of a window, for kernels that gain from seeing many texts at once.
+WINDOW_ROWS, WINDOW_BYTES = 2000, 8 << 20
 
 
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker.
@@ -52,7 +54,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(
+    batch: pa.RecordBatch, column: str, rows: int = BATCH_ROWS, size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of bounded rows and, over ``column``, bounded bytes.
 
     A value that is longer than the bound makes a slice of its own.
@@ -61,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     start, held = 0, 0
     for i, n in enumerate(lengths):
         n = int(n) if n == n else 0
-        if i > start and (held + n > BATCH_BYTES or i - start >= BATCH_ROWS):
+        if i > start and (held + n > size or i - start >= rows):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -69,6 +73,22 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def windows(
+    batches: Iterator[pa.RecordBatch], column: str, rows: int = WINDOW_ROWS, size: int = WINDOW_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, several put together or one cut, within bounds as in :func:`slices`."""
+    held, n_rows, n_bytes = [], 0, 0
+    for batch in batches:
+        more = batch.column(column).nbytes
+        if held and (n_rows + batch.num_rows > rows or n_bytes + more > size):
+            yield from slices(pa.concat_batches(held), column, rows, size)
+            held, n_rows, n_bytes = [], 0, 0
+        held.append(batch)
+        n_rows, n_bytes = n_rows + batch.num_rows, n_bytes + more
+    if held:
+        yield from slices(pa.concat_batches(held), column, rows, size)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return batch.column(column).to_pylist()
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, text_or_empty, texts, widened
+from plumbline.llm.common import text_or_empty, texts, widened, windows
 from plumbline.llm.tokenizing import END_ID, TokenizerFile, encoder
 from plumbline.session import settle
 
@@ -51,26 +51,25 @@ def pieces(
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(file).encode
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                rows, cut = [], []
-                for row, ids in enumerate(encode(texts(part, "_text"))):
-                    ids += end
-                    n = len(ids) // 4
-                    first = (n - 1) % capacity + 1
-                    edges = [0, *range(first, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        one = ids[4 * a : 4 * b]
-                        rows.append(row)
-                        cut.append((k, a, b - a, zlib.crc32(one), one))
-                columns = list(zip(*cut)) or [[]] * len(fields)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array(rows, pa.int64())),
-                        *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields)),
-                    ],
-                    names=["id", *(name for name, _ in fields)],
-                )
+        for part in windows(batches, "_text"):
+            rows, cut = [], []
+            for row, ids in enumerate(encode(texts(part, "_text"))):
+                ids += end
+                n = len(ids) // 4
+                first = (n - 1) % capacity + 1
+                edges = [0, *range(first, n + 1, capacity)]
+                for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                    one = ids[4 * a : 4 * b]
+                    rows.append(row)
+                    cut.append((k, a, b - a, zlib.crc32(one), one))
+            columns = list(zip(*cut)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id").take(pa.array(rows, pa.int64())),
+                    *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields)),
+                ],
+                names=["id", *(name for name, _ in fields)],
+            )
 
     schema = widened(
         source.select("id"), "piece int, start long, length long, ids_crc32 long, ids binary"

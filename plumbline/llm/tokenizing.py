@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, text_or_empty, texts, widened
+from plumbline.llm.common import text_or_empty, texts, widened, windows
 
 END_ID = 2
 #: Words whose ids a Python worker remembers, as many again from before that.
@@ -24,6 +24,22 @@ _MISSES_AT_ONCE = 4096
 
 # White space that joins with what stands before it; only in words by themselves.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+# Letters in any version of Unicode that are one letter in lower case too and join with none beside them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+# A word of letters and the signs behind it, none of them a letter, number or white space.
+_PLAIN = rf"^(?P<core>[{_LETTERS}]+)(?P<stop>[!-/:-@\[-`{{-~]*)$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level files have for every byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SPLIT = pa.struct([("core", pa.large_string()), ("stop", pa.large_string())])
+# Line ends stay: they separate words.
+_BYTE_LETTERS = {b: letter for b, letter in _byte_letters().items() if b != 10}
 
 
 @dataclass(frozen=True)
@@ -45,8 +61,10 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
     Most words of a text have been seen before, so a worker remembers the ids
-    of words. New ones are encoded many at a time, in one text with a mark
-    between them that is a token of its own.
+    of words, and of words of plain letters without the signs behind them. New
+    words of letters go to the file's model, which needs no search for their
+    bounds; others are encoded many at a time, in one text with a mark between
+    them that is a token of its own.
     """
 
     # White space runs in which words are not encoded one by one.
@@ -66,7 +84,8 @@ class Encoder:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._mark = "\n" if file.words == "spaced" else "\x01"
         self._mark_id = self._ids(self._mark)
-        self._stops = {x: self.whole(x) for x in ".,"} if file.words else {}
+        self._model = self._tokenizer.model
+        self._plain = self._merges_alike()
 
     def _ids(self, text: str) -> np.ndarray:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -90,18 +109,26 @@ class Encoder:
         """``word`` with the white space it takes along."""
         return f" {word}" if self._words == "spaced" and word[:1] != "\n" else word
 
-    def _unknown(self, words: set[str]) -> set[str]:
-        """Those of ``words`` that nothing is known of yet."""
-        unknown = words.difference(self._young)
-        again = unknown.intersection(self._old)
-        self._young.update((w, self._old[w]) for w in again)
-        return unknown - again
+    def _merged(self, cores: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each a token sequence of its own for the file's model.
 
-    def _is_closed(self, word: str) -> bool:
-        """Whether ``word`` is a shorter one and a stop that is a token of its own."""
-        before = word[-2:-1]
-        # A letter in any version of Unicode, and still one in lower case.
-        return before.isalpha() and before < "\u0250" and len(before.lower()) == 1
+        The text is prepared for all words at once; the library merges them.
+        """
+        blank = " " if self._words == "spaced" else ""
+        given = "\n".join([blank + c for c in cores]).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        found = list(map(self._model.tokenize, given.split("\n")))
+        raw = np.array([t.id for tokens in found for t in tokens], "<u4").tobytes()
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _merges_alike(self) -> bool:
+        """Whether the file treats every letter of plain words as :meth:`_merged` does."""
+        if not self._words or self._mark_id.size != 1:
+            return False
+        letters = [c for c in map(chr, range(0x250)) if re.match(f"[{_LETTERS}]", c)]
+        probes = [*letters, "".join(letters), "".join(reversed(letters)), *map("".join, zip(letters, letters[1:]))]
+        merged = self._merged(pc.utf8_lower(probes).to_pylist() if self._lower else probes)
+        return merged == [self.whole(self._given(p)) for p in probes]
 
     def _learn(self, words: list[str]) -> None:
         if self._words == "separate":
@@ -153,7 +180,7 @@ class Encoder:
         """The ids of every text of a batch.
 
         Words are split, told apart and put together again by Arrow; Python
-        sees each different word of a batch once.
+        sees each different word of a batch once, so large batches cost less.
         """
         out: list[bytes | None] = [None] * len(batch)
         places, firsts, rests = [], [], []
@@ -172,27 +199,50 @@ class Encoder:
                     rests.append(rest)
         split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._know(set(words))
-        ids = list(map(self._young.__getitem__, words))
-        unsafe = [k for k, x in enumerate(ids) if x is None] if None in ids else []
-        for k in unsafe:
-            ids[k] = b""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
-        starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        ids, unsafe = self._word_ids(coded.dictionary)
         place = coded.indices.to_numpy()
-        raw = pa.ListArray.from_arrays(starts, flat).take(coded.indices).flatten().to_numpy().tobytes()
-        ends = 4 * np.concatenate(([0], np.cumsum(sizes[place])))
+        sizes = np.diff(ids.offsets.to_numpy())
+        raw = ids.take(coded.indices).flatten().to_numpy().tobytes()
+        ends = 4 * np.concatenate(([0], np.cumsum(sizes[place], dtype=np.int64)))
         edges = ends[split.offsets.to_numpy()].tolist()
         for i, a, b in zip(places, edges, edges[1:]):
             out[i] = (out[i] or b"") + raw[a:b]
-        if unsafe:
+        if len(unsafe):
             held = np.searchsorted(split.offsets.to_numpy(), np.flatnonzero(np.isin(place, unsafe)), side="right")
             for k in np.unique(held).tolist():
                 out[places[k - 1]] = self.whole(batch[places[k - 1]])
         return out
 
+    def _word_ids(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """A list of ids for each of ``words``, and which of them make their text unsafe to split.
+
+        Words of plain letters are put together from those and the signs behind.
+        """
+        n = len(words)
+        split = pc.extract_regex(words, _PLAIN) if self._plain else pa.nulls(n, _SPLIT)
+        is_plain = split.is_valid().to_numpy(zero_copy_only=False)
+        plain, others = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
+        cores, stops = (x.take(pa.array(plain)) for x in split.flatten())
+        cores = (pc.utf8_lower(cores) if self._lower else cores).dictionary_encode()
+        stops = stops.dictionary_encode()
+        self._turn()
+        ids = self._known(cores.dictionary.to_pylist(), self._learn_plain)
+        first_stop = len(ids)
+        ids += [self._first(x) for x in stops.dictionary.to_pylist()]
+        first_other = len(ids)
+        found = self._known(words.take(pa.array(others)).to_pylist(), self._learn)
+        ids += [x or b"" for x in found]
+        unsafe = others[[x is None for x in found]] if None in found else others[:0]
+        # Every word is two of these: letters and signs, or itself and the nothing at the end.
+        parts = np.full((n, 2), len(ids))
+        parts[plain, 0] = cores.indices.to_numpy()
+        parts[plain, 1] = first_stop + stops.indices.to_numpy()
+        parts[others, 0] = first_other + np.arange(len(others))
+        starts = np.cumsum([0, *map(len, ids), 0]) // 4
+        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+        pairs = pa.LargeListArray.from_arrays(starts, flat).take(pa.array(parts.ravel()))
+        return pa.LargeListArray.from_arrays(pairs.offsets.to_numpy()[::2], pairs.values), unsafe
+
     def _first(self, word: str) -> bytes:
         """Ids of a text's first word, which has no white space before it."""
         known = self._firsts.get(word)
@@ -202,17 +252,25 @@ class Encoder:
             known = self._firsts[word] = self.whole(word) if word else b""
         return known
 
-    def _know(self, needed: set[str]) -> None:
-        """Have the ids of all ``needed`` words in ``_young``."""
+    def _turn(self) -> None:
         if len(self._young) > self._memo_words:
             self._young, self._old = {}, self._young
-        unknown = self._unknown(needed)
-        closed = [w for w in unknown if w[-1:] in self._stops and self._is_closed(w)]
-        self._learn(list(self._unknown({w[:-1] for w in closed})))
-        for word in closed:
-            core = self._young[word[:-1]]
-            self._young[word] = None if core is None else core + self._stops[word[-1]]
-        self._learn(list(unknown.difference(closed)))
+
+    def _known(self, words: list[str], learn: Callable[[list[str]], None]) -> list[bytes | None]:
+        """The ids of ``words``, which are different; those that nothing is known of are learned."""
+        learn([w for w in words if w not in self._young and not self._recalled(w)])
+        return list(map(self._young.__getitem__, words))
+
+    def _recalled(self, word: str) -> bool:
+        if word not in self._old:
+            return False
+        self._young[word] = self._old[word]
+        return True
+
+    def _learn_plain(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), _MISSES_AT_ONCE):
+            part = cores[at : at + _MISSES_AT_ONCE]
+            self._young.update(zip(part, self._merged(part)))
 
 
 @lru_cache(maxsize=4)
@@ -243,16 +301,15 @@ def encoded(
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(file).encode
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                ids = [x + end for x in encode(texts(part, "_text"))]
-                lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if id_bytes == 2:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(ids, pa.binary()), lengths],
-                    names=[*keep, "ids", "n_tokens"],
-                )
+        for part in windows(batches, "_text"):
+            ids = [x + end for x in encode(texts(part, "_text"))]
+            lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
+            if id_bytes == 2:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in keep), pa.array(ids, pa.binary()), lengths],
+                names=[*keep, "ids", "n_tokens"],
+            )
 
     return source.mapInArrow(
         kernel, widened(source.select(*keep), "ids binary, n_tokens long")

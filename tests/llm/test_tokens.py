@@ -3,12 +3,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing, token_counts, token_files
+from plumbline.llm.common import windows
 from plumbline.llm.queries import BYTE_BPE, WORD_BPE
 from plumbline.llm.tokenizing import Encoder, TokenizerFile
 
@@ -49,6 +51,34 @@ def test_words_one_by_one_give_the_ids_of_the_whole(file):
     check()
 
 
+SIGNS = [a + b for a in ("", *".,!?;:'") for b in ("", "...", "%%%", "&&&", "''", "_)", "]`{~", '"')]
+
+
+@pytest.mark.parametrize("file", [BYTE_BPE, WORD_BPE], ids=["byte", "word"])
+def test_words_share_what_is_known_of_their_letters(file):
+    cores = ["Word", "beßsch", "Ünder", "ĳssel", "Ǆungla", "queêier", "isn", "Ⱥbc", "ŉord"]
+    # Behind each: what is no plain word, though it starts like one.
+    odd = ["isn't", "x1", "İst.", "naïve\u0308", "abc\u0301.", "日本.", "'s", "word.word", "×.", "ªb", "a\u02b0."]
+    text = " ".join(["start", *odd, *(c + s for s in SIGNS for c in cores)])
+    encoder, whole = Encoder(file), Tokenizer.from_file(file.path)
+    for given in (text, text.replace(" ", "\n"), text.upper()):
+        got = encoder.encode([given, "", "a b", given])
+        assert np.frombuffer(got[0], "<u4").tolist() == whole.encode(given, add_special_tokens=False).ids
+        assert got[3] == got[0] and got[1] == b""
+    fresh = Encoder(file)
+    fresh.encode([text])
+    assert len(fresh._young) <= len(cores) + len(odd) + 1
+
+
+def test_windows_hold_every_row_once_within_bounds():
+    rows = ["x" * n for n in (5, 0, 30, 7, 7, 7, 200, 1)] + [None, "y"]
+    batches = [pa.RecordBatch.from_pydict({"i": [k], "t": pa.array([x], pa.string())}) for k, x in enumerate(rows)]
+    got = list(windows(iter(batches + [pa.concat_batches(batches)]), "t", 4, 40))
+    assert [x for w in got for x in w.column("t").to_pylist()] == rows * 2
+    assert all(w.num_rows <= 4 and sum(len(x or "") for x in w.column("t").to_pylist()) <= 40 for w in got if w.num_rows > 1)
+    assert len(got) < 2 * len(rows)
+
+
 ROWS = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(None, "null id"), (6, "same id"), (6, "same id")]
 
 
