@@ -31,6 +31,16 @@ def judge(spark, texts, test):
     return {r.t: r.ok for r in df.select("t", test(F.col("t")).alias("ok")).collect()}
 
 
+def test_digits_alone_need_no_rule(spark, monkeypatch):
+    texts = ["2025", "1677", "2262", "991231", "170101", "201301", "313131", "120131", "000101", "20250101", "16770921",
+             "16770922", "202501011200", "20241301101500", "20240230", "14727", "123456789012345", "1"]
+    monkeypatch.setattr(cells, "_rewrite", lambda text, rules: F.raise_error(F.lit("a rule was tried")))
+    got = judge(spark, texts, date_like)
+    assert {t for t, ok in got.items() if ok} == {
+        "2025", "2262", "991231", "170101", "120131", "20250101", "16770922", "202501011200"
+    }
+
+
 def test_dates(spark):
     assert [t for t, ok in judge(spark, DATES, date_like).items() if not ok] == []
 
